@@ -158,7 +158,7 @@ def readings(value: str | None) -> list[str]:
 
     What stands around the letters is set aside: brackets and quotes with what they hold, what
     follows a gloss sign, numbers, grammatical abbreviations, signs and white space. What is left
-    is read as SLP1 with IAST letters in it, without case as IAST, and as Harvard-Kyoto; also the
+    is read as SLP1 with IAST letters in it, without a first capital, and as Harvard-Kyoto; also the
     whole value and its first word are read, for a sign may stand inside the letters.
     """
     if not value:
@@ -170,8 +170,8 @@ def readings(value: str | None) -> list[str]:
     forms += core.split()[:1] if " " in core or "\t" in core else []
     out: dict[str, None] = {}
     for form in forms:
-        # lemma_norm maps lower-case digraphs before it meets a capital, so both ways are read
-        for word in (iast_to_slp1(form), iast_to_slp1(form.lower()), iast_to_slp1(form[:1].lower() + form[1:]), hk_to_slp1(form)):
+        # a first capital may be a sound of SLP1 or the capital of a sentence in IAST
+        for word in (iast_to_slp1(form), iast_to_slp1(form[:1].lower() + form[1:]), hk_to_slp1(form)):
             letters = "".join([c for c in word if c in LETTERS])
             if letters:
                 out[letters] = None

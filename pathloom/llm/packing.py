@@ -169,12 +169,12 @@ def pack(
     groups = max(1, -(-n * open_bins // LATE_GROUP))
     items = sizes.where(F.col(size) > 0).select(F.col(key).cast("long").alias("item"), F.col(size).cast("long").alias("total"))
     full = F.floor(F.col("total") / capacity).cast("int")
-    items = items.withColumn("full", full)
-    whole = items.where(F.col("full") > 0).select(
-        "item", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"), F.lit(capacity).cast("long").alias("size")
-    )
-    rest = items.where(F.col("total") % capacity > 0).select("item", F.col("full").alias("part"), (F.col("total") % capacity).alias("size"))
-    ordered = rest.withColumn("h", F.xxhash64("item")).repartition(n, "h").sortWithinPartitions("h", "item").select("item", "part", "size")
+    rest = F.col("total") % capacity
+    # an item's full containers pass through the packing and close at once
+    parts = F.sequence(F.lit(0), F.when(rest > 0, full).otherwise(full - 1))
+    items = items.select("item", F.explode(parts).alias("part"), full.alias("full"), rest.alias("rest"))
+    items = items.select("item", "part", F.when(F.col("part") < F.col("full"), F.lit(capacity).cast("long")).otherwise(F.col("rest")).alias("size"))
+    ordered = items.withColumn("h", F.xxhash64("item")).repartition(n, "h").sortWithinPartitions("h", "item", "part").select("item", "part", "size")
     first = ordered.mapInArrow(lambda b: _pack_items(b, capacity, open_bins), _BIN)
     spread = F.when(F.col("open"), F.pmod(F.xxhash64("bin_key"), F.lit(groups))).otherwise(F.xxhash64("bin_key"))
     second = (
@@ -187,12 +187,7 @@ def pack(
     placed = second.select("bin_key", F.explode("content").alias("c")).select(
         F.col("bin_key").alias("container_id"), F.col("c.item").alias("item"), F.col("c.part").alias("part"), F.col("c.size").alias("n_tokens")
     )
-    alone = whole.select(
-        F.expr("(shiftleft(item, 20) | part) & 9223372036854775807").alias("container_id"), "item", "part", F.col("size").alias("n_tokens")
-    )
-    return placed.unionByName(alone).select(
-        "container_id", F.col("item").alias(key), "part", (F.col("part").cast("long") * capacity).alias("start"), "n_tokens"
-    )
+    return placed.select("container_id", F.col("item").alias(key), "part", (F.col("part").cast("long") * capacity).alias("start"), "n_tokens")
 
 
 def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -100,7 +100,6 @@ def term_frequencies(df: DataFrame, record: str, fields: dict[str, str], rare_be
     )
     partial = ordered.mapInArrow(lambda b: _count(b, kinds), schema)
     counted = partial.groupBy("kind", "id").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    total = df.where(F.col(record).isNotNull()).select(F.countDistinct(record).alias("total"))
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") * common_share[1] > F.col("total") * common_share[0], "common")
-    # the total is one row
-    return counted.join(F.broadcast(total)).select("kind", F.col("id").cast("int").alias("id"), "occurrences", "records", mark.alias("mark"))
+    total = df.where(F.col(record).isNotNull()).select(F.countDistinct(record)).scalar()
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") * common_share[1] > total * common_share[0], "common")
+    return counted.select("kind", F.col("id").cast("int").alias("id"), "occurrences", "records", mark.alias("mark"))

@@ -10,8 +10,8 @@ depends on what the corpus does:
 * a source or genre whose texts mostly end bare has no habit of a closing mark; its texts are cut
   where the last word is no word of the corpus but the beginning of a common one;
 * lists of records are cut where the last field never ends a line elsewhere;
-* in all others a bare end is a cut, unless the last word (numbers alike) is one that closes
-  texts habitually: signatures, colophons, folio numbers.
+* in all others a bare end is a cut, unless the last word (numbers alike), or the first word of a
+  last line that ends with a number, closes texts habitually: signatures, colophons, references.
 
 All counts are over all documents.
 """
@@ -36,38 +36,40 @@ _OMISSION = re.compile(r"(?:\.\.\.|…|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|
 _BROKEN = re.compile(r"(?:�|[\ud800-\udbff]|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&#?[A-Za-z0-9]{0,8}|%[0-9A-Fa-f]?|</?[A-Za-z]?[^<>\s]*|<[A-Za-z][^<>]*)$")
 _BETWEEN = re.compile(r"[,;:=(\[{“„«_+/\-–—]$")
 _CLOSED = re.compile(r"(\|\||॥|[|।.!?])[\s)\]}”’»\"']*$")
+_SENTENCE = re.compile(r"[.!?|।॥]\s")
+_PART = re.compile(r"[.!?|।॥]\s+|[\r\n]+")
 _DIGITS = re.compile(r"\d+")
 _FIELDS = re.compile(r"\s*[|;]\s*|\s+=\s+")
 
 
-def unclosed(text: str) -> list[str]:
-    """What a stack automaton still holds at the end: names of tags, brackets and quotes.
+def unclosed(text: str) -> list[tuple[str, int]]:
+    """What a stack automaton still holds at the end: names and places of tags, brackets and quotes.
 
     A closing sign without its opening one is ignored; one that closes an outer element closes
     the inner ones with it. Apostrophes are letters here. The empty text holds nothing.
     """
-    stack: list[str] = []
+    stack: list[tuple[str, int]] = []
     for m in _MARK.finditer(text):
         sign = m.group()
         if sign == '"':
             want = sign
-            if sign not in stack:
-                stack.append(sign)
+            if all(name != sign for name, _ in stack):
+                stack.append((sign, m.start()))
                 continue
         elif sign[0] == "<":
-            want = "<" + m.group(2)
+            want = "</" + m.group(2) + ">"
             if m.group(3):
                 continue
             if not m.group(1):
-                stack.append(want)
+                stack.append((want, m.start()))
                 continue
         elif sign in _OPENERS:
-            stack.append(_OPENERS[sign])
+            stack.append((_OPENERS[sign], m.start()))
             continue
         else:
             want = sign
-        if want in stack:
-            while stack.pop() != want:
+        if any(name == want for name, _ in stack):
+            while stack.pop()[0] != want:
                 pass
     return stack
 
@@ -90,24 +92,36 @@ def is_record_list(lines: list[str]) -> bool:
 
 
 def word_counts(texts: Iterator[str | None]) -> Iterator[tuple[str, int]]:
-    """(word, n) of all words but each text's last; ``word.`` for one with a full stop; ``=field`` for a field that ends a line but the last."""
+    """(word, n) of all words but each text's last, and of marked things.
+
+    ``word. a`` and ``word. A``: the word with a full stop, before a lower-case letter or digit,
+    and before anything else. ``=field``: a field that ends a line but the last. ``</tag>``: a
+    closing tag.
+    """
     counts: Counter[str] = Counter()
 
     def flush() -> Iterator[tuple[str, int]]:
         out: Counter[str] = Counter()
         for word, n in counts.items():
-            if word[:1] == "\0":
-                out["=" + word[1:]] += n
+            if word[:1] in "\0\1":
+                out[("=" if word[:1] == "\0" else "") + word[1:]] += n
                 continue
             bare = word.strip(PUNCTUATION)
             if bare:
-                out[bare + "." if word.endswith(".") else bare] += n
+                out[bare] += n
         yield from out.items()
 
     for text in texts:
         if not text:
             continue
-        counts.update(tokens(text)[:-1])
+        words = tokens(text)
+        counts.update(words[:-1])
+        if "." in text:  # what goes on in lower case or with a number after a full stop, and what does not
+            for w, then in zip(words, words[1:], strict=False):
+                if w[-1] == ".":
+                    counts["\1" + w.strip(PUNCTUATION) + (". a" if then[:1].islower() or then[:1] == "9" else ". A")] += 1
+        if "</" in text:
+            counts.update("\1" + f"</{m.group(2)}>" for m in _TAG.finditer(text) if m.group(1))
         if "=" in text:
             lines = [x for x in text.splitlines() if x.strip()]
             if is_record_list(lines):
@@ -118,18 +132,21 @@ def word_counts(texts: Iterator[str | None]) -> Iterator[tuple[str, int]]:
     yield from flush()
 
 
-def ending(text: str) -> tuple[str, str, str, str, bool]:
-    """(state, mark, kind, key, gap) of a text that isn't blank.
+def ending(text: str) -> tuple[str, str, str, str, str, bool, list[str]]:
+    """(state, mark, kind, key, lead, gap, open tags) of a text that isn't blank.
 
     state: omission, broken, unclosed, between, closed or bare. mark: the closing mark, if any.
     kind: records, line (one line without a mark inside) or text. key: what is looked up: the last
-    field of a list of records, else the last word. gap: white space without a line end follows.
+    field of a list of records, else the last word. lead: the first word of the last sentence or
+    line, where that ends with a number. gap: white space without a line end follows.
+    open tags: closing tags that are missing; a bracket or quote counts where it opens in the last
+    sentence, or no closing mark follows it.
     """
     end = text.rstrip()
     gap = text[len(end) :]
     lines = [x for x in end.splitlines() if x.strip()]
     kind = "records" if is_record_list(lines) else "text"
-    mark = _CLOSED.search(end)
+    mark, open_ = _CLOSED.search(end), unclosed(end)
     if kind == "text" and len(lines) == 1 and not re.search(r"[.!?|।॥]", end):
         kind = "line"
     state = "bare"
@@ -137,7 +154,7 @@ def ending(text: str) -> tuple[str, str, str, str, bool]:
         state = "omission"
     elif _BROKEN.search(end):
         state = "broken"
-    elif unclosed(end):
+    elif any(name[0] != "<" and (not mark or not _SENTENCE.search(end, at)) for name, at in open_):
         state = "unclosed"
     elif re.search(r"<[^<>]+>$", end) or mark:
         state = "closed"
@@ -147,14 +164,17 @@ def ending(text: str) -> tuple[str, str, str, str, bool]:
     last = words[-1] if words else ""
     if kind == "records":
         key = "=" + _DIGITS.sub("9", _FIELDS.split(lines[-1].strip())[-1])
-    elif state == "closed" and last.endswith("."):
-        key = last.strip(PUNCTUATION) + "."
     else:
         key = last.strip(PUNCTUATION) or last
-    return state, mark.group(1) if mark else "", kind, key, bool(gap) and not re.search(r"[\r\n]", gap)
+    lead = ""
+    if state == "bare" and re.search(r" 9\w?$|9/9$", key):
+        first = tokens(_PART.split(end)[-1])[:1]
+        lead = first[0].strip(PUNCTUATION) or first[0] if first else ""
+    tags = sorted({name for name, _ in open_ if name[0] == "<"})
+    return state, mark.group(1) if mark else "", kind, key, lead, bool(gap) and not re.search(r"[\r\n]", gap), tags
 
 
-_ENDING = "doc_id long, source string, genre string, n_chars long, n_bytes long, state string, mark string, kind string, key string, gap boolean, tail long"
+_ENDING = "doc_id long, source string, genre string, n_chars long, n_bytes long, state string, mark string, kind string, key string, lead string, gap boolean, tags array<string>, tail long"
 
 
 def _endings(batches: Iterator) -> Iterator:
@@ -162,7 +182,7 @@ def _endings(batches: Iterator) -> Iterator:
     from zlib import crc32
 
     for batch in batches:
-        cols: list[list] = [[] for _ in range(11)]
+        cols: list[list] = [[] for _ in range(13)]
         for doc, source, genre, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if text is None or not text.strip():
                 continue
@@ -170,7 +190,7 @@ def _endings(batches: Iterator) -> Iterator:
             row = (doc, source, genre, len(text), len(raw), *ending(text), crc32(raw[-240:]))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
         names = [x.split()[0] for x in _ENDING.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -235,15 +255,20 @@ def truncated(
     odd_marks = per_mark.join(per_genre, "genre").where("all >= 200 and most >= 0.95 * all and m < 0.01 * all").select("genre", F.col("mark").alias("mark_"), F.lit(True).alias("odd_mark"))
     marked = ends.withColumn("mark_", F.replace(F.translate("mark", "।॥", "|‖"), F.lit("||"), F.lit("‖")))
     keys = ends.where("state in ('bare', 'closed')").select("key", "state", "tail").groupBy("key").agg(F.countDistinct(F.when(F.col("state") == "bare", F.col("tail"))).alias("final"))
-    bare_word = F.regexp_replace("key", r"\.$", "")
+    stops = words.where(F.col("word").rlike(r"\. [aA]$")).withColumn("key", F.regexp_replace("word", r"\. [aA]$", ""))
+    stops = stops.groupBy("key").agg(*[F.sum(F.when(F.col("word").endswith(x), F.col("n")).otherwise(0)).alias(name) for x, name in ((". a", "going_on"), (". A", "ending"))])
     known = (
         keys.join(words.withColumnRenamed("word", "key"), "key", "left")
         .join(begins, "key", "left")
-        .withColumn("undotted", bare_word)
-        .join(words.select(F.col("word").alias("undotted"), F.col("n").alias("n_undotted")), "undotted", "left")
-        .na.fill(0, ["n", "longer", "n_undotted"])
-        .drop("undotted")
+        .join(stops, "key", "left")
+        .na.fill(0, ["n", "longer", "going_on", "ending"])
     )
+    # signatures and references that end with a number: known by the word they begin with
+    leads = ends.where("state = 'bare' and lead <> ''").groupBy("lead").agg(F.countDistinct("tail").alias("lead_final"))
+    leads = leads.join(words.select(F.col("word").alias("lead"), F.col("n").alias("lead_n")), "lead", "left").na.fill(0, ["lead_n"])
+    # a tag that is closed nowhere is no element
+    elements = words.where(F.col("word").startswith("</")).select(F.col("word").alias("tag"))
+    open_docs = ends.where(F.size("tags") > 0).select("doc_id", F.explode("tags").alias("tag")).join(elements, "tag", "left_semi").select("doc_id", F.lit(True).alias("open_tag")).distinct()
     judged = (
         marked.join(known, "key", "left")
         .join(top_chars, "source", "left")
@@ -251,20 +276,25 @@ def truncated(
         .join(by_source, "source", "left")
         .join(by_genre, "genre", "left")
         .join(odd_marks, ["genre", "mark_"], "left")
+        .join(leads, "lead", "left")
+        .join(open_docs, "doc_id", "left")
     )
     at_limit = (F.col("n_chars") == F.col("limit_chars")) | (F.col("n_bytes") >= F.col("limit_bytes") - 5)
     closer = (F.col("final") >= closer_texts) & (F.col("final") >= closer_share * (F.col("n") + F.col("final"))) & (F.col("longer") < F.col("final"))
+    numbered = F.coalesce((F.col("lead_final") >= closer_texts) & (F.col("lead_final") >= closer_share * F.col("lead_n")), F.lit(False))
     weak = (F.coalesce("source_bare", F.lit(0.0)) > bare_habit) | (F.coalesce("genre_bare", F.lit(0.0)) > bare_habit) | ((F.col("genre") == "") & (F.col("kind") == "line"))
     cut_word = (F.col("n") == 0) & (F.col("longer") >= common_word)
-    abbreviation = F.col("key").endswith(".") & (F.col("n") >= 20) & (F.col("n_undotted") * 20 < F.col("n"))
+    dotted = F.col("going_on") + F.col("ending")
+    abbreviation = (F.col("mark") == ".") & (F.col("going_on") >= 20) & (F.col("ending") * 20 < dotted) & ((F.col("n") - dotted) * 20 < dotted)
     reason = (
         F.when(F.col("state").isin("omission", "broken", "unclosed", "between"), F.col("state"))
-        .when(F.col("state") == "closed", F.when(abbreviation, "abbreviation").when(F.col("odd_mark") & ~F.col("gap"), "mark").when(F.col("gap") & F.col("odd_mark"), "mark"))
+        .when(F.col("open_tag"), "unclosed")
+        .when(F.col("state") == "closed", F.when(abbreviation, "abbreviation").when(F.col("odd_mark"), "mark"))
         .when(F.coalesce(at_limit, F.lit(False)), "limit")
         .when(F.col("gap"), "gap")
         .when(F.col("kind") == "records", F.when(F.col("n") == 0, "field"))
         .when(weak, F.when(cut_word, "word"))
-        .when(~closer, "sentence")
+        .when(~(closer | numbered), "sentence")
     )
     return judged.select("doc_id", "source", reason.alias("reason")).where("reason is not null")
 

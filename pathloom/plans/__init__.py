@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import references
+from . import features, lattice, references
 
-_TOPICS = (references,)
+_TOPICS = (lattice, features, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,3 +28,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions for explicit exchanges, as the session sets it for its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package once per application, however they were started."""
+    import io
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_pathloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join(os.path.basename(root), os.path.relpath(path, root)))
+    # the driver serves this file to the executors; nothing on them needs its path
+    with tempfile.NamedTemporaryFile(prefix="pathloom-", suffix=".zip", delete=False) as out:
+        out.write(data.getvalue())
+    sc.addPyFile(out.name)
+    sc._pathloom_shipped = True

@@ -100,7 +100,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o"))))
     counted = edges.select("sentence_id", ends.alias("x")).select("sentence_id", "x.node_id", "x.i", "x.o")
     spine = nodes.select("sentence_id", "node_id", F.lit(0).alias("i"), F.lit(0).alias("o"))
-    return counted.unionByName(spine).groupBy("sentence_id", "node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    return counted.unionByName(spine).repartition("sentence_id").groupBy("sentence_id", "node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
 def edge_offsets(nodes: DataFrame, edges: DataFrame, by: str = "src") -> DataFrame:

@@ -184,7 +184,7 @@ def sweep(nodes: DataFrame, edges: DataFrame, program: str, k: int = 1, tie: str
     e = edges.select("sentence_id", F.struct(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("w").cast("double").alias("w"), edge_id.alias("e")).alias("x"))
     empty = F.struct(F.col("node_id").cast("int").alias("src"), F.lit(None).cast("int").alias("dst"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("long").alias("e"))
     rows = nodes.where("sentence_id is not null and node_id is not null").select("sentence_id", empty.alias("x")).unionByName(e.where("sentence_id is not null"))
-    lattice = rows.groupBy("sentence_id").agg(F.collect_list("x").alias("x"))
+    lattice = rows.repartition("sentence_id").groupBy("sentence_id").agg(F.collect_list("x").alias("x"))
     id_type = nodes.schema["sentence_id"].dataType
     fields = [T.StructField("sentence_id", id_type)]
     if program == "kbest":

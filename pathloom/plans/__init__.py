@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, features, lattice, references
+from . import alignment, evaluation, features, lattice, references
 
-_TOPICS = (lattice, features, evaluation, references)
+_TOPICS = (lattice, features, evaluation, alignment, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, evaluation, features, lattice, references
+from . import alignment, corpus, evaluation, features, io, lattice, references
 
-_TOPICS = (lattice, features, evaluation, alignment, references)
+_TOPICS = (lattice, features, evaluation, alignment, corpus, io, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

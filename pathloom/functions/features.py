@@ -121,11 +121,12 @@ def character_features(word: Column) -> Column:
 def ngram_features(word: Column, buckets: int = 16, orders: tuple[int, ...] = (2, 3)) -> Column:
     """Share of a word's character n-grams in each CRC-32 bucket; all zero where it has none."""
     w = F.coalesce(word, F.lit(""))
-    grams = []
-    for n in orders:
+
+    def grams(n: int) -> Column:
         starts = F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.substring(w, i, F.lit(n))))
-    hashed = F.transform(F.concat(*grams), lambda g: (F.crc32(F.encode(g, "UTF-8")) % buckets).cast("int"))
+        return F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))
+
+    hashed = F.transform(F.concat(*[grams(n) for n in orders]), lambda g: (F.crc32(F.encode(g, "UTF-8")) % buckets).cast("int"))
     total = F.greatest(F.size(hashed), F.lit(1)).cast("double")
     return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(hashed, lambda h: h == b)) / total)
 

@@ -85,12 +85,11 @@ def m10_path_reranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = nodes.select("sentence_id", F.col("node_id").alias("dst"), F.log1p(F.col("length").cast("double")).alias("w"))
     paths = kbest(nodes, edges.join(w, ["sentence_id", "dst"]), 8).withColumn("nodes", M.strip(F.col("nodes")))
     labelled = M.labelled(gold, paths)
-    tag = nodes.select("sentence_id", "node_id", F.array_append(F.slice(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.pmod(F.col("tag_id"), F.lit(8)) == i).cast("double")), 1, 8), F.col("form_id").cast("double") / 1000).alias("t"))
-    each = labelled.select("sentence_id", "rank", F.explode("nodes").alias("node_id")).join(tag, ["sentence_id", "node_id"])
-    sums = each.groupBy("sentence_id", "rank").agg(*[F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(9)])
-    cands = labelled.join(sums, ["sentence_id", "rank"]).select("sentence_id", "rank", "score", "nodes", "label", F.array(*[F.col(f"t{i}") for i in range(9)]).alias("x")).checkpoint()
+    each = labelled.select("sentence_id", "rank", F.explode("nodes").alias("node_id")).join(_vectors(spark, sf_dir, nodes), ["sentence_id", "node_id"])
+    sums = each.groupBy("sentence_id", "rank").agg(*[F.sum(F.col("x")[i].cast("double")).alias(f"t{i}") for i in range(X.WIDTH)])
+    cands = labelled.join(sums, ["sentence_id", "rank"]).select("sentence_id", "rank", "score", "nodes", "label", F.array(*[F.col(f"t{i}") for i in range(X.WIDTH)]).alias("x")).checkpoint()
     train = train_sentences(spark, sf_dir)
-    weights, _ = models.train_reranker(cands.join(train, "sentence_id", "left_semi"), 9)
+    weights, _ = models.train_reranker(cands.join(train, "sentence_id", "left_semi"), X.WIDTH, epochs=20, rate=0.2)
     held = cands.join(train, "sentence_id", "left_anti")
     new = M.pick(models.rerank(held, weights), F.col("new_score")).select("sentence_id", F.col("rank").alias("new_rank"))
     first = held.where("rank = 0").select("sentence_id", F.col("label").alias("before"))

@@ -228,7 +228,7 @@ def truncated(
     ensure_checkpoint_dir(documents.sparkSession)
     base = documents.select("doc_id", "source", "genre", "text")
     ends = base.mapInArrow(_endings, _ENDING).withColumn("source", F.coalesce("source", F.lit(""))).withColumn("genre", F.coalesce("genre", F.lit(""))).checkpoint()
-    words = base.select("text").where("text is not null").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = base.select("text").where("text is not null").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
     # a beginning is that of a common word: the table of beginnings grows with the common words only
     begins = (
         words.where(F.col("n") >= common_word)

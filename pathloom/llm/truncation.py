@@ -5,8 +5,8 @@ how it ends: with a sign of omission, a broken character, escape, entity or tag,
 stands between things, a closing mark, or a bare word. Whether a bare end is a finished one
 depends on what the corpus does:
 
-* a source that stores texts up to a fixed length (many at exactly its greatest length) has cut
-  those of that length, counted in characters or in bytes of UTF-8;
+* a source that stores texts up to a fixed length (far more have that length than those below it,
+  and next to none are longer) has cut those of that length, in characters or in bytes of UTF-8;
 * a source or genre whose texts mostly end bare has no habit of a closing mark; its texts are cut
   where the last word is no word of the corpus but the beginning of a common one;
 * lists of records are cut where the last field never ends a line elsewhere;
@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from ..tables import ensure_checkpoint_dir
 
 FLUSH_WORDS = 300_000
+#: a limit in bytes may fall into a character, which then is dropped or replaced
+BYTE_SLACK = 3
+LONGER_SHARE = 0.02
 PUNCTUATION = "|।॥.,;:!?()[]{}\"“”„«»'’‘<>…=—–-�*"
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)[^<>]*?(/?)>")
 _MARK = re.compile(r"<(/?)([A-Za-z][\w:.-]*)[^<>]*?(/?)>|[()\[\]{}“”„«»\"]")
@@ -212,6 +215,24 @@ def _words(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in block]), pa.array([n for _, n in block], pa.int64())], names=["word", "n"])
 
 
+def _limits(ends: DataFrame, column: str, slack: int, copies: int) -> DataFrame:
+    """(source, limit_<column>): the length up to which a source stores texts, if it has one.
+
+    It is the source's commonest length, if at least ``copies`` different texts have it, next to
+    none are longer, and it has five times the texts that the lengths below it would let expect.
+    """
+    counts = ends.groupBy("source", F.col(column).alias("l")).agg(F.countDistinct("tail").alias("texts"), F.count("*").alias("docs"))
+    best = counts.groupBy("source").agg(F.max(F.struct("texts", "l")).alias("b"), F.sum("docs").alias("all")).where(F.col("b.texts") >= copies)
+    both = counts.join(best.select("source", F.col("b.l").alias("top"), "all"), "source")
+    sums = both.groupBy("source", "top", "all").agg(
+        F.sum(F.when(F.col("l") > F.col("top") + slack, F.col("docs")).otherwise(0)).alias("longer"),
+        F.sum(F.when((F.col("l") < F.col("top") - slack) & (F.col("l") >= 0.7 * F.col("top")), F.col("docs")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.abs(F.col("l") - F.col("top")) <= slack, F.col("texts")).otherwise(0)).alias("at"),
+    )
+    expected = F.col("below") / (0.3 * F.col("top")) * (2 * slack + 1)
+    return sums.where((F.col("longer") <= LONGER_SHARE * F.col("all")) & (F.col("at") >= 5 * expected)).select("source", F.col("top").alias(f"limit_{column}"))
+
+
 def truncated(
     documents: DataFrame, limit_copies: int = 5, bare_habit: float = 0.5, common_word: int = 3, closer_texts: int = 3, closer_share: float = 0.3
 ) -> DataFrame:
@@ -220,7 +241,7 @@ def truncated(
     ``documents`` has doc_id, text, source and genre. Null, empty and blank texts are no cases; a
     null source or genre is one of its own. A document is judged by its own text and the counts
     over all, so repeated rows are judged alike and come out as often as they come in.
-    ``limit_copies``: texts of a source's greatest length that make it a limit; ``bare_habit``:
+    ``limit_copies``: texts of one length that can make it a source's limit; ``bare_habit``:
     share of bare ends above which a source or genre closes without a mark; ``common_word``:
     occurrences that make a word common; ``closer_texts`` and ``closer_share``: texts that a word
     must close, and its share of closing occurrences, to be a habitual closer.
@@ -237,14 +258,7 @@ def truncated(
         .groupBy("key")
         .agg(F.max("n").alias("longer"))
     )
-    # the greatest length of a source, and how many texts have it (bytes: a character may be broken at the limit)
-    tops = ends.groupBy("source").agg(F.max("n_chars").alias("top_chars"), F.max("n_bytes").alias("top_bytes"))
-    lengths = ends.groupBy("source", "n_chars").agg(F.countDistinct("tail").alias("texts"))
-    top_chars = lengths.join(tops, "source").where("n_chars = top_chars and texts >= %d" % limit_copies).select("source", F.col("top_chars").alias("limit_chars"))
-    top_bytes = (
-        ends.join(tops, "source").where("n_bytes >= top_bytes - 5").groupBy("source").agg(F.countDistinct("tail").alias("texts"), F.max("top_bytes").alias("limit_bytes"))
-        .where(F.col("texts") >= limit_copies).select("source", "limit_bytes")
-    )
+    top_chars, top_bytes = (_limits(ends, column, slack, limit_copies) for column, slack in (("n_chars", 0), ("n_bytes", BYTE_SLACK)))
     plain = (F.col("kind") != "records") & F.col("state").isin("bare", "closed")
     share = F.avg(F.when(plain, (F.col("state") == "bare").cast("double")))
     by_source = ends.where("kind = 'text'").groupBy("source").agg(share.alias("source_bare"))
@@ -279,7 +293,7 @@ def truncated(
         .join(leads, "lead", "left")
         .join(open_docs, "doc_id", "left")
     )
-    at_limit = (F.col("n_chars") == F.col("limit_chars")) | (F.col("n_bytes") >= F.col("limit_bytes") - 5)
+    at_limit = (F.col("n_chars") == F.col("limit_n_chars")) | (F.abs(F.col("n_bytes") - F.col("limit_n_bytes")) <= BYTE_SLACK)
     closer = (F.col("final") >= closer_texts) & (F.col("final") >= closer_share * (F.col("n") + F.col("final"))) & (F.col("longer") < F.col("final"))
     numbered = F.coalesce((F.col("lead_final") >= closer_texts) & (F.col("lead_final") >= closer_share * F.col("lead_n")), F.lit(False))
     weak = (F.coalesce("source_bare", F.lit(0.0)) > bare_habit) | (F.coalesce("genre_bare", F.lit(0.0)) > bare_habit) | ((F.col("genre") == "") & (F.col("kind") == "line"))

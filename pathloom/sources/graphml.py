@@ -57,27 +57,34 @@ def node_id(name: Column) -> Column:
     return F.regexp_replace(name, "^n", "").try_cast("long")
 
 
-def _attributes(data: Column, names: Column) -> Column:
-    """The data elements of a node or edge as a map; a repeated key keeps its last value."""
-    entries = F.transform(F.coalesce(data, F.array().cast(_DATA)), lambda d: F.struct(F.coalesce(F.try_element_at(names, d["_key"]), d["_key"]).alias("k"), d["_VALUE"].alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(last)
+def _attribute(data: Column, keys: Column, name: str) -> Column:
+    """A node's or edge's value of an attribute; a repeated key has its last value.
+
+    Each asked attribute is one pass over the few data elements, and no map is built.
+    """
+    key = F.coalesce(F.try_element_at(keys, F.lit(name)), F.lit(name))
+    own = F.filter(data, lambda d: d["_key"] == key)
+    return F.when(F.size(own) > 0, F.element_at(own, -1)["_VALUE"])
+
+
+def _keys(documents: DataFrame) -> DataFrame:
+    """The documents with ``keys``: attribute names to key ids."""
+    entries = F.transform(F.map_entries("names"), lambda e: F.struct(e["value"], e["key"]))
+    return documents.withColumn("keys", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
 
 
 def graph_nodes(documents: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(stem, node_id, fields...) of all nodes; only the asked attributes are taken out, missing ones are null."""
-    each = documents.where("nodes is not null").select("stem", "names", F.explode("nodes").alias("n"))
-    a = each.select("stem", node_id(F.col("n._id")).alias("node_id"), _attributes(F.col("n.data"), F.col("names")).alias("a"))
-    return a.select("stem", "node_id", *[F.try_element_at("a", F.lit(f)).alias(f) for f in fields or NODE_FIELDS])
+    each = _keys(documents.where("nodes is not null")).select("stem", "keys", F.explode("nodes").alias("n"))
+    return each.select("stem", node_id(F.col("n._id")).alias("node_id"), *[_attribute(F.col("n.data"), F.col("keys"), f).alias(f) for f in fields or NODE_FIELDS])
 
 
 def graph_edges(documents: DataFrame) -> DataFrame:
     """(stem, src, dst, key) of all edges; an edge without a readable key has null."""
-    each = documents.where("edges is not null").select("stem", "names", F.explode("edges").alias("e"))
+    each = _keys(documents.where("edges is not null")).select("stem", "keys", F.explode("edges").alias("e"))
     return each.select(
-        "stem", node_id(F.col("e._source")).alias("src"), node_id(F.col("e._target")).alias("dst"),
-        F.try_element_at(_attributes(F.col("e.data"), F.col("names")), F.lit("key")).try_cast("int").alias("key"),
-    )
+        "stem", node_id(F.col("e._source")).alias("src"), node_id(F.col("e._target")).alias("dst"), _attribute(F.col("e.data"), F.col("keys"), "key").try_cast("int").alias("key")
+    )
 
 
 def _escaped(col: Column) -> Column:

@@ -148,9 +148,9 @@ class BKTree:
 
 
 _BRACKETS = re.compile(r"\([^)]*\)?|\[[^\]]*\]?|\{[^}]*\}?|<[^>]*>?|[\"“„][^\"”“]*[\"”“]?")
-_GLOSS = re.compile(r"\s*(?:[;:=,|]|\s[-–—]\s).*$", re.DOTALL)
-_GRAMMAR = re.compile(r"\s+(?:(?:m|f|n|mfn|ind|adj|adv|pron|num|pl|du|sg)\.?\s*)+$")
-_NUMBERS = re.compile(r"[\s_\-–.(]*\d+[.)]?\s*$|^\s*\d+[.)]?[\s_\-–]*")
+_GLOSS = re.compile(r"(?:[;:=,|]|\s[-–—]\s).*$", re.DOTALL)
+_GRAMMAR = re.compile(r"\s(?:(?:m|f|n|mfn|ind|adj|adv|pron|num|pl|du|sg)(?![^\W_])\.?\s*)+$")
+_NUMBERS = re.compile(r"(?<!\d)\d+[.)]?\s*$|^\s*\d+[.)]?")
 
 
 def readings(value: str | None) -> list[str]:

@@ -145,7 +145,7 @@ class PassageShard:
             return
         # an interval (passage of e) counts once per training text, however often it matches
         pair = where[match] * len(self.texts) + e
-        interval = np.unique(pair * np.int64(1024) + np.minimum(self.number[posting], 1023), return_index=True)[1]
+        interval = np.unique((pair << np.int64(21)) + self.number[posting], return_index=True)[1]
         pair, posting = pair[interval], posting[interval]
         start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         pairs, matched = pair[start], np.diff(np.r_[start, len(pair)])

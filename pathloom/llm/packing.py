@@ -159,15 +159,15 @@ def pack(
 
     An item larger than the capacity is split into full containers and a rest that is packed like
     any item; no other item is split. ``part`` counts an item's pieces from 0, ``start`` is the
-    piece's first token in the item. Items of size null or below 1 need no place and do not come
-    out. Keys are unique integers; a repeated key would be two items of one name. A container's
+    piece's first token in the item. Items of size null or below 1, and rows without a key, need no
+    place and do not come out. Keys are unique integers; a repeated key would be two items of one name. A container's
     name is the least piece in it (item * 2**20 + part, exact for items below 2**43), so names do
     not depend on the order of tasks; the packing depends on the number of partitions alone. Every item is packed whatever the sizes.
     """
     spark = sizes.sparkSession
     n = partitions or shuffle_width(spark)
     groups = max(1, -(-n * open_bins // LATE_GROUP))
-    items = sizes.where(F.col(size) > 0).select(F.col(key).cast("long").alias("item"), F.col(size).cast("long").alias("total"))
+    items = sizes.where((F.col(size) > 0) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(size).cast("long").alias("total"))
     full = F.floor(F.col("total") / capacity).cast("int")
     rest = F.col("total") % capacity
     # an item's full containers pass through the packing and close at once

@@ -32,8 +32,8 @@ FLUSH_WORDS = 300_000
 BYTE_SLACK = 3
 LONGER_SHARE = 0.02
 PUNCTUATION = "|।॥.,;:!?()[]{}\"“”„«»'’‘<>…=—–-�*"
-_TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)[^<>]*?(/?)>")
-_MARK = re.compile(r"<(/?)([A-Za-z][\w:.-]*)[^<>]*?(/?)>|[()\[\]{}“”„«»\"]")
+_TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*+)[^<>]*+>")
+_MARK = re.compile(r"<(/?)([A-Za-z][\w:.-]*+)[^<>]*+>|[()\[\]{}“”„«»\"]")
 _OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "”", "«": "»"}
 _OMISSION = re.compile(r"(?:\.\.\.|…|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\))$")
 _BROKEN = re.compile(r"(?:�|[\ud800-\udbff]|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&#?[A-Za-z0-9]{0,8}|%[0-9A-Fa-f]?|</?[A-Za-z]?[^<>\s]*|<[A-Za-z][^<>]*)$")
@@ -42,7 +42,7 @@ _CLOSED = re.compile(r"(\|\||॥|[|।.!?])[\s)\]}”’»\"']*$")
 _SENTENCE = re.compile(r"[.!?|।॥]\s")
 _PART = re.compile(r"[.!?|।॥]\s+|[\r\n]+")
 _DIGITS = re.compile(r"\d+")
-_FIELDS = re.compile(r"\s*[|;]\s*|\s+=\s+")
+_FIELDS = re.compile(r"[|;]|(?<=\s)=(?=\s)")
 
 
 def unclosed(text: str) -> list[tuple[str, int]]:
@@ -61,7 +61,7 @@ def unclosed(text: str) -> list[tuple[str, int]]:
                 continue
         elif sign[0] == "<":
             want = "</" + m.group(2) + ">"
-            if m.group(3):
+            if sign[-2] == "/":
                 continue
             if not m.group(1):
                 stack.append((want, m.start()))
@@ -128,7 +128,7 @@ def word_counts(texts: Iterator[str | None]) -> Iterator[tuple[str, int]]:
         if "=" in text:
             lines = [x for x in text.splitlines() if x.strip()]
             if is_record_list(lines):
-                counts.update("\0" + _FIELDS.split(x.strip())[-1] for x in lines[:-1])
+                counts.update("\0" + _FIELDS.split(x)[-1].strip() for x in lines[:-1])
         if len(counts) > FLUSH_WORDS:
             yield from flush()
             counts = Counter()
@@ -166,7 +166,7 @@ def ending(text: str) -> tuple[str, str, str, str, str, bool, list[str]]:
     words = tokens(end)
     last = words[-1] if words else ""
     if kind == "records":
-        key = "=" + _DIGITS.sub("9", _FIELDS.split(lines[-1].strip())[-1])
+        key = "=" + _DIGITS.sub("9", _FIELDS.split(lines[-1])[-1].strip())
     else:
         key = last.strip(PUNCTUATION) or last
     lead = ""

@@ -239,3 +239,23 @@ def test_truncation_of_an_empty_table_and_null_columns(spark):
     assert truncation.truncated(df.where("false")).count() == 0
     blank = df.where("doc_id < 40").withColumn("source", F.lit(None).cast("string")).withColumn("genre", F.lit(None).cast("string"))
     assert truncation.truncated(blank).count() >= 0
+
+
+def test_very_long_and_odd_values_take_no_time():
+    import time
+
+    began = time.time()
+    for value in ("x " + "mfn" * 20_000, " " * 50_000 + "rAma", "1" * 50_000 + "x", "(" * 20_000, "rAma" + " -" * 20_000, "<" + "a" * 200_000, "a" + "." * 50_000, "< " * 50_000):
+        canonical.readings(value)
+        truncation.ending("a = b\n" * 3 + value)
+        truncation.ending(value)
+        list(truncation.word_counts([value, "a = " + value]))
+    assert time.time() - began < 20
+
+
+def test_overlap_of_very_long_texts():
+    rng = random.Random(11)
+    a = "".join(rng.choices(LETTERS, k=30_000))
+    b = near_copy(rng, a, 900)
+    shard = overlap.PassageShard(["a", "c"], [a, "kKgG" * 20])
+    assert [(e, t) for e, t, *_ in shard.scan(["b", "d"], [b, "zzz"])] == [("a", "b")]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, corpus, evaluation, features, io, lattice, models, references
+from . import alignment, audits, corpus, evaluation, features, io, lattice, models, references
 
-_TOPICS = (lattice, features, evaluation, alignment, corpus, io, models, references)
+_TOPICS = (lattice, features, evaluation, alignment, corpus, audits, io, models, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

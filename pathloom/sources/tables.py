@@ -83,15 +83,19 @@ def require(df: DataFrame, schema: T.StructType, optional: dict[str, Column] | N
     return df.select(*out)
 
 
-def write_weights(path: str, source: list[list[float]], destination: list[list[float]], bias: float) -> None:
+def pack_weights(source: list[list[float]], destination: list[list[float]], bias: float) -> bytes:
     """Little-endian header (magic, rows, columns, bias) and two row-major float matrices."""
     rows, cols = len(source), len(source[0])
+    if any(len(m) != rows or any(len(r) != cols for r in m) for m in (source, destination)):
+        raise ValueError("the two matrices must have the same shape")
+    flat = [x for m in (source, destination) for r in m for x in r]
+    return struct.pack("<iiif", MAGIC, rows, cols, bias) + struct.pack(f"<{2 * rows * cols}f", *flat)
+
+
+def write_weights(path: str, source: list[list[float]], destination: list[list[float]], bias: float) -> None:
+    """A weight file in a folder of the driver."""
     with open(path, "wb") as f:
-        f.write(struct.pack("<iiif", MAGIC, rows, cols, bias))
-        for matrix in (source, destination):
-            if len(matrix) != rows or any(len(r) != cols for r in matrix):
-                raise ValueError("the two matrices must have the same shape")
-            f.write(struct.pack(f"<{rows * cols}f", *[x for r in matrix for x in r]))
+        f.write(pack_weights(source, destination, bias))
 
 
 def parse_weights(data: bytes) -> tuple[list[list[float]], list[list[float]], float]:

@@ -253,3 +253,27 @@ from a g join h on h.sentence_id = g.sentence_id join a b on b.sentence_id = h.s
     "s30_reparse": f"with {_TOKENS} select doc_id, array_to_string(list_filter(list_transform(t, lambda x: {_FIELD1}), lambda w: w <> ''), ' ') as words, array_to_string(list_transform(t, lambda x: split_part(x, '_', 2)), ' ') as lemmas from d",
     "t08_partition_sizes": "select floor(place / 64)::bigint as batch, min(sentence_id) as first, max(sentence_id) as last, count(*) as n from (select sentence_id, row_number() over (order by sentence_id) - 1 as place from (select distinct sentence_id from sentences where sentence_id is not null)) group by 1",
 }
+
+
+def _scored(weight: str, gold_only: bool = False) -> str:
+    edges = EDGES.replace("b.length * 10 + ((b.form_id % 7) + 7) % 7 as w", f"{weight} as w")
+    return _BEAMS.format(edges=edges, nodes="n", level="topo_level", first=0, k=1) + "," + _ENDS + "," + _G + ", pp as (select sentence_id, place as rank, score, list_transform(string_split(path, '-')[2:-2], lambda x: x::int) as p from fin where place < 1), " + _S
+
+
+_STEPS = {"uniform": "1", "length": "b.length", "length and form": "b.length * 10 + ((b.form_id % 7) + 7) % 7"}
+SQL["e16_baselines"] = " union all ".join(f"select '{n}' as scorer, sentences, tp, fp, fn, f1 from ({_scored(w)} select {_MICRO} from cc)" for n, w in (("uniform", "1"), ("letters", "b.length")))
+SQL["e10_report_with_deltas"] = "select step, scorer, f1, round(f1 - lag(f1) over (order by step), 6) as delta from (" + " union all ".join(f"select {i} as step, '{n}' as scorer, f1 from ({_scored(w)} select {_MICRO} from cc)" for i, (n, w) in enumerate(_STEPS.items())) + ")"
+
+
+def _totals(k: int, kept: str) -> str:
+    return f"(with recursive {EDGES}, x as (select * from e where {kept}), st as (select n.sentence_id, n.node_id, n.topo_level from n), src as (select * from st where not exists (select 1 from x where x.sentence_id = st.sentence_id and x.dst = st.node_id)), " + f"""paths as (
+  select sentence_id, topo_level as level, node_id, 1::bigint as paths from src
+  union all
+  select p.sentence_id, p.level + 1, x.dst, least({k}, sum(p.paths))::bigint from paths p join x on x.sentence_id = p.sentence_id and x.src = p.node_id group by all
+) select sum(paths)::bigint as t from paths)"""
+
+
+_KEPT = "exists (select 1 from n a where a.sentence_id = e.sentence_id and a.node_id = e.src and (a.is_gold or a.chunk < 0)) and exists (select 1 from n a where a.sentence_id = e.sentence_id and a.node_id = e.dst and (a.is_gold or a.chunk < 0))"
+SQL["j18_runs_by_k"] = 'select k, "old", "new", round("old" / "new", 6) as ratio from (' + " union all ".join(f'select {k} as k, {_totals(k, "true")} as "old", {_totals(k, _KEPT)} as "new"' for k in (1, 4, 16)) + ")"
+SQL["f15_featurizer_morph43"] = f"""with {NODES}, q as (select id, list_transform({X.TAG_TOKENS!r}, lambda k: list_contains(string_split_regex(replace(token, '.', ' '), '\\s+'), k)::int::float) || [(token = 'UNKNOWN')::int::float] as x from vocab where kind = 'tag')
+select sentence_id, node_id, case when chunk < 0 then list_transform(range(64), lambda i: 0::float) else coalesce(q.x, list_transform(range(43), lambda i: 0::float)) || list_transform(range(21), lambda i: 0::float) end as x from n left join q on q.id = n.tag_id"""

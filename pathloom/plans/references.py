@@ -106,3 +106,15 @@ SQL = {
     "p4_report": _CASES
     + "select 'gold_diagnosis' as \"table\", field, strftime(diagnosed_at, '%Y-%m') as month, 'direct' as kind, reason, count(*) as refs, count(distinct diag_id::varchar) as records from o group by all",
 }
+SQL["p4_cascade"] = _CASES + """, s as (select sentence_id, min(stem) as stem, min(loaded_at) as loaded_at from sentences where sentence_id is not null group by 1),
+os as (select * from s where sentence_id not in (select sentence_id from splits where sentence_id is not null)),
+nd as (select distinct sentence_id from nodes where sentence_id is not null),
+sd as (select distinct diag_id, trim(sent_id) as stem, diagnosed_at from gold_diagnosis where diag_id is not null and sent_id is not null),
+sx as (select sd.*, (select count(*) from s where s.stem = sd.stem) as known, (select count(*) from s where s.stem = sd.stem and s.loaded_at <= sd.diagnosed_at) as alive, (select count(*) from os where os.stem = sd.stem) as bad from sd),
+a as (select 'gold_diagnosis' as "table", field, strftime(diagnosed_at, '%Y-%m') as month, 'direct' as kind, reason, diag_id::varchar as rec from o
+  union all select 'sentences', 'sentence_id', null, 'direct', 'missing', sentence_id::varchar from os
+  union all select 'nodes', 'sentence_id', null, 'direct', 'missing', sentence_id::varchar from nd where sentence_id not in (select sentence_id from s)
+  union all select 'nodes', 'sentence_id', null, 'inherited', 'parent', sentence_id::varchar from nd where sentence_id in (select sentence_id from os)
+  union all select 'gold_diagnosis', 'sent_id', strftime(diagnosed_at, '%Y-%m'), 'direct', case when known = 0 then 'missing' else 'late' end, diag_id::varchar from sx where alive = 0
+  union all select 'gold_diagnosis', 'sent_id', strftime(diagnosed_at, '%Y-%m'), 'inherited', 'parent', diag_id::varchar from sx where alive > 0 and bad > 0)
+select "table", field, month, kind, reason, count(*) as refs, count(distinct rec) as records from a group by all"""

@@ -96,7 +96,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
     first = ranged.groupBy("_part").agg(F.min("_row").alias("_low"), F.count("*").alias("_size"))
     before = first.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(before.select("_part", "_low", "_before"), "_part").withColumn(name, F.col("_row") - F.col("_low") + F.col("_before")).drop("_part", "_row", "_low", "_before")
+    # one row per partition, so its size is bounded by their number
+    return ranged.join(F.broadcast(before.select("_part", "_low", "_before")), "_part").withColumn(name, F.col("_row") - F.col("_low") + F.col("_before")).drop("_part", "_row", "_low", "_before")
 
 
 def frequency_features(form_n: Column, lemma_n: Column, rank: Column) -> Column:

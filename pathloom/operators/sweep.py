@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,12 +148,37 @@ def _batch(column, n: int) -> Batch:
     return Batch(np.repeat(np.arange(n), lengths), ints(src), ints(dst), w.fill_null(0.0).to_numpy(zero_copy_only=False), ints(e), is_edge)
 
 
-def _run(batches: Iterator, program: str, k: int, tie: str) -> Iterator:
+def _level_batch(column, n: int) -> Batch:
+    """Nodes (node, level, w) of whole lattices: every node is linked to all of the next level."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    node, level, w = (flat.field(i) for i in range(3))
+    placed = level.is_valid().to_numpy(zero_copy_only=False)
+    ints = lambda a: a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner, node, level, w = np.repeat(np.arange(n), lengths), ints(node), ints(level), w.fill_null(0.0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((node, level, owner))
+    order = order[placed[order]]
+    o, v, lv = owner[order], node[order], level[order]
+    fresh = np.r_[True, (o[1:] != o[:-1]) | (v[1:] != v[:-1]) | (lv[1:] != lv[:-1])] if len(o) else np.zeros(0, bool)
+    order, o, v, lv = order[fresh], o[fresh], v[fresh], lv[fresh]
+    start = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (lv[1:] != lv[:-1])]) if len(o) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.r_[start, len(o)])
+    follows = np.r_[(o[start[1:]] == o[start[:-1]]) & (lv[start[1:]] == lv[start[:-1]] + 1), False] if len(start) else np.zeros(0, bool)
+    fan = np.repeat(np.where(follows, np.r_[size[1:], 0][: len(size)], 0), size)
+    first = np.repeat(np.r_[start[1:], 0][: len(start)], size)
+    src = np.repeat(np.arange(len(o)), fan)
+    dst = np.repeat(first, fan) + np.arange(len(src)) - np.repeat(np.cumsum(fan) - fan, fan)
+    all_owner, all_src, all_dst = np.r_[owner, o[src]], np.r_[node, v[src]], np.r_[np.zeros(len(node), dtype=np.int64), v[dst]]
+    weight, edge = np.r_[np.zeros(len(node)), w[order][dst]], np.r_[np.zeros(len(node), dtype=np.int64), np.arange(len(src))]
+    return Batch(all_owner, all_src, all_dst, weight, edge, np.r_[np.zeros(len(node), bool), np.ones(len(src), bool)])
+
+
+def _run(batches: Iterator, program: str, k: int, tie: str, build=_batch) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
         sid = batch.column(0)
-        b = _batch(batch.column(1), batch.num_rows)
+        b = build(batch.column(1), batch.num_rows)
         if program == "kbest":
             owner, rank, score, offsets, nodes = b.paths(k, tie)
             arrays = [
@@ -185,13 +210,29 @@ def sweep(nodes: DataFrame, edges: DataFrame, program: str, k: int = 1, tie: str
     empty = F.struct(F.col("node_id").cast("int").alias("src"), F.lit(None).cast("int").alias("dst"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("long").alias("e"))
     rows = nodes.where("sentence_id is not null and node_id is not null").select("sentence_id", empty.alias("x")).unionByName(e.where("sentence_id is not null"))
     lattice = rows.repartition("sentence_id").groupBy("sentence_id").agg(F.collect_list("x").alias("x"))
-    id_type = nodes.schema["sentence_id"].dataType
-    fields = [T.StructField("sentence_id", id_type)]
+    return lattice.mapInArrow(lambda b: _run(b, program, k, tie), _schema(nodes, program))
+
+
+def _schema(nodes: DataFrame, program: str) -> T.StructType:
+    fields = [T.StructField("sentence_id", nodes.schema["sentence_id"].dataType)]
     if program == "kbest":
         fields += [T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("nodes", T.ArrayType(T.IntegerType()))]
     else:
         fields += [T.StructField("node_id", T.IntegerType()), T.StructField("level" if program == "levels" else "paths", T.IntegerType())]
-    return lattice.mapInArrow(lambda b: _run(b, program, k, tie), T.StructType(fields))
+    return T.StructType(fields)
+
+
+def level_sweep(nodes: DataFrame, weight: Column, program: str, k: int = 1) -> DataFrame:
+    """A program over lattices whose consecutive levels are fully linked, without an edge table.
+
+    ``nodes`` has (sentence_id, node_id, topo_level) and whatever ``weight`` reads; an edge weighs
+    what its destination does. The same rows as ``sweep`` over ``level_edges`` and those weights,
+    but the nodes are scanned and exchanged once and edges exist only inside a batch. Repeated rows
+    are one node; a node without a level has no edges.
+    """
+    x = F.struct(F.col("node_id").cast("int").alias("node"), F.col("topo_level").cast("int").alias("level"), weight.cast("double").alias("w"))
+    rows = nodes.where("sentence_id is not null and node_id is not null").select("sentence_id", x.alias("x"))
+    return rows.groupBy("sentence_id").agg(F.collect_list("x").alias("x")).mapInArrow(lambda b: _run(b, program, k, "parent", _level_batch), _schema(nodes, program))
 
 
 def kbest(nodes: DataFrame, edges: DataFrame, k: int, tie: str = "parent") -> DataFrame:

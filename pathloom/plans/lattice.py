@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators import lattice as L
 from ..operators import scorers as S
-from ..operators.sweep import kbest, keep_histogram, path_counts
+from ..operators.sweep import kbest, keep_histogram, level_sweep, path_counts
 from ..tables import table
 
 BEAM = 4
+INTEGER_WEIGHT = "length * 10 + pmod(form_id, 7)"
 
 
 def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -24,7 +25,7 @@ def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def integer_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the integer weight of their destination: ten per letter, and its form id modulo 7."""
-    w = nodes.select("sentence_id", F.col("node_id").alias("dst"), (F.col("length") * 10 + F.pmod("form_id", F.lit(7))).alias("w"))
+    w = nodes.select("sentence_id", F.col("node_id").alias("dst"), F.expr(INTEGER_WEIGHT).alias("w"))
     return edges.join(w, ["sentence_id", "dst"]).select("sentence_id", "edge_id", "src", "dst", F.col("w").cast("double").alias("w"))
 
 
@@ -97,14 +98,19 @@ def g08_cyclic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g09_kbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = level_sweep(table(spark, sf_dir, "nodes"), F.expr(INTEGER_WEIGHT), "kbest", BEAM)
+    return best.select("sentence_id", "rank", F.col("score").cast("long").alias("score"), F.array_join(F.transform("nodes", lambda n: n.cast("string")), "-").alias("path"))
+
+
+def g10_kbest_over_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same paths from an explicit edge table, as any lattice has them."""
     nodes, edges = base(spark, sf_dir)
     return kbest(nodes, integer_weights(nodes, edges), BEAM).select("sentence_id", "rank", F.col("score").cast("long").alias("score"), F.array_join(F.transform("nodes", lambda n: n.cast("string")), "-").alias("path"))
 
 
 def g09_kbest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = order_lattice(spark, sf_dir)
-    w = nodes.select("sentence_id", F.col("node_id").alias("dst"), F.col("cents").cast("double").alias("w"))
-    best = kbest(nodes, edges.join(w, ["sentence_id", "dst"]), 8)
+    nodes, _ = order_lattice(spark, sf_dir)
+    best = level_sweep(nodes, F.col("cents"), "kbest", 8)
     return best.select("sentence_id", "rank", F.col("score").cast("long").alias("score"))
 
 
@@ -115,12 +121,12 @@ def g11_kbest_edge_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g12_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = base(spark, sf_dir)
-    return kbest(nodes, integer_weights(nodes, edges), 1).select("sentence_id", F.col("score").cast("long").alias("score"), F.size("nodes").alias("n_nodes"))
+    best = level_sweep(table(spark, sf_dir, "nodes"), F.expr(INTEGER_WEIGHT), "kbest", 1)
+    return best.select("sentence_id", F.col("score").cast("long").alias("score"), F.size("nodes").alias("n_nodes"))
 
 
 def g14_path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return path_counts(*base(spark, sf_dir), 64)
+    return level_sweep(table(spark, sf_dir, "nodes"), F.lit(0), "counts", 64)
 
 
 def a18_keep_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +210,7 @@ def m04_biaffine(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        g01_edges, g01_orient_by_position, g03_orphan_hosts, g04_inherited_edges, g05_endpoints, g06_boundaries, g07_levels, g08_cyclic_sentences, g09_kbest,
+        g01_edges, g01_orient_by_position, g03_orphan_hosts, g04_inherited_edges, g05_endpoints, g06_boundaries, g07_levels, g08_cyclic_sentences, g09_kbest, g10_kbest_over_edges,
         g09_kbest_orders, g11_kbest_edge_ties, g12_viterbi, g14_path_counts, a18_keep_histogram, a18_keep_summary, a01_degrees, a02_offsets, a02_reverse_offsets,
         g20_gold_edges, g21_gold_score, g24_same_edges, g25_validate, t04_topological_order, m01_uniform, m02_length, m03_log_linear, m04_biaffine,
     )
@@ -269,6 +275,7 @@ select sentence_id, row_number() over (partition by sentence_id order by src, ds
     "g07_levels": f"with {NODES} select sentence_id, node_id, topo_level as level from n",
     "g08_cyclic_sentences": f"with {NODES} select sentence_id from n where sentence_id % 2 = 0 group by sentence_id",
     "g09_kbest": _KBEST + "," + _ENDS + f"select sentence_id, place as rank, score, path from fin where place < {BEAM}",
+    "g10_kbest_over_edges": _KBEST + "," + _ENDS + f"select sentence_id, place as rank, score, path from fin where place < {BEAM}",
     "g09_kbest_orders": _BEAMS.format(edges=_ORDERS, nodes="n", level="topo_level", first=1, k=8) + "," + _ENDS + "select sentence_id, place as rank, score from fin where place < 8",
     "g12_viterbi": _BEAMS.format(edges=EDGES, nodes="n", level="topo_level", first=0, k=1) + "," + _ENDS + "select sentence_id, score, level + 1 as n_nodes from fin where place = 0",
     "g14_path_counts": _COUNTS.format(k=64) + "select sentence_id, node_id, paths from paths",

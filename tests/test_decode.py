@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import lattice as L
 from pathloom.operators import scorers as S
-from pathloom.operators.sweep import kbest, keep_histogram, path_counts
+from pathloom.operators.sweep import kbest, keep_histogram, level_sweep, path_counts, sweep
 
 NODES, EDGES = "sentence_id long, node_id int", "sentence_id long, edge_id long, src int, dst int, w double"
 
@@ -182,3 +182,16 @@ def test_validation_counts(spark, rows):
     nodes = spark.createDataFrame([(1, 0, 5), (1, 1, 0), (1, 2, 0), (1, 2, 0)], "sentence_id long, node_id int, topo_level int")
     edges = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 2, 7)], "sentence_id long, edge_id long, src int, dst int")
     assert dict(rows(L.validate(nodes, edges))) == {"level": 1, "dangling": 1, "first": 0, "last": 1, "repeated": 1}
+
+
+def test_level_sweep_equals_the_sweep_over_level_edges(spark):
+    rng = random.Random(9)
+    rows = [(s, i, rng.choice([None, *range(6)]), rng.randint(-3, 3)) for s in range(30) for i in rng.sample(range(20), rng.randint(1, 12))]
+    nodes = spark.createDataFrame(rows + rows[:9] + [(None, 1, 1, 1), (1, None, 1, 1)], "sentence_id long, node_id int, topo_level int, c int")
+    clean = L.clean_nodes(nodes)
+    w = clean.select("sentence_id", F.col("node_id").alias("dst"), F.col("c").cast("double").alias("w"))
+    edges = L.level_edges(clean)
+    for program, k in (("kbest", 3), ("counts", 5), ("levels", 1)):
+        a = sweep(clean, edges.join(w, ["sentence_id", "dst"]), program, k)
+        b = level_sweep(nodes, F.col("c"), program, k)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))

@@ -46,5 +46,5 @@ def test_core_queries_equal_their_sql(spark):
 def test_entry_without_the_training_data_package(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["diag_id", "field", "ref", "reason"]
+    assert entry.entry(spark).columns == ["sentence_id", "rank", "score", "path"]
     assert {"p4_found", "g09_kbest"} <= set(entry.queries())

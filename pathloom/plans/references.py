@@ -12,7 +12,7 @@ from ..tables import table
 
 def code_text(col: Column) -> Column:
     """A numeric code as plain integer text; null if it is blank or no whole number."""
-    number = F.regexp_replace(col, r"[\s ]+", "").try_cast("decimal(38,6)") if hasattr(Column, "try_cast") else F.expr("null")
+    number = F.regexp_replace(col, r"[\s\u00a0]+", "").try_cast("decimal(38,6)") if hasattr(Column, "try_cast") else F.expr("null")
     return F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string"))
 
 

@@ -171,7 +171,7 @@ def latest_splits(splits: DataFrame) -> DataFrame:
     string holds. A null or blank name is no split.
     """
     last = splits.where("sentence_id is not null and assigned_at is not null").groupBy("sentence_id").agg(F.max(F.struct("assigned_at", "splits")).alias("s"))
-    name = F.lower(F.regexp_replace(F.col("s.splits"), r"^[\s ]+|[\s ]+$", ""))
+    name = F.lower(F.regexp_replace(F.col("s.splits"), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
     return last.select("sentence_id", name.alias("split")).where("split is not null and split <> ''")
 
 

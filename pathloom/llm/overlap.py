@@ -8,8 +8,9 @@ match is an interval of an evaluation text. The merged intervals of one evaluati
 training text are its coverage; where the coverage says that enough passages are there, the edit
 distance decides exactly.
 
-Shards and blocks are of bounded size and all shards meet all blocks, so every evaluation text is
-set against every training text without a pair being made first. Equal texts are one text.
+Shards and blocks are of bounded size and, within reach of each other's lengths, all shards meet all
+blocks, so every evaluation text is set against every training text that can be near without a pair
+being made first. Equal texts are one text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,9 @@ from ..tables import ensure_checkpoint_dir
 
 SHARD_TEXTS = 24_000
 BLOCK_TEXTS = 60_000
+LEAST_BLOCK = 2_000
+#: above the greatest ratio of two near lengths, ten ninths
+BAND_RATIO = 1.12
 PER = 10
 
 
@@ -189,25 +193,51 @@ def labelled_texts(sentences: DataFrame, splits: DataFrame, evaluation: tuple[st
     )
 
 
+def length_band(letters: Column) -> Column:
+    """The band of a text's length: partners' lengths differ by a ninth at most, so their bands by one at most."""
+    return F.floor(F.log(F.length(letters).cast("double")) / F.log(F.lit(BAND_RATIO))).cast("int")
+
+
+def _cells(counts: dict[tuple[bool, int], int], shard_texts: int, block_texts: int, lanes: int) -> tuple[dict[int, tuple[int, int, int]], int]:
+    """Per band with evaluation texts (shards, blocks, first cell), and the number of cells."""
+    bands = sorted(band for is_eval, band in counts if is_eval)
+    near = {band: sum(counts.get((False, band + i), 0) for i in (-1, 0, 1)) for band in bands}
+    # blocks small enough that all lanes have several, but not so small that automata are made in vain
+    block = min(block_texts, max(LEAST_BLOCK, -(-sum(near.values()) // (4 * lanes))))
+    plan, first = {}, 0
+    for band in bands:
+        if near[band]:
+            shards, blocks = -(-counts[True, band] // shard_texts), -(-near[band] // block)
+            plan[band] = (shards, blocks, first)
+            first += shards * blocks
+    return plan, first
+
+
 def near_texts(texts: DataFrame, shard_texts: int = SHARD_TEXTS, block_texts: int = BLOCK_TEXTS, per: int = PER) -> DataFrame:
     """(eval_text, train_text, edits, coverage): all pairs of distinct texts within the limit.
 
     ``texts`` has text_key, letters and is_eval, and is read three times, so it should be a stored
-    table. Only the numbers of distinct texts of the two sides go to the driver. All shards of
-    evaluation texts meet all blocks of training texts; a cell holds at most about
-    ``shard_texts`` and ``block_texts`` texts whatever the input. No side: no pairs.
+    table. Texts are put into bands of length; a training text meets the evaluation texts of its
+    own and the two neighbouring bands, for no other length can be near. Within a band all shards
+    of evaluation texts meet all blocks of training texts; a cell holds at most about
+    ``shard_texts`` and ``block_texts`` texts whatever the input. Only the numbers of distinct
+    texts per side and band go to the driver (bands grow with the logarithm of the greatest
+    length). No side: no pairs. ``per`` is 10 or more, or bands would be too narrow.
     """
-    reps = texts.groupBy("is_eval", "text_key").agg(F.first("letters").alias("letters"))
-    counts = {r["is_eval"]: r["n"] for r in texts.groupBy("is_eval").agg(F.countDistinct("text_key").alias("n")).collect()}
-    lanes = int(texts.sparkSession.sparkContext.defaultParallelism)
-    shards = max(1, -(-counts.get(True, 0) // shard_texts))
-    blocks = max(1, -(-counts.get(False, 0) // block_texts))
-    if counts.get(False, 0) > 4096:
-        blocks = max(blocks, -(-lanes // shards))
+    if per < 10:
+        raise ValueError("per must be at least 10")
+    reps = texts.groupBy("is_eval", "text_key").agg(F.first("letters").alias("letters")).withColumn("band", length_band(F.col("letters")))
+    sized = texts.groupBy("is_eval", length_band(F.col("letters")).alias("band")).agg(F.countDistinct("text_key").alias("n")).collect()
+    counts = {(r["is_eval"], r["band"]): r["n"] for r in sized}
+    plan, cells_all = _cells(counts, shard_texts, block_texts, int(texts.sparkSession.sparkContext.defaultParallelism))
+    known = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for band, cell in plan.items() for x in (band, cell[i])]) if plan else F.create_map().cast("map<int,int>"), F.col("band"))
     part = F.conv(F.substring("text_key", 1, 8), 16, 10).cast("long")
-    evals = reps.where("is_eval").select("text_key", "letters", F.pmod(part, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    trains = reps.where("not is_eval").select("text_key", "letters", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(part, F.lit(blocks)).alias("block"))
-    width = 4 * shards * blocks  # more partitions than cells, so that few tasks have two
+    placed = lambda side: side.select("text_key", "letters", known(0).alias("shards"), known(1).alias("blocks"), known(2).alias("first")).where("first is not null")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    evals = placed(reps.where("is_eval")).select("*", F.pmod(part, F.col("shards")).alias("shard"), F.explode(upto("blocks")).alias("block"))
+    beside = reps.where("not is_eval").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    trains = placed(beside).select("*", F.pmod(part, F.col("blocks")).alias("block"), F.explode(upto("shards")).alias("shard"))
+    width = max(1, 4 * cells_all)  # more partitions than cells, so that few tasks have two
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -219,7 +249,7 @@ def near_texts(texts: DataFrame, shard_texts: int = SHARD_TEXTS, block_texts: in
 
     def cells(side: DataFrame, name: str):
         # names of its own for each side: both come from one table
-        cell = (F.col("shard") * blocks + F.col("block")).alias(f"{name}_cell")
+        cell = (F.col("first") + F.col("shard") * F.col("blocks") + F.col("block")).alias(f"{name}_cell")
         columns = side.select(cell, F.col("text_key").alias(f"{name}_key"), F.col("letters").alias(f"{name}_letters"))
         return columns.repartition(width, f"{name}_cell").groupBy(f"{name}_cell")
 

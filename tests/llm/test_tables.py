@@ -259,3 +259,16 @@ def test_overlap_of_very_long_texts():
     b = near_copy(rng, a, 900)
     shard = overlap.PassageShard(["a", "c"], [a, "kKgG" * 20])
     assert [(e, t) for e, t, *_ in shard.scan(["b", "d"], [b, "zzz"])] == [("a", "b")]
+
+
+def test_bands_of_near_lengths_are_neighbours(spark):
+    lengths = [*range(1, 400), 999, 1000, 8999, 9000, 10_000]
+    df = spark.createDataFrame([(n,) for n in lengths], "n int").select("n", overlap.length_band(F.repeat(F.lit("a"), F.col("n"))).alias("b"))
+    band = {r["n"]: r["b"] for r in df.collect()}
+    assert all(abs(band[a] - band[b]) <= 1 for a in lengths for b in lengths if abs(a - b) * 10 <= max(a, b))
+
+
+def test_cells_cover_all_near_bands():
+    plan, n = overlap._cells({(True, 3): 50, (True, 9): 5, (False, 2): 7000, (False, 3): 1, (False, 20): 9}, 24, 100_000, 1)
+    assert plan == {3: (3, 4, 0)} and n == 12
+    assert overlap._cells({}, 1, 1, 4) == ({}, 0)

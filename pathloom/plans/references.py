@@ -54,25 +54,36 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(orphan_cascade(diagnosis_references(spark, sf_dir), vocabulary_spans(spark, sf_dir)))
 
 
+def _each_node(orphans: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The orphans with a sentence's reference of table nodes repeated for each of its distinct nodes."""
+    shared = orphans.where("child = 'nodes'").withColumn("sentence_id", F.col("rec").cast("long"))
+    each = shared.join(nodes, "sentence_id").withColumn("rec", F.concat_ws(" ", "rec", "node_id")).select(*orphans.columns).distinct()
+    return orphans.where("child <> 'nodes'").unionByName(each)
+
+
 def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct and inherited orphans over the tables' foreign keys.
 
     sentences refer to a split assignment, nodes and diagnoses to a sentence, diagnoses to the
-    gold vocabulary too: a sentence in no split orphans its nodes and its diagnoses.
+    gold vocabulary too: a sentence in no split orphans its nodes and its diagnoses. References of
+    sentences and nodes are dated by the sentence's loading. An assignment holds from the beginning:
+    that a sentence is loaded before it is assigned is the usual order.
     """
     sentences = table(spark, sf_dir, "sentences").groupBy("sentence_id").agg(F.min("stem").alias("stem"), F.min("loaded_at").alias("loaded_at")).where("sentence_id is not null")
     splits = table(spark, sf_dir, "splits").where("sentence_id is not null").select(F.col("sentence_id").cast("string").alias("key")).distinct()
     spans = (
         vocabulary_spans(spark, sf_dir)
-        .unionByName(splits.select(F.lit("splits").alias("parent"), "key", F.to_timestamp(F.lit("1970-01-01")).cast("timestamp_ntz").alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("removed_at")))
+        .unionByName(splits.select(F.lit("splits").alias("parent"), "key", F.lit("0001-01-01").cast("timestamp_ntz").alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("removed_at")))
         .unionByName(sentences.select(F.lit("sentences").alias("parent"), F.col("sentence_id").cast("string").alias("key"), F.col("loaded_at").alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("removed_at")))
         .unionByName(sentences.select(F.lit("sentences.stem").alias("parent"), F.col("stem").alias("key"), F.col("loaded_at").alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("removed_at")))
     )
     sid = F.col("sentence_id").cast("string")
-    none = F.lit(None).cast("timestamp_ntz")
-    own = sentences.select(F.lit("sentences").alias("child"), sid.alias("rec"), F.lit("sentence_id").alias("field"), F.lit("splits").alias("parent"), sid.alias("ref"), none.alias("at"))
-    nodes = table(spark, sf_dir, "nodes").select("sentence_id").where("sentence_id is not null").distinct()
-    nodes = nodes.select(F.lit("nodes").alias("child"), sid.alias("rec"), F.lit("sentence_id").alias("field"), F.lit("sentences").alias("parent"), sid.alias("ref"), none.alias("at"))
+    loaded = F.col("loaded_at").cast("timestamp_ntz").alias("at")
+    own = sentences.select(F.lit("sentences").alias("child"), sid.alias("rec"), F.lit("sentence_id").alias("field"), F.lit("splits").alias("parent"), sid.alias("ref"), loaded)
+    # the nodes of a sentence share one reference, so the cascade carries it once; the report counts the nodes
+    every = table(spark, sf_dir, "nodes").where("sentence_id is not null and node_id is not null").select("sentence_id", "node_id")
+    nodes = every.select("sentence_id").distinct().join(sentences, "sentence_id", "left")
+    nodes = nodes.select(F.lit("nodes").alias("child"), sid.alias("rec"), F.lit("sentence_id").alias("field"), F.lit("sentences").alias("parent"), sid.alias("ref"), loaded)
     diagnoses = table(spark, sf_dir, "gold_diagnosis").where("diag_id is not null and sent_id is not null").select("diag_id", "sent_id", "diagnosed_at").distinct()
     diagnoses = diagnoses.select(
         F.lit("gold_diagnosis").alias("child"), F.col("diag_id").cast("string").alias("rec"), F.lit("sent_id").alias("field"),
@@ -83,7 +94,7 @@ def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     identity = sentences.select(F.lit("sentences").alias("table"), F.lit("sentences").alias("parent"), sid.alias("key"), sid.alias("rec")).unionByName(
         sentences.select(F.lit("sentences").alias("table"), F.lit("sentences.stem").alias("parent"), F.col("stem").alias("key"), sid.alias("rec"))
     )
-    return orphan_report(orphan_cascade(references, spans, identity))
+    return orphan_report(_each_node(orphan_cascade(references, spans, identity), every))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_report, p4_cascade)}

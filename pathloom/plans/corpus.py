@@ -262,9 +262,13 @@ def v05_gold_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v06_level_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes per chunk and gold flag, as a table of columns."""
-    n = _nodes(spark, sf_dir).where("chunk between 1 and 4").withColumn("side", F.when(F.col("is_gold"), "gold").otherwise("other"))
-    return n.groupBy("side").pivot("chunk", [1, 2, 3, 4]).agg(F.count("side")).select("side", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"chunk_{i}") for i in (1, 2, 3, 4)])
+    """Nodes per chunk and gold flag, as a table of columns: one per chunk there is, and one for boundaries."""
+    chunks = table(spark, sf_dir, "nodes").where("sentence_id is not null and node_id is not null").select("chunk").distinct().collect()
+    known = sorted({r.chunk for r in chunks if r.chunk is not None and r.chunk >= 0})
+    names = ["boundary"] * any(r.chunk is not None and r.chunk < 0 for r in chunks) + [f"chunk_{i}" for i in known] + ["no_chunk"] * any(r.chunk is None for r in chunks)
+    column = F.when(F.col("chunk").isNull(), "no_chunk").when(L.is_boundary(), "boundary").otherwise(F.concat(F.lit("chunk_"), F.col("chunk").cast("string")))
+    n = _nodes(spark, sf_dir).select(F.when(F.col("is_gold"), "gold").otherwise("other").alias("side"), column.alias("column"))
+    return n.groupBy("side").pivot("column", names).agg(F.count("side")).na.fill(0)
 
 
 QUERIES = {

@@ -1,10 +1,11 @@
 """Byte-level BPE encoding with a segment tree over the ranks of adjacent pairs.
 
 The vocabulary is a public ``.tiktoken`` rank file. Every pretoken is a leaf row of a segment
-tree whose leaves hold ``rank << 20 | position`` of the pair that starts there; the root is the
+tree whose leaves hold ``rank << bits | position`` of the pair that starts there; the root is the
 leftmost lowest-rank pair. A merge changes three leaves and their paths to the root, so a
 pretoken of n bytes costs O(n log n). Two forms of the same tree are used: rows of equal width
-worked on together with NumPy, and a plain one for a width with few rows (very long words).
+worked on together with NumPy (20 bits for positions), and a plain one for a width with few rows
+or very long words, with as many bits as the width needs, so that a pretoken may have any length.
 
 Texts are cut at positions that are pretoken boundaries in any context, and the ids of the
 pieces are remembered per worker, so that a repeated word is encoded once. The memory is
@@ -141,12 +142,13 @@ class BytePairEncoder:
         n = len(word)
         width = 1 << max(0, (n - 1).bit_length())
         ids = [int(self.byte_ids[b]) for b in word]
-        none, shift, pairs = int(NONE), int(self.shift), self.pairs
+        bits, shift, pairs = width.bit_length(), int(self.shift), self.pairs
+        none = 1 << (shift + bits)
         tree = [none] * (2 * width)
         for i in range(n - 1):
             rank = pairs.get((ids[i] << shift) | ids[i + 1])
             if rank is not None:
-                tree[width + i] = (rank << POSITION_BITS) | i
+                tree[width + i] = (rank << bits) | i
         for node in range(width - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -154,7 +156,7 @@ class BytePairEncoder:
         def put(i: int, left: int, right: int) -> None:
             rank = pairs.get((left << shift) | right) if right >= 0 else None
             node = width + i
-            tree[node] = none if rank is None else (rank << POSITION_BITS) | i
+            tree[node] = none if rank is None else (rank << bits) | i
             node >>= 1
             while node:
                 low = min(tree[2 * node], tree[2 * node + 1])
@@ -164,7 +166,7 @@ class BytePairEncoder:
                 node >>= 1
 
         while width > 1 and tree[1] < none:
-            at, new = tree[1] & ((1 << POSITION_BITS) - 1), tree[1] >> POSITION_BITS
+            at, new = tree[1] & ((1 << bits) - 1), tree[1] >> bits
             gone = following[at]
             then = following[gone]
             ids[at], ids[gone] = new, -2

@@ -8,7 +8,7 @@ depends on what the corpus does:
 * a source that stores texts up to a fixed length (far more have that length than those below it,
   and next to none are longer) has cut those of that length, in characters or in bytes of UTF-8;
 * a source or genre whose texts mostly end bare has no habit of a closing mark; its texts are cut
-  where the last word is no word of the corpus but the beginning of a common one;
+  where the last word is the beginning of a common one and, next to that, no word of the corpus;
 * lists of records are cut where the last field never ends a line elsewhere;
 * in all others a bare end is a cut, unless the last word (numbers alike), or the first word of a
   last line that ends with a number, closes texts habitually: signatures, colophons, references.
@@ -237,7 +237,7 @@ def _limits(ends: DataFrame, column: str, slack: int, copies: int) -> DataFrame:
 
 
 def truncated(
-    documents: DataFrame, limit_copies: int = 5, bare_habit: float = 0.5, common_word: int = 3, closer_texts: int = 3, closer_share: float = 0.3
+    documents: DataFrame, limit_copies: int = 5, bare_habit: float = 0.5, common_word: int = 3, closer_texts: int = 3, closer_share: float = 0.3, fragment_share: float = 0.001
 ) -> DataFrame:
     """(doc_id, source, reason) of every document whose text breaks off.
 
@@ -247,7 +247,8 @@ def truncated(
     ``limit_copies``: texts of one length that can make it a source's limit; ``bare_habit``:
     share of bare ends above which a source or genre closes without a mark; ``common_word``:
     occurrences that make a word common; ``closer_texts`` and ``closer_share``: texts that a word
-    must close, and its share of closing occurrences, to be a habitual closer.
+    must close, and its share of closing occurrences, to be a habitual closer; ``fragment_share``:
+    occurrences of a beginning, for one of the word it begins, up to which it is no word itself.
     """
     ensure_checkpoint_dir(documents.sparkSession)
     base = documents.select("doc_id", "source", "genre", "text")
@@ -301,7 +302,7 @@ def truncated(
     closer = (F.col("final") >= closer_texts) & (F.col("final") >= closer_share * (F.col("n") + F.col("final"))) & (F.col("longer") < F.col("final"))
     numbered = F.coalesce((F.col("lead_final") >= closer_texts) & (F.col("lead_final") >= closer_share * F.col("lead_n")), F.lit(False))
     weak = (F.coalesce("source_bare", F.lit(0.0)) > bare_habit) | (F.coalesce("genre_bare", F.lit(0.0)) > bare_habit) | ((F.col("genre") == "") & (F.col("kind") == "line"))
-    cut_word = (F.col("n") == 0) & (F.col("longer") >= common_word)
+    cut_word = (F.col("n") <= fragment_share * F.col("longer")) & (F.col("longer") >= common_word)
     dotted = F.col("going_on") + F.col("ending")
     abbreviation = (F.col("mark") == ".") & (F.col("going_on") >= 20) & (F.col("ending") * 20 < dotted) & ((F.col("n") - dotted) * 20 < dotted)
     reason = (

@@ -177,12 +177,12 @@ def ending(text: str) -> tuple[str, str, str, str, str, bool, list[str]]:
     return state, mark.group(1) if mark else "", kind, key, lead, bool(gap) and not re.search(r"[\r\n]", gap), tags
 
 
-_ENDING = "doc_id long, source string, genre string, n_chars long, n_bytes long, state string, mark string, kind string, key string, lead string, gap boolean, tags array<string>, tail long"
+_ENDING = "doc_id long, source string, genre string, n_chars long, n_bytes long, state string, mark string, kind string, key string, lead string, gap boolean, tags array<string>, text_id long"
 
 
 def _endings(batches: Iterator) -> Iterator:
     import pyarrow as pa
-    from zlib import crc32
+    from hashlib import blake2b
 
     for batch in batches:
         cols: list[list] = [[] for _ in range(13)]
@@ -190,7 +190,7 @@ def _endings(batches: Iterator) -> Iterator:
             if text is None or not text.strip():
                 continue
             raw = text.encode("utf-8", "surrogatepass")
-            row = (doc, source, genre, len(text), len(raw), *ending(text), crc32(raw[-240:]))
+            row = (doc, source, genre, len(text), len(raw), *ending(text), int.from_bytes(blake2b(raw, digest_size=8).digest(), "big", signed=True))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
@@ -222,7 +222,7 @@ def _limits(ends: DataFrame, column: str, slack: int, copies: int) -> DataFrame:
     five times the texts that the lengths below it would let expect where next to none are longer,
     or, counted in characters, twenty times (a limit that did not always hold).
     """
-    counts = ends.groupBy("source", F.col(column).alias("l")).agg(F.countDistinct("tail").alias("texts"), F.count("*").alias("docs"))
+    counts = ends.groupBy("source", F.col(column).alias("l")).agg(F.countDistinct("text_id").alias("texts"), F.count("*").alias("docs"))
     best = counts.groupBy("source").agg(F.max(F.struct("texts", "l")).alias("b"), F.sum("docs").alias("all")).where(F.col("b.texts") >= copies)
     both = counts.join(best.select("source", F.col("b.l").alias("top"), "all"), "source")
     sums = both.groupBy("source", "top", "all").agg(
@@ -273,7 +273,7 @@ def truncated(
     # a genre that closes with a double danda has not come to its end at a single one
     odd_marks = per_mark.join(per_genre, "genre").where("mark = '|' and all >= 200 and most >= 0.95 * all and m < 0.01 * all").select("genre", F.col("mark").alias("mark_"), F.lit(True).alias("odd_mark"))
     marked = ends.withColumn("mark_", F.replace(F.translate("mark", "।॥", "|‖"), F.lit("||"), F.lit("‖")))
-    keys = ends.where("state in ('bare', 'closed')").select("key", "state", "tail").groupBy("key").agg(F.countDistinct(F.when(F.col("state") == "bare", F.col("tail"))).alias("final"))
+    keys = ends.where("state in ('bare', 'closed')").select("key", "state", "text_id").groupBy("key").agg(F.countDistinct(F.when(F.col("state") == "bare", F.col("text_id"))).alias("final"))
     stops = words.where(F.col("word").rlike(r"\. [aA]$")).withColumn("key", F.regexp_replace("word", r"\. [aA]$", ""))
     stops = stops.groupBy("key").agg(*[F.sum(F.when(F.col("word").endswith(x), F.col("n")).otherwise(0)).alias(name) for x, name in ((". a", "going_on"), (". A", "ending"))])
     known = (
@@ -283,7 +283,7 @@ def truncated(
         .na.fill(0, ["n", "longer", "going_on", "ending"])
     )
     # signatures and references that end with a number: known by the word they begin with
-    leads = ends.where("state = 'bare' and lead <> ''").groupBy("lead").agg(F.countDistinct("tail").alias("lead_final"))
+    leads = ends.where("state = 'bare' and lead <> ''").groupBy("lead").agg(F.countDistinct("text_id").alias("lead_final"))
     leads = leads.join(words.select(F.col("word").alias("lead"), F.col("n").alias("lead_n")), "lead", "left").na.fill(0, ["lead_n"])
     # a tag that is closed nowhere is no element
     elements = words.where(F.col("word").startswith("</")).select(F.col("word").alias("tag"))

@@ -14,3 +14,10 @@ def test_a_stray_fragment_does_not_make_it_a_word(spark):
     docs += [(100, "a gi stands here once nara", "s", "g"), (101, "deva nara de", "s", "g"), (102, "nara ekadA de deva", "s", "g"), (103, "vana deva vana nara", "s", "g")]
     got = reasons(spark, docs)
     assert got.get(101) == "word" and not {100, 102, 103} & set(got)
+
+
+def test_texts_with_a_shared_footer_are_different_texts(spark):
+    footer = ". " + "the whole of this collection is kept in the old library " * 6 + "Rama"
+    docs = [(i, f"{'word ' * (i + 1)}ends{footer}", "s", "g") for i in range(10)]
+    docs += [(100 + i, f"{'word ' * (i + 1)}ends here.", "s", "g") for i in range(30)]
+    assert reasons(spark, docs) == {}

@@ -22,7 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import ensure_checkpoint_dir
@@ -31,6 +31,8 @@ FLUSH_WORDS = 300_000
 #: a limit in bytes may fall into a character, which then is dropped or replaced
 BYTE_SLACK = 3
 LONGER_SHARE = 0.02
+#: what a genre's double dandas, or a word's full stops before lower case, must surely reach as a share
+SURE_SHARE = 0.8
 PUNCTUATION = "|।॥.,;:!?()[]{}\"“”„«»'’‘<>…=—–-�*"
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*+)[^<>]*+>")
 _MARK = re.compile(r"<(/?)([A-Za-z][\w:.-]*+)[^<>]*+>|[()\[\]{}“”„«»\"]")
@@ -215,6 +217,14 @@ def _words(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in block]), pa.array([n for _, n in block], pa.int64())], names=["word", "n"])
 
 
+def _at_least(part: Column, whole: Column) -> Column:
+    """The lower 95 % confidence bound (Wilson, one-sided) of the share part / whole; 0 of nothing."""
+    z2 = 1.645**2
+    p = part / F.nullif(whole, F.lit(0))
+    low = (p + z2 / (2 * whole) - 1.645 * F.sqrt(p * (1 - p) / whole + z2 / (4 * whole * whole))) / (1 + z2 / whole)
+    return F.coalesce(F.when(whole > 0, low), F.lit(0.0))
+
+
 def _limits(ends: DataFrame, column: str, slack: int, copies: int) -> DataFrame:
     """(source, limit_<column>): the length up to which a source stores texts, if it has one.
 
@@ -269,9 +279,10 @@ def truncated(
     by_genre = ends.groupBy("genre").agg(share.alias("genre_bare"))
     marks = ends.where("state = 'closed' and mark <> ''").withColumn("mark", F.translate("mark", "।॥", "|‖")).withColumn("mark", F.replace("mark", F.lit("||"), F.lit("‖")))
     per_mark = marks.groupBy("genre", "mark").agg(F.count("*").alias("m"))
-    per_genre = per_mark.groupBy("genre").agg(F.sum("m").alias("all"), F.max("m").alias("most"))
+    per_genre = per_mark.groupBy("genre").agg(F.sum("m").alias("all"), F.sum(F.when(F.col("mark") == "‖", F.col("m")).otherwise(0)).alias("double"))
     # a genre that closes with a double danda has not come to its end at a single one
-    odd_marks = per_mark.join(per_genre, "genre").where("mark = '|' and all >= 200 and most >= 0.95 * all and m < 0.01 * all").select("genre", F.col("mark").alias("mark_"), F.lit(True).alias("odd_mark"))
+    sure = _at_least(F.col("double"), F.col("all")) >= SURE_SHARE
+    odd_marks = per_genre.where(sure).select("genre", F.lit("|").alias("mark_"), F.lit(True).alias("odd_mark"))
     marked = ends.withColumn("mark_", F.replace(F.translate("mark", "।॥", "|‖"), F.lit("||"), F.lit("‖")))
     keys = ends.where("state in ('bare', 'closed')").select("key", "state", "text_id").groupBy("key").agg(F.countDistinct(F.when(F.col("state") == "bare", F.col("text_id"))).alias("final"))
     stops = words.where(F.col("word").rlike(r"\. [aA]$")).withColumn("key", F.regexp_replace("word", r"\. [aA]$", ""))
@@ -304,7 +315,7 @@ def truncated(
     weak = (F.coalesce("source_bare", F.lit(0.0)) > bare_habit) | (F.coalesce("genre_bare", F.lit(0.0)) > bare_habit) | ((F.col("genre") == "") & (F.col("kind") == "line"))
     cut_word = (F.col("n") <= fragment_share * F.col("longer")) & (F.col("longer") >= common_word)
     dotted = F.col("going_on") + F.col("ending")
-    abbreviation = (F.col("mark") == ".") & (F.col("going_on") >= 20) & (F.col("ending") * 20 < dotted) & ((F.col("n") - dotted) * 20 < dotted)
+    abbreviation = (F.col("mark") == ".") & (_at_least(F.col("going_on"), dotted) >= SURE_SHARE) & (F.col("ending") * 20 < dotted) & ((F.col("n") - dotted) * 20 < dotted)
     reason = (
         F.when(F.col("state").isin("omission", "broken", "unclosed", "between"), F.col("state"))
         .when(F.col("open_tag"), "unclosed")

@@ -21,3 +21,10 @@ def test_texts_with_a_shared_footer_are_different_texts(spark):
     docs = [(i, f"{'word ' * (i + 1)}ends{footer}", "s", "g") for i in range(10)]
     docs += [(100 + i, f"{'word ' * (i + 1)}ends here.", "s", "g") for i in range(30)]
     assert reasons(spark, docs) == {}
+
+
+def test_half_verses_are_found_in_small_genres_and_when_many(spark):
+    small = [(i, "word " * (i + 1) + "||", "s", "small") for i in range(20)] + [(50, "half a verse |", "s", "small")]
+    many = [(100 + i, "word " * (i + 1) + "||", "t", "many") for i in range(250)] + [(400 + i, "half " * (i + 1) + "|", "t", "many") for i in range(10)]
+    mixed = [(500 + i, "word " * (i + 1) + ("||" if i % 2 else "|"), "u", "mixed") for i in range(40)]
+    assert reasons(spark, small + many + mixed) == {50: "mark"} | {400 + i: "mark" for i in range(10)}

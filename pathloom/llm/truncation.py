@@ -5,8 +5,8 @@ how it ends: with a sign of omission, a broken character, escape, entity or tag,
 stands between things, a closing mark, or a bare word. Whether a bare end is a finished one
 depends on what the corpus does:
 
-* a source that stores texts up to a fixed length (far more have that length than those below it,
-  and next to none are longer) has cut those of that length, in characters or in bytes of UTF-8;
+* a source that stores texts up to a fixed length, or to one after another (far more have that
+  length than those near it), has cut those of that length, in characters or in bytes of UTF-8;
 * a source or genre whose texts mostly end bare has no habit of a closing mark; its texts are cut
   where the last word is the beginning of a common one and, next to that, no word of the corpus;
 * lists of records are cut where the last field never ends a line elsewhere;
@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ FLUSH_WORDS = 300_000
 #: a limit in bytes may fall into a character, which then is dropped or replaced
 BYTE_SLACK = 3
 LONGER_SHARE = 0.02
+#: the neighbourhood of a length has at least so many lengths on either side
+NEAR_LENGTHS = 10
 #: what a genre's double dandas, or a word's full stops before lower case, must surely reach as a share
 SURE_SHARE = 0.8
 PUNCTUATION = "|।॥.,;:!?()[]{}\"“”„«»'’‘<>…=—–-�*"
@@ -226,24 +229,41 @@ def _at_least(part: Column, whole: Column) -> Column:
 
 
 def _limits(ends: DataFrame, column: str, slack: int, copies: int) -> DataFrame:
-    """(source, limit_<column>): the length up to which a source stores texts, if it has one.
+    """(source, <column>, limit_<column>): the lengths at which a source cuts texts, with the slack; a source may have several.
 
-    It is the source's commonest length, if at least ``copies`` different texts have it, and it has
-    five times the texts that the lengths below it would let expect where next to none are longer,
-    or, counted in characters, twenty times (a limit that did not always hold).
+    A limit is a length that at least ``copies`` different texts have, and that has five times the
+    texts that the lengths below it would let expect where next to none are longer, or, counted in
+    characters, twenty times what those on either side would (a limit that did not always hold).
+    Of lengths in each other's slack the commonest is the limit.
     """
+    import pandas as pd
+
     counts = ends.groupBy("source", F.col(column).alias("l")).agg(F.countDistinct("text_id").alias("texts"), F.count("*").alias("docs"))
-    best = counts.groupBy("source").agg(F.max(F.struct("texts", "l")).alias("b"), F.sum("docs").alias("all")).where(F.col("b.texts") >= copies)
-    both = counts.join(best.select("source", F.col("b.l").alias("top"), "all"), "source")
-    sums = both.groupBy("source", "top", "all").agg(
-        F.sum(F.when(F.col("l") > F.col("top") + slack, F.col("docs")).otherwise(0)).alias("longer"),
-        F.sum(F.when((F.col("l") < F.col("top") - slack) & (F.col("l") >= 0.7 * F.col("top")), F.col("docs")).otherwise(0)).alias("below"),
-        F.sum(F.when(F.abs(F.col("l") - F.col("top")) <= slack, F.col("texts")).otherwise(0)).alias("at"),
-    )
-    expected = F.col("below") / (0.3 * F.col("top")) * (2 * slack + 1)
-    few_longer = (F.col("longer") <= LONGER_SHARE * F.col("all")) & (F.col("at") >= 5 * expected)
-    # a limit in characters also shows among the bytes of ASCII texts, so there it must hold for all
-    return sums.where(few_longer | ((F.col("at") >= 20 * expected) & F.lit(slack == 0))).select("source", F.col("top").alias(f"limit_{column}"))
+
+    def spikes(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("l")
+        l, texts = part["l"].to_numpy(), part["texts"].to_numpy()
+        docs = np.concatenate([[0], part["docs"].to_numpy().cumsum()])
+        ats = np.concatenate([[0], texts.cumsum()])
+        place = lambda x, side="left": np.searchsorted(l, x, side)
+        near = np.maximum(0.3 * l, NEAR_LENGTHS)
+        low, high = place(l - slack), place(l + slack, "right")
+        below, above = docs[low] - docs[place(l - near)], docs[place(l + near, "right")] - docs[high]
+        at, longer = ats[high] - ats[low], docs[-1] - docs[high]
+        width = (2 * slack + 1) / near
+        good = (longer <= LONGER_SHARE * docs[-1]) & (at >= 5 * below * width)
+        # a limit in characters also shows among the bytes of ASCII texts, so there it must hold for all
+        if slack == 0:
+            good |= at >= 20 * np.maximum(below, above) * width
+        kept: list[int] = []
+        passed = np.flatnonzero(good & (texts >= copies))
+        for i in passed[np.lexsort((-l[passed], -texts[passed]))]:
+            if slack == 0 or all(abs(l[i] - k) > 2 * slack for k in kept):
+                kept.append(int(l[i]))
+        return pd.DataFrame({"source": part["source"].iloc[0], "l": pd.Series(kept, dtype="int64")})
+
+    found = counts.groupBy("source").applyInPandas(spikes, "source string, l long")
+    return found.select("source", F.explode(F.sequence(F.col("l") - slack, F.col("l") + slack)).alias(column), F.col("l").alias(f"limit_{column}"))
 
 
 def truncated(
@@ -272,7 +292,7 @@ def truncated(
         .groupBy("key")
         .agg(F.max("n").alias("longer"))
     )
-    top_chars, top_bytes = (_limits(ends, column, slack, limit_copies) for column, slack in (("n_chars", 0), ("n_bytes", BYTE_SLACK)))
+    at_chars, at_bytes = (_limits(ends, column, slack, limit_copies) for column, slack in (("n_chars", 0), ("n_bytes", BYTE_SLACK)))
     plain = (F.col("kind") != "records") & F.col("state").isin("bare", "closed")
     share = F.avg(F.when(plain, (F.col("state") == "bare").cast("double")))
     by_source = ends.where("kind = 'text'").groupBy("source").agg(share.alias("source_bare"))
@@ -301,15 +321,15 @@ def truncated(
     open_docs = ends.where(F.size("tags") > 0).select("doc_id", F.explode("tags").alias("tag")).join(elements, "tag", "left_semi").select("doc_id", F.lit(True).alias("open_tag")).distinct()
     judged = (
         marked.join(known, "key", "left")
-        .join(top_chars, "source", "left")
-        .join(top_bytes, "source", "left")
+        .join(at_chars, ["source", "n_chars"], "left")
+        .join(at_bytes, ["source", "n_bytes"], "left")
         .join(by_source, "source", "left")
         .join(by_genre, "genre", "left")
         .join(odd_marks, ["genre", "mark_"], "left")
         .join(leads, "lead", "left")
         .join(open_docs, "doc_id", "left")
     )
-    at_limit = (F.col("n_chars") == F.col("limit_n_chars")) | (F.abs(F.col("n_bytes") - F.col("limit_n_bytes")) <= BYTE_SLACK)
+    at_limit = F.col("limit_n_chars").isNotNull() | F.col("limit_n_bytes").isNotNull()
     closer = (F.col("final") >= closer_texts) & (F.col("final") >= closer_share * (F.col("n") + F.col("final"))) & (F.col("longer") < F.col("final"))
     numbered = F.coalesce((F.col("lead_final") >= closer_texts) & (F.col("lead_final") >= closer_share * F.col("lead_n")), F.lit(False))
     weak = (F.coalesce("source_bare", F.lit(0.0)) > bare_habit) | (F.coalesce("genre_bare", F.lit(0.0)) > bare_habit) | ((F.col("genre") == "") & (F.col("kind") == "line"))
@@ -320,7 +340,7 @@ def truncated(
         F.when(F.col("state").isin("omission", "broken", "unclosed", "between"), F.col("state"))
         .when(F.col("open_tag"), "unclosed")
         .when(F.col("state") == "closed", F.when(abbreviation, "abbreviation").when(F.col("odd_mark"), "mark"))
-        .when(F.coalesce(at_limit, F.lit(False)), "limit")
+        .when(at_limit, "limit")
         .when(F.col("gap"), "gap")
         .when(F.col("kind") == "records", F.when(F.col("n") == 0, "field"))
         .when(weak, F.when(cut_word, "word"))

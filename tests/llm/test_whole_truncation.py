@@ -28,3 +28,13 @@ def test_half_verses_are_found_in_small_genres_and_when_many(spark):
     many = [(100 + i, "word " * (i + 1) + "||", "t", "many") for i in range(250)] + [(400 + i, "half " * (i + 1) + "|", "t", "many") for i in range(10)]
     mixed = [(500 + i, "word " * (i + 1) + ("||" if i % 2 else "|"), "u", "mixed") for i in range(40)]
     assert reasons(spark, small + many + mixed) == {50: "mark"} | {400 + i: "mark" for i in range(10)}
+
+
+def test_a_source_may_have_two_limits(spark):
+    filler = "deva nara vana giri "
+    docs = [(i, (f"t{i} " + filler * 40)[: 300 + 7 * i], "s", "g") for i in range(30)]
+    docs += [(200 + i, (f"v{i:03} " + filler * 40)[:400], "s", "g") for i in range(12)]
+    docs += [(300 + i, (f"w{i:03} " + filler * 40)[:600], "s", "g") for i in range(25)]
+    got = reasons(spark, docs)
+    assert {d for d, reason in got.items() if reason == "limit"} >= {*range(200, 212), *range(300, 325)}
+    assert all(d >= 200 for d in got if got[d] == "limit")

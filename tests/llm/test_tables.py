@@ -160,8 +160,8 @@ def test_overlap_pairs_against_brute_force(spark, rows):
 def test_shards_and_blocks_change_nothing(spark):
     s, p, want = overlap_tables(spark, 6)
     texts = overlap.stored_texts(s, p)
-    sizes = [(24_000, 60_000), (7, 11), (1000, 3)]
-    got = [sorted(map(tuple, overlap.near_texts(texts, *x).select("eval_text", "train_text", "edits").collect())) for x in sizes]
+    sizes = [(1_000_000, 16_000_000), (300, 500), (5000, 90)]
+    got = [sorted(map(tuple, overlap.near_texts(texts, *x).selectExpr("hex(eval_text)", "hex(train_text)", "edits").collect())) for x in sizes]
     assert got[0] == got[1] == got[2] and got[0]
 
 
@@ -263,12 +263,22 @@ def test_overlap_of_very_long_texts():
 
 def test_bands_of_near_lengths_are_neighbours(spark):
     lengths = [*range(1, 400), 999, 1000, 8999, 9000, 10_000]
-    df = spark.createDataFrame([(n,) for n in lengths], "n int").select("n", overlap.length_band(F.repeat(F.lit("a"), F.col("n"))).alias("b"))
+    df = spark.createDataFrame([(n,) for n in lengths], "n int").select("n", overlap.length_band(F.col("n")).alias("b"))
     band = {r["n"]: r["b"] for r in df.collect()}
     assert all(abs(band[a] - band[b]) <= 1 for a in lengths for b in lengths if abs(a - b) * 10 <= max(a, b))
 
 
-def test_cells_cover_all_near_bands():
-    plan, n = overlap._cells({(True, 3): 50, (True, 9): 5, (False, 2): 7000, (False, 3): 1, (False, 20): 9}, 24, 100_000, 1)
-    assert plan == {3: (3, 4, 0)} and n == 12
-    assert overlap._cells({}, 1, 1, 4) == ({}, 0)
+def test_parts_are_bounded_by_letters():
+    plan, n = overlap._parts({2: 700_000, 3: 1, 20: 90_000}, 1, 250_000)
+    assert plan == {2: (3, 0), 3: (1, 3), 20: (1, 4)} and n == 5
+    assert overlap._parts({}, 4, 10) == ({}, 0)
+
+
+def test_a_text_of_many_sentences_is_expanded_in_blocks(spark):
+    s = spark.createDataFrame([(i, "rAmo vanaM gacCati" if i < 90 else "rAmo vanaM gacCatI" if i < 95 else "sItA tatra", "s") for i in range(100)], "sentence_id long, surface_text string, source string")
+    p = spark.createDataFrame([(i, "dev" if i % 3 == 0 else "train", 1) for i in range(100)], "sentence_id long, splits string, at int").selectExpr("sentence_id", "splits", "timestamp_seconds(at) as assigned_at")
+    pairs = overlap.overlap_pairs(s, p, block=7).select("eval_id", "train_id").collect()
+    near = [(e, t) for e in range(0, 100, 3) for t in range(100) if t % 3 and (e < 95) == (t < 95)]
+    assert sorted(map(tuple, pairs)) == near
+    classes = overlap.overlap_classes(overlap.stored_texts(s, p)).collect()
+    assert sorted((r["edits"], r["eval_members"], r["train_members"]) for r in classes) == [(0, 2, 3), (0, 2, 3), (0, 30, 60), (1, 2, 60), (1, 30, 3)]

@@ -101,6 +101,13 @@ def cuts(n: int, per: int = PER) -> tuple[list[int], int]:
     return [n * j // k for j in range(k + 1)], k - d
 
 
+def letter_counts(texts: list[str], kinds: int = 58) -> np.ndarray:
+    """How often each text has each kind of letter; a kind is a class of letters."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4") % kinds
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(owner * kinds + codes, minlength=len(texts) * kinds).reshape(len(texts), kinds)
+
+
 class PassageShard:
     """The automaton of one shard of evaluation texts."""
 
@@ -110,6 +117,7 @@ class PassageShard:
         self.ids, self.texts, self.per = ids, texts, per
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.need = np.zeros(len(texts), dtype=np.int64)
+        self.counts = letter_counts(texts)
         names: dict[str, int] = {}
         owner, begin, end, passage, number = [], [], [], [], []
         for i, text in enumerate(texts):
@@ -174,8 +182,13 @@ class PassageShard:
         pairs, matched = pair[start], np.diff(np.r_[start, len(pair)])
         covered = np.add.reduceat(self.end[posting] - self.begin[posting], start)
         enough = matched >= self.need[pairs % len(self.texts)]
-        for q, c in zip(pairs[enough], covered[enough], strict=True):
-            t, i = divmod(int(q), len(self.texts))
+        pairs, covered = pairs[enough], covered[enough]
+        t, i = pairs // len(self.texts), pairs % len(self.texts)
+        # an edit drops one letter at most and brings one at most, so letters alone tell most pairs apart
+        more = self.counts[i] - letter_counts(texts)[t]
+        least = np.maximum(np.where(more > 0, more, 0).sum(axis=1), np.where(more < 0, -more, 0).sum(axis=1))
+        near = least <= np.maximum(self.lengths[i], np.array([len(x) for x in texts], dtype=np.int64)[t]) // self.per
+        for t, i, c in zip(t[near].tolist(), i[near].tolist(), covered[near], strict=True):
             a, b = self.texts[i], texts[t]
             edits = within(a, b, max(len(a), len(b)) // self.per)
             if edits is not None:

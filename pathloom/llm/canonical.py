@@ -5,8 +5,10 @@ that finds distance d at an entry only follows children whose distance lies in [
 the triangle inequality nothing else can be within t. The search runs level by level for many
 values at once, with bit-parallel distances in NumPy.
 
-A reference list is cut into shards of bounded size; each shard has its own tree, values meet all
-shards, and the least (distance, entry id) of the shards holds.
+The search returns every entry within the threshold; which of them a value stands for is decided
+afterwards. A reference list is written once to the shared folder in shards of bounded size. A task
+holds a block of values, streams the shards, makes one tree after another and sets its values
+against each; then the winners of the shards are merged.
 """
 
 from __future__ import annotations
@@ -21,8 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.translit import SLP1_TO_IAST, hk_to_slp1, iast_to_slp1
+from . import shared
 
 SHARD_ENTRIES = 20_000
+#: values that a task holds while the shards pass
+BLOCK_VALUES = 50_000
+#: letters of the values that are searched together
+STEP_LETTERS = 2_000_000
 LETTERS = {c: i for i, c in enumerate(SLP1_TO_IAST)}
 UNREADABLE = len(LETTERS)
 WORD_BITS = 63
@@ -45,22 +52,35 @@ def edit_distance(a: str, b: str) -> int:
 
 
 class BKTree:
-    """Entries (id, word) under the edit distance; repeated words keep the least id."""
+    """Entries (id, word) under the edit distance; repeated words keep the least id.
 
-    def __init__(self, entries: list[tuple[int, str]]):
+    Entries of at most WORD_BITS letters are measured in machine words, all rows at once. Longer
+    ones hang in a tree of their own (``longer``), measured in whole numbers of any size.
+    """
+
+    def __init__(self, entries: list[tuple[int, str]], long: bool = False):
         least: dict[str, int] = {}
         for i, w in entries:
             if w and i < least.get(w, i + 1):
                 least[w] = i
-        self.long = [(i, w) for w, i in sorted(least.items()) if len(w) > WORD_BITS]
-        words = [w for w in sorted(least, key=lambda w: least[w]) if len(w) <= WORD_BITS]
+        words = [w for w in sorted(least, key=lambda w: least[w]) if long or len(w) <= WORD_BITS]
+        over = [] if long else [(i, w) for w, i in least.items() if len(w) > WORD_BITS]
+        self.longer = BKTree(over, long=True) if over else None
+        self.long = long
         self.ids = np.array([least[w] for w in words], dtype=np.int64)
         self.lengths = np.array([len(w) for w in words], dtype=np.int64)
-        self.eq = np.zeros((len(words), UNREADABLE + 1), dtype=np.uint64)
+        self.masks: list[dict[int, int]] = []
+        self.eq = np.zeros((0 if long else len(words), UNREADABLE + 1), dtype=np.uint64)
         for n, w in enumerate(words):
-            for k, c in enumerate(codes(w)):
+            mask: dict[int, int] = {}
+            for k, c in enumerate(codes(w).tolist()):
                 if c < UNREADABLE:
-                    self.eq[n, c] |= np.uint64(1 << k)
+                    mask[c] = mask.get(c, 0) | 1 << k
+            if long:
+                self.masks.append(mask)
+            else:
+                for c, bits in mask.items():
+                    self.eq[n, c] = np.uint64(bits)
         self._hang(words)
 
     def _hang(self, words: list[str]) -> None:
@@ -72,7 +92,7 @@ class BKTree:
             node, rest = todo.pop()
             if not len(rest):
                 continue
-            d = self.distances(np.full(len(rest), node), padded[rest], lengths[rest])
+            d = self.distances(np.full(len(rest), node), padded, lengths, rest)
             for far in np.unique(d):
                 group = rest[d == far]
                 children[node][int(far)] = int(group[0])
@@ -85,26 +105,29 @@ class BKTree:
     @staticmethod
     def _pad(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
-        out = np.full((len(words), int(lengths.max(initial=0))), UNREADABLE, dtype=np.int64)
+        out = np.full((len(words), int(lengths.max(initial=0))), UNREADABLE, dtype=np.int8)
         for i, w in enumerate(words):
             out[i, : len(w)] = w
         return out, lengths
 
-    def distances(self, node: np.ndarray, padded: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Distance of each row's word to its node's word: Myers' columns, all rows at once."""
+    def distances(self, node: np.ndarray, padded: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Distance of the word of each ``row`` to its node's word, by Myers' bit-parallel columns."""
+        if self.long:
+            return np.array([self._distance(n, padded[r, : lengths[r]].tolist()) for n, r in zip(node.tolist(), row.tolist(), strict=True)], dtype=np.int64)
         one = np.uint64(1)
         m = self.lengths[node].astype(np.uint64)
         last = one << (m - one)
         pv = (one << m) - one
         mv = np.zeros(len(node), dtype=np.uint64)
         score = self.lengths[node].copy()
-        for j in range(int(lengths.max(initial=0))):
-            e = self.eq[node, padded[:, j]]
+        size = lengths[row]
+        for j in range(int(size.max(initial=0))):
+            e = self.eq[node, padded[row, j]]
             xv = e | mv
             xh = (((e & pv) + pv) ^ pv) | e
             ph = mv | ~(xh | pv)
             mh = pv & xh
-            live = j < lengths
+            live = j < size
             score += ((ph & last) != 0).astype(np.int64) * live
             score -= ((mh & last) != 0).astype(np.int64) * live
             ph = (ph << one) | one
@@ -112,39 +135,56 @@ class BKTree:
             mv = ph & xv
         return score
 
-    def nearest(self, words: list[str], most: int) -> list[tuple[int, int] | None]:
-        """Per word the least (distance, entry id) within ``most``; None if there is none."""
-        best: list[tuple[int, int] | None] = [None] * len(words)
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= WORD_BITS + most]
-        if len(self.ids) and short:
-            padded, lengths = self._pad([codes(words[i]) for i in short])
-            far = np.full(len(short), most + 1, dtype=np.int64)
-            who = np.full(len(short), np.iinfo(np.int64).max)
-            row, node = np.arange(len(short)), np.zeros(len(short), dtype=np.int64)
-            while len(row):
-                d = self.distances(node, padded[row], lengths[row])
-                order = np.lexsort((self.ids[node], d, row))
-                r, k = row[order], order
-                lead = k[np.r_[True, r[1:] != r[:-1]]]
-                better = (d[lead] < far[row[lead]]) | ((d[lead] == far[row[lead]]) & (self.ids[node[lead]] < who[row[lead]]))
-                lead = lead[better]
-                hit = lead[d[lead] <= most]
-                far[row[hit]], who[row[hit]] = d[hit], self.ids[node[hit]]
-                # an equal distance still matters for the lesser id, so the bound itself stays in
-                bound = np.minimum(far[row], most)
-                count = self.first[node + 1] - self.first[node]
-                parent = np.repeat(np.arange(len(row)), count)
-                at = np.arange(len(parent)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[node], count)
-                keep = np.abs(self.far[at] - d[parent]) <= bound[parent]
-                row, node = row[parent[keep]], self.child[at[keep]]
-            for i, f, w in zip(short, far, who, strict=True):
-                if f <= most:
-                    best[i] = (int(f), int(w))
-        for i, w in enumerate(words):
-            for entry, long in self.long:
-                if w and abs(len(w) - len(long)) <= most and (d := edit_distance(w, long)) <= most:
-                    best[i] = min(best[i] or (d, entry), (d, entry))
-        return best
+    def _distance(self, node: int, word: list[int]) -> int:
+        """The same columns over whole numbers of any size, for one word."""
+        m, eq = int(self.lengths[node]), self.masks[node]
+        mask, last, pv, mv, score = (1 << m) - 1, 1 << (m - 1), (1 << m) - 1, 0, m
+        for c in word:
+            e = eq.get(c, 0)
+            xv = e | mv
+            xh = (((e & pv) + pv) ^ pv) | e
+            ph = mv | ~(xh | pv) & mask
+            mh = pv & xh
+            score += bool(ph & last) - bool(mh & last)
+            ph = (ph << 1 | 1) & mask
+            pv = (mh << 1 | ~(xv | ph)) & mask
+            mv = ph & xv
+        return score
+
+    def within(self, words: list[str], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word number, entry id, distance) of every entry within ``most`` of a word, the empty word excepted."""
+        low = WORD_BITS + 1 if self.long else 1
+        fit = [i for i, w in enumerate(words) if low - most <= len(w) and w and (self.long or len(w) <= WORD_BITS + most)]
+        out = [(np.zeros(0, dtype=np.int64),) * 3]
+        step: list[int] = []
+        held = 0
+        for i in fit:
+            step.append(i)
+            held += len(words[i])
+            if held >= STEP_LETTERS:
+                out.append(self._search(words, step, most))
+                step, held = [], 0
+        out.append(self._search(words, step, most))
+        if self.longer is not None:
+            out.append(self.longer.within(words, most))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+    def _search(self, words: list[str], which: list[int], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        number, found = np.array(which, dtype=np.int64), []
+        padded, lengths = self._pad([codes(words[i]) for i in which])
+        row = np.arange(len(which) if len(self.ids) else 0)
+        node = np.zeros(len(row), dtype=np.int64)
+        while len(row):
+            d = self.distances(node, padded, lengths, row)
+            hit = d <= most
+            found.append((number[row[hit]], self.ids[node[hit]], d[hit]))
+            # only children whose distance to this entry lies within the threshold of the word's
+            count = self.first[node + 1] - self.first[node]
+            parent = np.repeat(np.arange(len(row)), count)
+            at = np.arange(len(parent)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[node], count)
+            keep = np.abs(self.far[at] - d[parent]) <= most
+            row, node = row[parent[keep]], self.child[at[keep]]
+        return tuple(np.concatenate([np.zeros(0, dtype=np.int64), *(f[i] for f in found)]) for i in range(3))
 
 
 _BRACKETS = re.compile(r"\([^)]*\)?|\[[^\]]*\]?|\{[^}]*\}?|<[^>]*>?|[\"“„][^\"”“]*[\"”“]?")
@@ -178,48 +218,58 @@ def readings(value: str | None) -> list[str]:
     return list(out)
 
 
-def _match(batches: Iterator, entries: list[tuple[int, str]], most: int) -> Iterator:
+_NEAR = T.StructType([T.StructField("value", T.StringType()), T.StructField("distance", T.IntegerType()), T.StructField("entry", T.IntegerType())])
+
+
+def _match(batches: Iterator, folder: str, shards: int, most: int) -> Iterator:
+    """Every (value, distance, entry) within ``most``, for the values of a task."""
     import pyarrow as pa
 
-    tree = BKTree(entries)
+    values: dict[str, list[str]] = {}
     for batch in batches:
-        values = batch.column(0).to_pylist()
-        forms = [readings(v) for v in values]
-        words = sorted({w for f in forms for w in f})
-        found = dict(zip(words, tree.nearest(words, most), strict=True))
-        best = [min((found[w] for w in f if found[w] is not None), default=None) for f in forms]
+        values.update((v, readings(v)) for v in batch.column(0).to_pylist())
+    words = sorted({w for forms in values.values() for w in forms})
+    number = {w: i for i, w in enumerate(words)}
+    owners: list[list[str]] = [[] for _ in words]
+    for value, forms in values.items():
+        for w in forms:
+            owners[number[w]].append(value)
+    for shard in range(shards if words else 0):
+        entries = [pair for batch in shared.read(folder, "shard", shard, ["i", "w"]) for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        best: dict[tuple[str, int], int] = {}
+        for word, entry, d in zip(*(x.tolist() for x in BKTree(entries).within(words, most)), strict=True):
+            for value in owners[word]:
+                best[value, entry] = min(d, best.get((value, entry), d))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(values, pa.string()), pa.array([b and b[0] for b in best], pa.int32()), pa.array([b and b[1] for b in best], pa.int32())],
-            names=["value", "distance", "entry"],
+            [pa.array([v for v, _ in best], pa.string()), pa.array(list(best.values()), pa.int32()), pa.array([e for _, e in best], pa.int32())], names=_NEAR.names
         )
 
 
-_FOUND = T.StructType([T.StructField("value", T.StringType()), T.StructField("distance", T.IntegerType()), T.StructField("entry", T.IntegerType())])
+def entries_within(values: DataFrame, reference: DataFrame, entry_id: str, entry: str, most: int = 2, shard_entries: int = SHARD_ENTRIES, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(value, distance, entry): every entry within ``most`` edits of a reading of each distinct ``value``.
+
+    A value without such an entry, and null, do not come out; of several readings near one entry the
+    nearest counts; null and empty entries are none, repeated words are the one of the least id.
+    The list is written to the shared folder in shards of about ``shard_entries`` words; nothing of
+    it or of the values is collected but their numbers. A task holds about ``block_values`` values
+    and one tree. Every block of values reads every shard.
+    """
+    spark = values.sparkSession
+    words = reference.where(F.col(entry) != "").groupBy(F.col(entry).alias("w")).agg(F.min(F.col(entry_id).cast("int")).alias("i")).where("i is not null")
+    shards = max(1, -(-reference.count() // shard_entries))
+    folder = shared.store(words.withColumn("shard", F.pmod(F.xxhash64("w"), F.lit(shards))), "reference-entries", "shard")
+    counted = values.where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    blocks = max(int(spark.sparkContext.defaultParallelism), -(-counted.count() // block_values))
+    spread = counted.select("value", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block")).repartitionById(blocks, "block")
+    return spread.select("value").mapInArrow(lambda b: _match(b, folder, shards, most), _NEAR)
 
 
 def nearest_entries(values: DataFrame, reference: DataFrame, entry_id: str, entry: str, most: int = 2, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """(value, distance, entry): every distinct value of the column ``value`` and its nearest entry.
+    """(value, distance, entry): every distinct value and its nearest entry, both null if none is within ``most``.
 
-    ``entry`` is null where no entry is within ``most`` edits; of equally near entries the least
-    id holds; null values do not come out. The reference list is collected shard by shard, each
-    of at most about ``shard_entries`` words, and a shard's tree is made in every task that needs
-    it; each distinct value is set against every shard and the shards' winners are merged. Null
-    and empty entries are none.
+    The winners of the shards are merged: the least distance holds, of equally near entries the
+    least id. Null values do not come out.
     """
-    words = reference.where(F.col(entry).isNotNull()).select(F.col(entry_id).cast("int").alias("i"), F.col(entry).alias("w"))
-    size = words.count()
-    shards = max(1, -(-size // shard_entries))
-    distinct = values.where("value is not null").select("value").distinct()
-    width = max(distinct.sparkSession.sparkContext.defaultParallelism, 1)
-    spread = distinct.repartition(width, "value") if shards == 1 else distinct
-    parts = []
-    for shard in range(shards):
-        rows = [(r["i"], r["w"]) for r in words.where(F.pmod(F.xxhash64("w"), F.lit(shards)) == shard).collect()]
-        parts.append(spread.mapInArrow(lambda b, rows=rows: _match(b, rows, most), _FOUND))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    if shards == 1:
-        return found
-    least = F.min(F.when(F.col("entry").isNotNull(), F.struct("distance", "entry")))
-    return found.groupBy("value").agg(least.alias("b")).select("value", "b.distance", "b.entry")
+    near = entries_within(values, reference, entry_id, entry, most, shard_entries).select("value", F.struct("distance", "entry").alias("b"))
+    every = values.where("value is not null").select("value", F.lit(None).cast("struct<distance: int, entry: int>").alias("b"))
+    return every.unionByName(near).groupBy("value").agg(F.min("b").alias("b")).select("value", "b.distance", "b.entry")

@@ -49,17 +49,30 @@ def test_term_frequencies(spark, rows, monkeypatch):
     assert terms.term_frequencies(df.where("false"), "sentence_id", {"form": "f"}).count() == 0
 
 
-def test_bk_tree_against_brute_force():
+def test_bk_tree_returns_every_entry_within_the_threshold():
     rng = random.Random(2)
     entries = [(i, "".join(rng.choice(LETTERS) for _ in range(rng.randint(1, 9)))) for i in range(300)]
-    entries += [(900, entries[0][1]), (901, "k" * 80), (902, "")]
+    long = ["".join(rng.choice(LETTERS) for _ in range(n)) for n in (62, 63, 64, 65, 90, 200)]
+    entries += [(900, entries[0][1]), (901, "k" * 80), (902, ""), *((910 + i, w) for i, w in enumerate(long)), (920, long[5][:-1]), (921, long[3][1:])]
     tree = canonical.BKTree(entries)
     words = [w for _, w in rng.sample(entries, 80)] + ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 10))) for _ in range(200)] + ["k" * 79, "k" * 77]
+    words += [w[:3] + "?" + w[4:] for w in long] + [w[1:] for w in long] + ["a" + w for w in long]
+    least = {}
+    for i, w in entries:
+        least[w] = min(i, least.get(w, i))
     for most in (0, 1, 2, 3):
-        for word, got in zip(words, tree.nearest(words, most), strict=True):
-            near = [(d, i) for i, w in entries if w and word and abs(len(w) - len(word)) <= most and (d := canonical.edit_distance(word, w)) <= most]
-            assert got == min(near, default=None)
-    assert canonical.BKTree([]).nearest(["a"], 2) == [None]
+        want = [(n, i, d) for n, word in enumerate(words) for w, i in least.items() if w and word and abs(len(w) - len(word)) <= most and (d := canonical.edit_distance(word, w)) <= most]
+        assert sorted(zip(*(x.tolist() for x in tree.within(words, most)), strict=True)) == sorted(want)
+    assert [len(x) for x in canonical.BKTree([]).within(["a"], 2)] == [0, 0, 0]
+
+
+def test_all_entries_near_a_value(spark, rows):
+    reference = spark.createDataFrame([(1, "rAma"), (2, "rAmA"), (3, "vana"), (4, "rAma"), (None, "rama"), (6, ""), (7, None)], "lemma_id int, lemma string")
+    df = spark.createDataFrame([("rAma",), ("rāmā",), ("vanam",), ("zzzzzz",), (None,), ("",), ("rAma",)], "value string").withColumn("w", F.lit(1)).withColumn("i", F.lit(1))
+    for shard in (1, 100):
+        assert rows(canonical.entries_within(df, reference, "lemma_id", "lemma", 1, shard)) == [("rAma", 0, 1), ("rAma", 1, 2), ("rāmā", 0, 2), ("rāmā", 1, 1), ("vanam", 1, 3)]
+    assert canonical.entries_within(df, reference.where("false"), "lemma_id", "lemma").count() == 0
+    assert canonical.entries_within(df.where("false"), reference, "lemma_id", "lemma").count() == 0
 
 
 @pytest.mark.parametrize(

@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.translit import SLP1_TO_IAST, hk_to_slp1, iast_to_slp1
+from ..tables import ensure_checkpoint_dir
 from . import shared
 
 SHARD_ENTRIES = 20_000
 #: values that a task holds while the shards pass
 BLOCK_VALUES = 50_000
+#: rows of the bit-parallel columns that stay in a processor's cache
+CACHED_ROWS = 32_768
 #: letters of the values that are searched together
 STEP_LETTERS = 2_000_000
 LETTERS = {c: i for i, c in enumerate(SLP1_TO_IAST)}
@@ -114,25 +117,35 @@ class BKTree:
         """Distance of the word of each ``row`` to its node's word, by Myers' bit-parallel columns."""
         if self.long:
             return np.array([self._distance(n, padded[r, : lengths[r]].tolist()) for n, r in zip(node.tolist(), row.tolist(), strict=True)], dtype=np.int64)
+        # longest words first, so that column j is worked on for the words that have it only
+        order = np.argsort(-lengths[row], kind="stable")
+        out = np.empty(len(row), dtype=np.int64)
+        for k in range(0, len(order), CACHED_ROWS):
+            some = order[k : k + CACHED_ROWS]
+            out[some] = self._columns(node[some], padded, lengths, row[some])
+        return out
+
+    def _columns(self, node: np.ndarray, padded: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> np.ndarray:
         one = np.uint64(1)
+        size, letters = lengths[row], padded[row].T
+        having = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), side="right")
         m = self.lengths[node].astype(np.uint64)
-        last = one << (m - one)
+        shift = m - one
         pv = (one << m) - one
         mv = np.zeros(len(node), dtype=np.uint64)
         score = self.lengths[node].copy()
-        size = lengths[row]
-        for j in range(int(size.max(initial=0))):
-            e = self.eq[node, padded[row, j]]
-            xv = e | mv
-            xh = (((e & pv) + pv) ^ pv) | e
-            ph = mv | ~(xh | pv)
-            mh = pv & xh
-            live = j < size
-            score += ((ph & last) != 0).astype(np.int64) * live
-            score -= ((mh & last) != 0).astype(np.int64) * live
+        first = node * self.eq.shape[1]
+        flat = self.eq.ravel()
+        for j, n in enumerate(having.tolist()):
+            e, p, v = flat[first[:n] + letters[j, :n]], pv[:n], mv[:n]
+            xv = e | v
+            xh = (((e & p) + p) ^ p) | e
+            ph = v | ~(xh | p)
+            mh = p & xh
+            score[:n] += ((ph >> shift[:n]) & one).astype(np.int64) - ((mh >> shift[:n]) & one).astype(np.int64)
             ph = (ph << one) | one
-            pv = (mh << one) | ~(xv | ph)
-            mv = ph & xv
+            pv[:n] = (mh << one) | ~(xv | ph)
+            mv[:n] = ph & xv
         return score
 
     def _distance(self, node: int, word: list[int]) -> int:
@@ -245,6 +258,12 @@ def _match(batches: Iterator, folder: str, shards: int, most: int) -> Iterator:
         )
 
 
+def _distinct(values: DataFrame) -> DataFrame:
+    """(value): the distinct values, written once to the shared checkpoint folder."""
+    ensure_checkpoint_dir(values.sparkSession)
+    return values.where("value is not null").groupBy("value").agg(F.lit(1).alias("one")).select("value").checkpoint()
+
+
 def entries_within(values: DataFrame, reference: DataFrame, entry_id: str, entry: str, most: int = 2, shard_entries: int = SHARD_ENTRIES, block_values: int = BLOCK_VALUES) -> DataFrame:
     """(value, distance, entry): every entry within ``most`` edits of a reading of each distinct ``value``.
 
@@ -254,13 +273,15 @@ def entries_within(values: DataFrame, reference: DataFrame, entry_id: str, entry
     it or of the values is collected but their numbers. A task holds about ``block_values`` values
     and one tree. Every block of values reads every shard.
     """
-    spark = values.sparkSession
+    return _near(_distinct(values), reference, entry_id, entry, most, shard_entries, block_values)
+
+
+def _near(distinct: DataFrame, reference: DataFrame, entry_id: str, entry: str, most: int, shard_entries: int, block_values: int = BLOCK_VALUES) -> DataFrame:
     words = reference.where(F.col(entry) != "").groupBy(F.col(entry).alias("w")).agg(F.min(F.col(entry_id).cast("int")).alias("i")).where("i is not null")
     shards = max(1, -(-reference.count() // shard_entries))
     folder = shared.store(words.withColumn("shard", F.pmod(F.xxhash64("w"), F.lit(shards))), "reference-entries", "shard")
-    counted = values.where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    blocks = max(int(spark.sparkContext.defaultParallelism), -(-counted.count() // block_values))
-    spread = counted.select("value", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block")).repartitionById(blocks, "block")
+    blocks = max(int(distinct.sparkSession.sparkContext.defaultParallelism), -(-distinct.count() // block_values))
+    spread = distinct.select("value", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block")).repartitionById(blocks, "block")
     return spread.select("value").mapInArrow(lambda b: _match(b, folder, shards, most), _NEAR)
 
 
@@ -270,6 +291,7 @@ def nearest_entries(values: DataFrame, reference: DataFrame, entry_id: str, entr
     The winners of the shards are merged: the least distance holds, of equally near entries the
     least id. Null values do not come out.
     """
-    near = entries_within(values, reference, entry_id, entry, most, shard_entries).select("value", F.struct("distance", "entry").alias("b"))
-    every = values.where("value is not null").select("value", F.lit(None).cast("struct<distance: int, entry: int>").alias("b"))
+    distinct = _distinct(values)
+    near = _near(distinct, reference, entry_id, entry, most, shard_entries).select("value", F.struct("distance", "entry").alias("b"))
+    every = distinct.select("value", F.lit(None).cast("struct<distance: int, entry: int>").alias("b"))
     return every.unionByName(near).groupBy("value").agg(F.min("b").alias("b")).select("value", "b.distance", "b.entry")

@@ -43,35 +43,34 @@ def direct_orphans(references: DataFrame, spans: DataFrame) -> DataFrame:
     return refs.join(s, alive, "left_anti").join(ends, ["parent", "ref"], "left").select("child", "rec", "field", "parent", "ref", "at", reason.alias("reason"))
 
 
-def orphan_cascade(references: DataFrame, spans: DataFrame, identity: DataFrame | None = None) -> DataFrame:
-    """All orphaned references: (child, rec, field, parent, ref, at, reason, kind, depth).
+def orphan_cascade(references: DataFrame, spans: DataFrame, identity: DataFrame) -> DataFrame:
+    """All orphaned references, each once: (child, rec, field, parent, ref, at, reason, kind, depth).
 
     ``kind`` is direct (depth 0) or inherited (the depth is the round that reached it; ``reason``
-    is then parent). A reference is reported once, at its least depth; a cycle of tables or of
-    records ends, since a record starts no second round. Without identities only direct orphans
-    can be. References and rounds are stored in the shared checkpoint folder when rounds are run.
+    is then parent). A reference, with its parent and time, that is a direct orphan is not an
+    inherited one too; another reference of the same record may be. A cycle of tables or of records
+    ends, since a record starts no second round. References are stored once in the shared checkpoint
+    folder, and so are the records that each round newly reaches; a round reads the records of the
+    rounds before by their keys alone.
     """
-    direct = direct_orphans(references, spans).withColumn("kind", F.lit("direct")).withColumn("depth", F.lit(0))
-    if identity is None:
-        return direct
     ensure_checkpoint_dir(references.sparkSession)
-    direct = direct.checkpoint()
-    found, depth, same = direct, 0, ["child", "rec", "field", "ref"]
+    references = references.checkpoint().where("ref is not null")
+    columns = ["child", "rec", "field", "parent", "ref", "at"]
+    direct = direct_orphans(references, spans).checkpoint()
+    found = direct.withColumn("depth", F.lit(0))
     seen = frontier = direct.select("child", "rec").distinct()
-    while True:
+    depth = 0
+    while not frontier.isEmpty():
         depth += 1
         keys = identity.join(frontier, (identity.table == frontier.child) & (identity.rec == frontier.rec), "left_semi").select("parent", F.col("key").alias("ref")).distinct()
-        reached = references.where("ref is not null").join(keys, ["parent", "ref"], "left_semi")
-        # a direct orphan has no living parent, so it is not reported again as an inherited one
-        fresh = reached.join(direct.select(*same), same, "left_anti")
-        if depth > 1:
-            fresh = fresh.join(found.where("kind = 'inherited'").select(*same), same, "left_anti")
-        fresh = fresh.select("child", "rec", "field", "parent", "ref", "at", F.lit("parent").alias("reason"), F.lit("inherited").alias("kind"), F.lit(depth).alias("depth")).checkpoint()
-        if fresh.isEmpty():
-            return found
-        found = found.unionByName(fresh)
-        frontier = fresh.select("child", "rec").distinct().join(seen, ["child", "rec"], "left_anti").checkpoint()
-        seen = seen.unionByName(frontier)
+        reached = references.join(keys, ["parent", "ref"], "left_semi").select(*columns, F.lit("parent").alias("reason"), F.lit(depth).alias("depth")).checkpoint()
+        frontier = reached.select("child", "rec").distinct().join(seen, ["child", "rec"], "left_anti").checkpoint()
+        found, seen = found.unionByName(reached), seen.unionByName(frontier)
+    # exchanged explicitly: the children of a union may not be aligned
+    first = F.min(F.struct("depth", "reason")).alias("first")
+    each = found.repartition("ref", "rec").groupBy(*columns).agg(first)
+    kind = F.when(F.col("first.depth") == 0, "direct").otherwise("inherited").alias("kind")
+    return each.select(*columns, "first.reason", kind, "first.depth")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

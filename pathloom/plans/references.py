@@ -12,7 +12,7 @@ from ..tables import table
 
 def code_text(col: Column) -> Column:
     """A numeric code as plain integer text; null if it is blank or no whole number."""
-    number = F.regexp_replace(col, r"[\s\u00a0]+", "").try_cast("decimal(38,6)") if hasattr(Column, "try_cast") else F.expr("null")
+    number = F.regexp_replace(col, r"[\s\u00a0]+", "").try_cast("decimal(38,6)")
     return F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string"))
 
 
@@ -45,13 +45,51 @@ def diagnosis_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.select(F.lit("gold_diagnosis").alias("child"), "rec", "field", "parent", "ref", "at")
 
 
+FIELDS = ("lemma", "expected_cng", "available_cngs")
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "sentences").groupBy("sentence_id").agg(F.min("stem").alias("stem"), F.min("loaded_at").alias("loaded_at"))
+    return rows.where("sentence_id is not null")
+
+
+def _graph(spark: SparkSession, sf_dir: str, sentences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References, spans and identities of the diagnoses and of what they hang on.
+
+    Diagnoses refer to the gold vocabulary and, by its stem, to a sentence; sentences refer to a
+    split assignment. References of sentences are dated by the sentence's loading. An assignment
+    holds from the beginning: that a sentence is loaded before it is assigned is the usual order.
+    """
+    never, sid = F.lit(None).cast("timestamp_ntz").alias("removed_at"), F.col("sentence_id").cast("string")
+    loaded = F.col("loaded_at").cast("timestamp_ntz")
+    splits = table(spark, sf_dir, "splits").where("sentence_id is not null").select(F.lit("splits").alias("parent"), sid.alias("key"), F.lit("0001-01-01").cast("timestamp_ntz").alias("added_at"), never).distinct()
+    # a sentence is named by two keys; the name of a key decides whose records it names
+    named = sentences.select(sid.alias("rec"), loaded.alias("added_at"), F.explode(F.array(F.struct(F.lit("sentences").alias("parent"), sid.alias("key")), F.struct(F.lit("sentences.stem").alias("parent"), F.col("stem").alias("key")))).alias("k"))
+    spans = vocabulary_spans(spark, sf_dir).unionByName(splits).unionByName(named.select("k.parent", "k.key", "added_at", never))
+    identity = named.select(F.lit("sentences").alias("table"), "k.parent", "k.key", "rec")
+    own = sentences.select(F.lit("sentences").alias("child"), sid.alias("rec"), F.lit("sentence_id").alias("field"), F.lit("splits").alias("parent"), sid.alias("ref"), loaded.alias("at"))
+    diagnoses = table(spark, sf_dir, "gold_diagnosis").where("diag_id is not null and sent_id is not null").select("diag_id", "sent_id", "diagnosed_at").distinct()
+    diagnoses = diagnoses.select(
+        F.lit("gold_diagnosis").alias("child"), F.col("diag_id").cast("string").alias("rec"), F.lit("sent_id").alias("field"),
+        F.lit("sentences.stem").alias("parent"), F.trim("sent_id").alias("ref"), F.col("diagnosed_at").alias("at"),
+    )
+    return diagnosis_references(spark, sf_dir).unionByName(own).unionByName(diagnoses), spans, identity
+
+
+def _diagnosis_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct and inherited orphans of the diagnoses, by the cascade over the tables they hang on."""
+    return orphan_cascade(*_graph(spark, sf_dir, _sentences(spark, sf_dir))).where("child = 'gold_diagnosis'")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orphans = orphan_cascade(diagnosis_references(spark, sf_dir), vocabulary_spans(spark, sf_dir))
+    """The references to vocabulary tokens that do not exist: the direct orphans of the three fields."""
+    orphans = _diagnosis_orphans(spark, sf_dir).where(F.col("field").isin(*FIELDS) & (F.col("kind") == "direct"))
     return orphans.select(F.col("rec").cast("long").alias("diag_id"), "field", "ref", "reason")
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_report(orphan_cascade(diagnosis_references(spark, sf_dir), vocabulary_spans(spark, sf_dir)))
+    """Per field and month of the diagnoses, direct beside inherited orphans."""
+    return orphan_report(_diagnosis_orphans(spark, sf_dir))
 
 
 def _each_node(orphans: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -62,39 +100,15 @@ def _each_node(orphans: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct and inherited orphans over the tables' foreign keys.
-
-    sentences refer to a split assignment, nodes and diagnoses to a sentence, diagnoses to the
-    gold vocabulary too: a sentence in no split orphans its nodes and its diagnoses. References of
-    sentences and nodes are dated by the sentence's loading. An assignment holds from the beginning:
-    that a sentence is loaded before it is assigned is the usual order.
-    """
-    sentences = table(spark, sf_dir, "sentences").groupBy("sentence_id").agg(F.min("stem").alias("stem"), F.min("loaded_at").alias("loaded_at")).where("sentence_id is not null")
-    splits = table(spark, sf_dir, "splits").where("sentence_id is not null").select(F.col("sentence_id").cast("string").alias("key")).distinct()
-    spans = (
-        vocabulary_spans(spark, sf_dir)
-        .unionByName(splits.select(F.lit("splits").alias("parent"), "key", F.lit("0001-01-01").cast("timestamp_ntz").alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("removed_at")))
-        .unionByName(sentences.select(F.lit("sentences").alias("parent"), F.col("sentence_id").cast("string").alias("key"), F.col("loaded_at").alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("removed_at")))
-        .unionByName(sentences.select(F.lit("sentences.stem").alias("parent"), F.col("stem").alias("key"), F.col("loaded_at").alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("removed_at")))
-    )
+    """Direct and inherited orphans over all tables' foreign keys: a sentence in no split orphans its nodes too."""
+    sentences = _sentences(spark, sf_dir)
+    references, spans, identity = _graph(spark, sf_dir, sentences)
     sid = F.col("sentence_id").cast("string")
-    loaded = F.col("loaded_at").cast("timestamp_ntz").alias("at")
-    own = sentences.select(F.lit("sentences").alias("child"), sid.alias("rec"), F.lit("sentence_id").alias("field"), F.lit("splits").alias("parent"), sid.alias("ref"), loaded)
     # the nodes of a sentence share one reference, so the cascade carries it once; the report counts the nodes
     every = table(spark, sf_dir, "nodes").where("sentence_id is not null and node_id is not null").select("sentence_id", "node_id")
     nodes = every.select("sentence_id").distinct().join(sentences, "sentence_id", "left")
-    nodes = nodes.select(F.lit("nodes").alias("child"), sid.alias("rec"), F.lit("sentence_id").alias("field"), F.lit("sentences").alias("parent"), sid.alias("ref"), loaded)
-    diagnoses = table(spark, sf_dir, "gold_diagnosis").where("diag_id is not null and sent_id is not null").select("diag_id", "sent_id", "diagnosed_at").distinct()
-    diagnoses = diagnoses.select(
-        F.lit("gold_diagnosis").alias("child"), F.col("diag_id").cast("string").alias("rec"), F.lit("sent_id").alias("field"),
-        F.lit("sentences.stem").alias("parent"), F.trim("sent_id").alias("ref"), F.col("diagnosed_at").alias("at"),
-    )
-    references = diagnosis_references(spark, sf_dir).unionByName(own).unionByName(nodes).unionByName(diagnoses)
-    # a sentence is named by two keys; the table of a key decides whose records it names
-    identity = sentences.select(F.lit("sentences").alias("table"), F.lit("sentences").alias("parent"), sid.alias("key"), sid.alias("rec")).unionByName(
-        sentences.select(F.lit("sentences").alias("table"), F.lit("sentences.stem").alias("parent"), F.col("stem").alias("key"), sid.alias("rec"))
-    )
-    return orphan_report(_each_node(orphan_cascade(references, spans, identity), every))
+    nodes = nodes.select(F.lit("nodes").alias("child"), sid.alias("rec"), F.lit("sentence_id").alias("field"), F.lit("sentences").alias("parent"), sid.alias("ref"), F.col("loaded_at").cast("timestamp_ntz").alias("at"))
+    return orphan_report(_each_node(orphan_cascade(references.unionByName(nodes), spans, identity), every))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_report, p4_cascade)}
@@ -112,20 +126,20 @@ c as (select k.diag_id, k.field, k.ref, k.diagnosed_at, count(v.ref) as n,
   from k left join v on v.kind = k.kind and v.ref = k.ref group by all),
 o as (select diag_id, field, ref, diagnosed_at, case when n = 0 then 'missing' when ended > 0 then 'deleted' else 'late' end as reason from c where alive = 0)
 """
+_GRAPH = _CASES + """, s as (select sentence_id, min(stem) as stem, min(loaded_at) as loaded_at from sentences where sentence_id is not null group by 1),
+os as (select * from s where sentence_id not in (select sentence_id from splits where sentence_id is not null)),
+nd as (select distinct sentence_id, node_id from nodes where sentence_id is not null and node_id is not null),
+sd as (select distinct diag_id, trim(sent_id) as stem, diagnosed_at from gold_diagnosis where diag_id is not null and sent_id is not null),
+sx as (select sd.*, (select count(*) from s where s.stem = sd.stem) as known, (select count(*) from s where s.stem = sd.stem and (sd.diagnosed_at is null or s.loaded_at <= sd.diagnosed_at)) as alive, (select count(*) from os where os.stem = sd.stem) as bad from sd),
+a as (select 'gold_diagnosis' as "table", field, diagnosed_at as dated, 'direct' as kind, reason, diag_id::varchar as rec from o
+  union all select 'sentences', 'sentence_id', loaded_at, 'direct', 'missing', sentence_id::varchar from os
+  union all select 'nodes', 'sentence_id', null, 'direct', 'missing', sentence_id || ' ' || node_id from nd where sentence_id not in (select sentence_id from s)
+  union all select 'nodes', 'sentence_id', os.loaded_at, 'inherited', 'parent', nd.sentence_id || ' ' || nd.node_id from nd join os on os.sentence_id = nd.sentence_id
+  union all select 'gold_diagnosis', 'sent_id', diagnosed_at, 'direct', case when known = 0 then 'missing' else 'late' end, diag_id::varchar from sx where alive = 0
+  union all select 'gold_diagnosis', 'sent_id', diagnosed_at, 'inherited', 'parent', diag_id::varchar from sx where alive > 0 and bad > 0)
+select "table", field, strftime(dated, '%Y-%m') as month, kind, reason, count(*) as refs, count(distinct rec) as records from a where {rows} group by all"""
 SQL = {
     "p4_found": _CASES + "select diag_id, field, ref, reason from o",
-    "p4_report": _CASES
-    + "select 'gold_diagnosis' as \"table\", field, strftime(diagnosed_at, '%Y-%m') as month, 'direct' as kind, reason, count(*) as refs, count(distinct diag_id::varchar) as records from o group by all",
+    "p4_report": _GRAPH.replace("{rows}", "\"table\" = 'gold_diagnosis'"),
+    "p4_cascade": _GRAPH.replace("{rows}", "true"),
 }
-SQL["p4_cascade"] = _CASES + """, s as (select sentence_id, min(stem) as stem, min(loaded_at) as loaded_at from sentences where sentence_id is not null group by 1),
-os as (select * from s where sentence_id not in (select sentence_id from splits where sentence_id is not null)),
-nd as (select distinct sentence_id from nodes where sentence_id is not null),
-sd as (select distinct diag_id, trim(sent_id) as stem, diagnosed_at from gold_diagnosis where diag_id is not null and sent_id is not null),
-sx as (select sd.*, (select count(*) from s where s.stem = sd.stem) as known, (select count(*) from s where s.stem = sd.stem and s.loaded_at <= sd.diagnosed_at) as alive, (select count(*) from os where os.stem = sd.stem) as bad from sd),
-a as (select 'gold_diagnosis' as "table", field, strftime(diagnosed_at, '%Y-%m') as month, 'direct' as kind, reason, diag_id::varchar as rec from o
-  union all select 'sentences', 'sentence_id', null, 'direct', 'missing', sentence_id::varchar from os
-  union all select 'nodes', 'sentence_id', null, 'direct', 'missing', sentence_id::varchar from nd where sentence_id not in (select sentence_id from s)
-  union all select 'nodes', 'sentence_id', null, 'inherited', 'parent', sentence_id::varchar from nd where sentence_id in (select sentence_id from os)
-  union all select 'gold_diagnosis', 'sent_id', strftime(diagnosed_at, '%Y-%m'), 'direct', case when known = 0 then 'missing' else 'late' end, diag_id::varchar from sx where alive = 0
-  union all select 'gold_diagnosis', 'sent_id', strftime(diagnosed_at, '%Y-%m'), 'inherited', 'parent', diag_id::varchar from sx where alive > 0 and bad > 0)
-select "table", field, month, kind, reason, count(*) as refs, count(distinct rec) as records from a group by all"""

@@ -76,5 +76,14 @@ def test_a_cycle_of_records_ends(spark, rows):
 def test_empty_tables(spark):
     refs, spans = spark.createDataFrame([], REFS), spark.createDataFrame([], SPANS)
     assert orphan_cascade(refs, spans, spark.createDataFrame([], IDS)).count() == 0
-    one = spark.createDataFrame([("c", "1", "f", "p", "k", None)], REFS)
-    assert orphan_cascade(one, spans).first()["reason"] == "missing"
+    one = spark.createDataFrame([("c", "1", "f", "p", "k", None), ("c", "2", "f", "p", None, None)], REFS)
+    got = orphan_cascade(one, spans, spark.createDataFrame([], IDS)).collect()
+    assert [(r["rec"], r["reason"], r["kind"]) for r in got] == [("1", "missing", "direct")]
+
+
+def test_direct_and_inherited_references_of_one_field_are_told_apart_by_parent_and_time(spark, rows):
+    spans = spark.createDataFrame([("a", "1", day(5), None), ("b", "1", day(0), None)], SPANS)
+    refs = [("a", "1", "f", "root", "gone", day(9)), ("c", "1", "f", "a", "1", day(1)), ("c", "1", "f", "a", "1", day(9)), ("c", "1", "f", "b", "1", day(9)), ("c", "1", "f", "a", "1", day(9))]
+    ids = spark.createDataFrame([("a", "a", "1", "1"), ("b", "b", "1", "1")], IDS)
+    got = orphan_cascade(spark.createDataFrame(refs, REFS), spans, ids)
+    assert rows(got.where("child = 'c'"), "parent", "at", "reason", "kind") == [("a", day(1), "late", "direct"), ("a", day(9), "parent", "inherited")]

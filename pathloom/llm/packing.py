@@ -5,24 +5,27 @@ at a time; a bitset with one bit per amount of free room names the amounts for w
 is open. An item goes to the open container with the least room that still holds it (the lowest
 set bit at or above its size). If none holds it and all are open, the fullest closes first.
 
-Every partition packs its own items. The containers still open at its end are at most
-``open_bins``; they travel on as items of their own to a second packing, so that what little room
-is left open per partition is filled as well. Nothing is collected, and the number of containers
-a task keeps in memory is bounded by ``open_bins`` and one batch.
+Every part of the items packs its own. The containers still open at its end are at most
+``open_bins``; they alone travel on, as items of their own, to a second packing under the same bound,
+so that what room is left open per part is filled as well. Nothing is collected but the sum of all
+sizes, which decides the number of parts, so the result depends on the items alone. A task
+keeps ``open_bins`` containers and one batch in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import shuffle_width
+from ..tables import ensure_checkpoint_dir
 
 CAPACITY = 2048
 OPEN_BINS = 512
+#: containers' worth of items in one part, and open containers in one group of the second packing
+PART_BINS = 8_192
 LATE_GROUP = 20_000
 
 
@@ -76,7 +79,7 @@ class OpenBins:
 _ITEM = T.StructType([T.StructField("item", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("size", T.LongType())])
 _BIN = T.StructType(
     [
-        T.StructField("bin_key", T.LongType()),
+        T.StructField("bin_key", T.StringType()),
         T.StructField("open", T.BooleanType()),
         T.StructField("used", T.LongType()),
         T.StructField("content", T.ArrayType(_ITEM)),
@@ -99,7 +102,7 @@ def _bins_to_batch(bins: list[tuple[int, bool, int, list]]):
         offsets.append(at)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([b[0] for b in bins], pa.int64()),
+            pa.array([b[0] for b in bins], pa.string()),
             pa.array([b[1] for b in bins], pa.bool_()),
             pa.array([b[2] for b in bins], pa.int64()),
             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
@@ -108,86 +111,69 @@ def _bins_to_batch(bins: list[tuple[int, bool, int, list]]):
     )
 
 
-def _key(content: list) -> int:
-    """A container's key: its least (item, part), mixed so that keys spread over partitions."""
+def _key(content: list) -> str:
+    """A container's name: its least (item, part)."""
     item, part, _ = min(content)
-    return (item << 20 | part) & 0x7FFFFFFFFFFFFFFF
+    return f"{item}-{part}"
 
 
-def _pack_items(batches: Iterator, capacity: int, open_bins: int) -> Iterator:
-    """Items (item, part, size) in order to containers."""
-    bins, out = OpenBins(capacity, open_bins), []
+def _pack(batches: Iterator, capacity: int, open_bins: int, contents: Callable[[object], Iterator[tuple[int, list]]]) -> Iterator:
+    """Pack what ``contents`` reads from each batch, as (size, content); the rest comes out open."""
+    bins = OpenBins(capacity, open_bins)
     for batch in batches:
-        for item in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for used, content in bins.put(item[2], [item]):
-                out.append((_key(content), False, used, content))
+        out = [(_key(content), False, used, content) for size, new in contents(batch) for used, content in bins.put(size, new)]
         if out:
             yield _bins_to_batch(out)
-            out = []
-    for used, content in bins.rest():
-        out.append((_key(content), True, used, content))
+    out = [(_key(content), True, used, content) for used, content in bins.rest()]
     if out:
         yield _bins_to_batch(out)
 
 
-def _pack_bins(batches: Iterator, capacity: int, open_bins: int) -> Iterator:
-    """Closed containers pass through; open ones are items of a second packing."""
-    import pyarrow.compute as pc
+def _items(batch) -> Iterator[tuple[int, list]]:
+    for item in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        yield item[2], [item]
 
-    bins = OpenBins(capacity, open_bins)
-    for batch in batches:
-        is_open = batch.column(1)
-        done = batch.filter(pc.invert(is_open))
-        if done.num_rows:
-            yield done
-        late, out = batch.filter(is_open), []
-        for used, content in zip(late.column(2).to_pylist(), late.column(3).to_pylist(), strict=True):
-            moved = [(x["item"], x["part"], x["size"]) for x in content]
-            for full, packed in bins.put(used, moved):
-                out.append((_key(packed), False, full, packed))
-        if out:
-            yield _bins_to_batch(out)
-    out = [(_key(packed), False, used, packed) for used, packed in bins.rest()]
-    if out:
-        yield _bins_to_batch(out)
+
+def _open_bins(batch) -> Iterator[tuple[int, list]]:
+    for used, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        yield used, [(x["item"], x["part"], x["size"]) for x in content]
 
 
 def pack(
-    sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, partitions: int | None = None
+    sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, part_bins: int = PART_BINS
 ) -> DataFrame:
     """Containers for items: one row (container_id, key, part, start, n_tokens) per placed piece.
 
     An item larger than the capacity is split into full containers and a rest that is packed like
     any item; no other item is split. ``part`` counts an item's pieces from 0, ``start`` is the
     piece's first token in the item. Items of size null or below 1, and rows without a key, need no
-    place and do not come out. Keys are unique integers; a repeated key would be two items of one name. A container's
-    name is the least piece in it (item * 2**20 + part, exact for items below 2**43), so names do
-    not depend on the order of tasks; the packing depends on the number of partitions alone. Every item is packed whatever the sizes.
+    place and do not come out. Keys are unique integers of 64 bits; a repeated key would be two
+    items of one name. A container's name is the least (key, part) in it. Every item is packed
+    whatever the sizes. Sizes are stored once in the shared checkpoint folder, and the containers
+    of the first packing; those that it closed leave from there.
     """
-    spark = sizes.sparkSession
-    n = partitions or shuffle_width(spark)
-    groups = max(1, -(-n * open_bins // LATE_GROUP))
-    items = sizes.where((F.col(size) > 0) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(size).cast("long").alias("total"))
+    ensure_checkpoint_dir(sizes.sparkSession)
+    items = sizes.where((F.col(size) > 0) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(size).cast("long").alias("total")).checkpoint()
+    total = items.agg(F.sum("total")).first()[0] or 0
+    n = max(1, -(-total // (capacity * part_bins)))
     full = F.floor(F.col("total") / capacity).cast("int")
     rest = F.col("total") % capacity
     # an item's full containers pass through the packing and close at once
     parts = F.sequence(F.lit(0), F.when(rest > 0, full).otherwise(full - 1))
     items = items.select("item", F.explode(parts).alias("part"), full.alias("full"), rest.alias("rest"))
     items = items.select("item", "part", F.when(F.col("part") < F.col("full"), F.lit(capacity).cast("long")).otherwise(F.col("rest")).alias("size"))
-    ordered = items.withColumn("h", F.xxhash64("item")).repartition(n, "h").sortWithinPartitions("h", "item", "part").select("item", "part", "size")
-    first = ordered.mapInArrow(lambda b: _pack_items(b, capacity, open_bins), _BIN)
-    spread = F.when(F.col("open"), F.pmod(F.xxhash64("bin_key"), F.lit(groups))).otherwise(F.xxhash64("bin_key"))
-    second = (
-        first.withColumn("g", spread)
-        .repartition(n, "g")
-        .sortWithinPartitions("open", F.desc("used"), "bin_key")
-        .select("bin_key", "open", "used", "content")
-        .mapInArrow(lambda b: _pack_bins(b, capacity, LATE_GROUP * 2), _BIN)
-    )
-    placed = second.select("bin_key", F.explode("content").alias("c")).select(
-        F.col("bin_key").alias("container_id"), F.col("c.item").alias("item"), F.col("c.part").alias("part"), F.col("c.size").alias("n_tokens")
-    )
-    return placed.select("container_id", F.col("item").alias(key), "part", (F.col("part").cast("long") * capacity).alias("start"), "n_tokens")
+    part = lambda hash_, parts: F.pmod(hash_, F.lit(parts)).cast("int").alias("p")
+    ordered = items.withColumn("h", F.xxhash64("item")).select("*", part(F.col("h"), n)).repartitionById(n, "p").sortWithinPartitions("h", "item", "part").select("item", "part", "size")
+    first = ordered.mapInArrow(lambda b: _pack(b, capacity, open_bins, _items), _BIN).checkpoint()
+    groups = max(1, -(-n * open_bins // LATE_GROUP))
+    late = first.where("open").select("used", "content", "bin_key", F.xxhash64("bin_key").alias("h")).select("*", part(F.col("h"), groups))
+    late = late.repartitionById(groups, "p").sortWithinPartitions("h", "bin_key").select("used", "content")
+    second = late.mapInArrow(lambda b: _pack(b, capacity, open_bins, _open_bins), _BIN)
+    placed = first.where("not open").unionByName(second).select("bin_key", F.explode("content").alias("c"))
+    return placed.select(
+        F.col("bin_key").alias("container_id"), F.col("c.item").alias(key), F.col("c.part").alias("part"),
+        (F.col("c.part").cast("long") * capacity).alias("start"), F.col("c.size").alias("n_tokens"),
+    )
 
 
 def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

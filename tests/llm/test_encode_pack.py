@@ -79,12 +79,12 @@ def test_open_bins_take_the_tightest_fit():
     assert sorted(u for u, _ in bins.rest()) == [5, 7, 9]
 
 
-@pytest.mark.parametrize(("open_bins", "partitions"), [(2, 3), (64, 2), (1, 1)])
-def test_packing_places_every_token_once(spark, open_bins, partitions):
+@pytest.mark.parametrize(("open_bins", "part_bins"), [(2, 100), (64, 200), (1, 10_000)])
+def test_packing_places_every_token_once(spark, open_bins, part_bins):
     rng = random.Random(open_bins)
     sizes = [(i, rng.choice([0, None, 1, 10, 50, 100, 101, 250, 1000, rng.randint(1, 99)])) for i in range(400)]
     df = spark.createDataFrame(sizes, "doc_id long, n_tokens long").withColumn("part", F.lit(5))
-    rows = packing.pack(df, capacity=100, open_bins=open_bins, partitions=partitions).collect()
+    rows = packing.pack(df, capacity=100, open_bins=open_bins, part_bins=part_bins).collect()
     used, pieces = {}, {}
     for r in rows:
         used[r["container_id"]] = used.get(r["container_id"], 0) + r["n_tokens"]
@@ -98,14 +98,14 @@ def test_packing_places_every_token_once(spark, open_bins, partitions):
         assert [p for p, _, _ in own] == list(range(len(own))) and sum(k for *_, k in own) == n
         assert all(start == p * 100 for p, start, _ in own)
         assert len(own) == 1 if n <= 100 else all(k == 100 for *_, k in own[:-1])
-    again = packing.pack(df.repartition(5), capacity=100, open_bins=open_bins, partitions=partitions).collect()
+    again = packing.pack(df.repartition(5), capacity=100, open_bins=open_bins, part_bins=part_bins).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
 def test_packing_leaves_little_room(spark):
     rng = random.Random(5)
     df = spark.createDataFrame([(i, rng.randint(1, 700)) for i in range(4000)], "doc_id long, n_tokens long")
-    report = packing.fill_report(packing.pack(df, partitions=4)).first()
+    report = packing.fill_report(packing.pack(df, part_bins=170)).first()
     assert report["unused_share"] < 0.02 and report["containers"] >= report["least_containers"]
 
 
@@ -114,4 +114,23 @@ def test_empty_and_hot_sizes(spark):
     assert packing.pack(none).count() == 0
     assert packing.fill_report(packing.pack(none)).first()["containers"] == 0
     same = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1025).cast("long").alias("n_tokens"))
-    assert packing.pack(same, partitions=2).groupBy("container_id").count().count() == 3000
+    assert packing.pack(same, part_bins=750).groupBy("container_id").count().count() == 3000
+
+
+def test_ids_of_64_bits_keep_containers_apart(spark):
+    ids = [1, 1 + 2**43, 1 - 2**62, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(i, 1500) for i in ids], "doc_id long, n_tokens long")
+    rows = packing.pack(df).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(ids) and len({r["container_id"] for r in rows}) == len(ids)
+
+
+def test_the_packing_does_not_depend_on_the_session(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, rng.randint(1, 900)) for i in range(1500)], "doc_id long, n_tokens long")
+    one = sorted(map(tuple, packing.pack(df, part_bins=64).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert sorted(map(tuple, packing.pack(df, part_bins=64).collect())) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -19,7 +19,7 @@ All counts are over all documents.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +36,15 @@ LONGER_SHARE = 0.02
 NEAR_LENGTHS = 10
 #: what a genre's double dandas, or a word's full stops before lower case, must surely reach as a share
 SURE_SHARE = 0.8
+#: a limit has so many times the texts that the lengths below it would let expect, or those on both sides
+LIMIT_RISE = 5
+LIMIT_PEAK = 20
+#: an abbreviation ends a sentence, or stands without its full stop, in less than this share of cases
+ABBREVIATION_SHARE = 0.05
+#: documents that have no lead are spread over so many keys of its join
+NO_LEADS = 4_096
+#: beginnings up to this length are looked up letter by letter, longer ones by their first 2, 4, 8 ... times as many
+SHORT_BEGINNING = 16
 PUNCTUATION = "|।॥.,;:!?()[]{}\"“”„«»'’‘<>…=—–-�*"
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*+)[^<>]*+>")
 _MARK = re.compile(r"<(/?)([A-Za-z][\w:.-]*+)[^<>]*+>|[()\[\]{}“”„«»\"]")
@@ -57,28 +66,36 @@ def unclosed(text: str) -> list[tuple[str, int]]:
     the inner ones with it. Apostrophes are letters here. The empty text holds nothing.
     """
     stack: list[tuple[str, int]] = []
+    held: defaultdict[str, int] = defaultdict(int)  # how many of each name the stack holds
+
+    def push(name: str, at: int) -> None:
+        stack.append((name, at))
+        held[name] += 1
+
     for m in _MARK.finditer(text):
         sign = m.group()
         if sign == '"':
             want = sign
-            if all(name != sign for name, _ in stack):
-                stack.append((sign, m.start()))
+            if not held[sign]:
+                push(sign, m.start())
                 continue
         elif sign[0] == "<":
             want = "</" + m.group(2) + ">"
             if sign[-2] == "/":
                 continue
             if not m.group(1):
-                stack.append((want, m.start()))
+                push(want, m.start())
                 continue
         elif sign in _OPENERS:
-            stack.append((_OPENERS[sign], m.start()))
+            push(_OPENERS[sign], m.start())
             continue
         else:
             want = sign
-        if any(name == want for name, _ in stack):
-            while stack.pop()[0] != want:
-                pass
+        if held[want]:
+            name = None
+            while name != want:
+                name = stack.pop()[0]
+                held[name] -= 1
     return stack
 
 
@@ -251,10 +268,10 @@ def _limits(ends: DataFrame, column: str, slack: int, copies: int) -> DataFrame:
         below, above = docs[low] - docs[place(l - near)], docs[place(l + near, "right")] - docs[high]
         at, longer = ats[high] - ats[low], docs[-1] - docs[high]
         width = (2 * slack + 1) / near
-        good = (longer <= LONGER_SHARE * docs[-1]) & (at >= 5 * below * width)
+        good = (longer <= LONGER_SHARE * docs[-1]) & (at >= LIMIT_RISE * below * width)
         # a limit in characters also shows among the bytes of ASCII texts, so there it must hold for all
         if slack == 0:
-            good |= at >= 20 * np.maximum(below, above) * width
+            good |= at >= LIMIT_PEAK * np.maximum(below, above) * width
         kept: list[int] = []
         passed = np.flatnonzero(good & (texts >= copies))
         for i in passed[np.lexsort((-l[passed], -texts[passed]))]:
@@ -266,6 +283,28 @@ def _limits(ends: DataFrame, column: str, slack: int, copies: int) -> DataFrame:
     return found.select("source", F.explode(F.sequence(F.col("l") - slack, F.col("l") + slack)).alias(column), F.col("l").alias(f"limit_{column}"))
 
 
+def _beginnings(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, longer): for each of the ``keys`` the occurrences of the commonest longer word that begins with it.
+
+    A word is found by its beginnings of 1 to SHORT_BEGINNING letters and of 2, 4, 8 ... times as
+    many, so what a word of n letters makes is in proportion to n. A longer key is looked up by the
+    longest of those that it has, and then compared. Only beginnings that some key asks for are
+    kept before counts meet.
+    """
+    short, double = F.lit(SHORT_BEGINNING), lambda n: F.floor(F.log2(n / F.lit(SHORT_BEGINNING))).cast("int")
+    every = F.sequence(F.lit(1), F.least(F.length("word"), short))
+    powers = F.transform(F.sequence(F.lit(1), F.greatest(double(F.length("word")), F.lit(1))), lambda i: short * F.pow(F.lit(2), i).cast("int"))
+    steps = F.filter(F.concat(every, powers), lambda i: i <= F.length("word"))
+    each = words.where("word <> ''").select("word", "n", F.explode(steps).alias("at")).select("word", "n", "at", F.substring("word", F.lit(1), F.col("at")).alias("begin"))
+    at = F.when(F.length("key") <= short, F.length("key")).otherwise(short * F.pow(F.lit(2), double(F.length("key"))).cast("int"))
+    asked = keys.where("key <> ''").select("key", at.alias("at")).select("key", F.substring("key", F.lit(1), F.col("at")).alias("begin"))
+    exact = each.where((F.col("at") <= short) & (F.col("begin") != F.col("word"))).groupBy("begin").agg(F.max("n").alias("longer"))
+    exact = asked.where(F.length("key") <= short).join(exact, "begin").select("key", "longer")
+    near = each.where(F.col("at") >= short).join(asked.where(F.length("key") > short), "begin")
+    near = near.where(F.col("word").startswith(F.col("key")) & (F.col("word") != F.col("key"))).select("key", F.col("n").alias("longer"))
+    return exact.unionByName(near).repartition("key").groupBy("key").agg(F.max("longer").alias("longer"))
+
+
 def truncated(
     documents: DataFrame, limit_copies: int = 5, bare_habit: float = 0.5, common_word: int = 3, closer_texts: int = 3, closer_share: float = 0.3, fragment_share: float = 0.001
 ) -> DataFrame:
@@ -284,14 +323,6 @@ def truncated(
     base = documents.select("doc_id", "source", "genre", "text")
     ends = base.mapInArrow(_endings, _ENDING).withColumn("source", F.coalesce("source", F.lit(""))).withColumn("genre", F.coalesce("genre", F.lit(""))).checkpoint()
     words = base.select("text").where("text is not null").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
-    # a beginning is that of a common word: the table of beginnings grows with the common words only
-    begins = (
-        words.where(F.col("n") >= common_word)
-        .select("n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", F.lit(1), i))).alias("key"), "word")
-        .where("key <> word")
-        .groupBy("key")
-        .agg(F.max("n").alias("longer"))
-    )
     at_chars, at_bytes = (_limits(ends, column, slack, limit_copies) for column, slack in (("n_chars", 0), ("n_bytes", BYTE_SLACK)))
     plain = (F.col("kind") != "records") & F.col("state").isin("bare", "closed")
     share = F.avg(F.when(plain, (F.col("state") == "bare").cast("double")))
@@ -307,6 +338,7 @@ def truncated(
     keys = ends.where("state in ('bare', 'closed')").select("key", "state", "text_id").groupBy("key").agg(F.countDistinct(F.when(F.col("state") == "bare", F.col("text_id"))).alias("final"))
     stops = words.where(F.col("word").rlike(r"\. [aA]$")).withColumn("key", F.regexp_replace("word", r"\. [aA]$", ""))
     stops = stops.groupBy("key").agg(*[F.sum(F.when(F.col("word").endswith(x), F.col("n")).otherwise(0)).alias(name) for x, name in ((". a", "going_on"), (". A", "ending"))])
+    begins = _beginnings(words.where(F.col("n") >= common_word), keys)
     known = (
         keys.join(words.withColumnRenamed("word", "key"), "key", "left")
         .join(begins, "key", "left")
@@ -315,7 +347,7 @@ def truncated(
     )
     # signatures and references that end with a number: known by the word they begin with
     leads = ends.where("state = 'bare' and lead <> ''").groupBy("lead").agg(F.countDistinct("text_id").alias("lead_final"))
-    leads = leads.join(words.select(F.col("word").alias("lead"), F.col("n").alias("lead_n")), "lead", "left").na.fill(0, ["lead_n"])
+    leads = leads.join(words.select(F.col("word").alias("lead"), F.col("n").alias("lead_n")), "lead", "left").na.fill(0, ["lead_n"]).withColumnRenamed("lead", "led")
     # a tag that is closed nowhere is no element
     elements = words.where(F.col("word").startswith("</")).select(F.col("word").alias("tag"))
     open_docs = ends.where(F.size("tags") > 0).select("doc_id", F.explode("tags").alias("tag")).join(elements, "tag", "left_semi").select("doc_id", F.lit(True).alias("open_tag")).distinct()
@@ -326,7 +358,7 @@ def truncated(
         .join(by_source, "source", "left")
         .join(by_genre, "genre", "left")
         .join(odd_marks, ["genre", "mark_"], "left")
-        .join(leads, "lead", "left")
+        .join(leads, F.coalesce(F.nullif("lead", F.lit("")), F.concat(F.lit("\0"), F.pmod(F.xxhash64("doc_id"), F.lit(NO_LEADS)).cast("string"))) == F.col("led"), "left")
         .join(open_docs, "doc_id", "left")
     )
     at_limit = F.col("limit_n_chars").isNotNull() | F.col("limit_n_bytes").isNotNull()
@@ -335,7 +367,7 @@ def truncated(
     weak = (F.coalesce("source_bare", F.lit(0.0)) > bare_habit) | (F.coalesce("genre_bare", F.lit(0.0)) > bare_habit) | ((F.col("genre") == "") & (F.col("kind") == "line"))
     cut_word = (F.col("n") <= fragment_share * F.col("longer")) & (F.col("longer") >= common_word)
     dotted = F.col("going_on") + F.col("ending")
-    abbreviation = (F.col("mark") == ".") & (_at_least(F.col("going_on"), dotted) >= SURE_SHARE) & (F.col("ending") * 20 < dotted) & ((F.col("n") - dotted) * 20 < dotted)
+    abbreviation = (F.col("mark") == ".") & (_at_least(F.col("going_on"), dotted) >= SURE_SHARE) & (F.col("ending") < ABBREVIATION_SHARE * dotted) & (F.col("n") - dotted < ABBREVIATION_SHARE * dotted)
     reason = (
         F.when(F.col("state").isin("omission", "broken", "unclosed", "between"), F.col("state"))
         .when(F.col("open_tag"), "unclosed")

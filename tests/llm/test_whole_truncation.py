@@ -38,3 +38,15 @@ def test_a_source_may_have_two_limits(spark):
     got = reasons(spark, docs)
     assert {d for d, reason in got.items() if reason == "limit"} >= {*range(200, 212), *range(300, 325)}
     assert all(d >= 200 for d in got if got[d] == "limit")
+
+
+def test_beginnings_of_any_length_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    words = {"".join(rng.choice("ab") for _ in range(n)): rng.randint(1, 9) for n in (*range(1, 9), 15, 16, 17, 31, 32, 33, 63, 64, 65, 300, 300)}
+    words |= {w + "a": 7 for w in list(words)[-6:]} | {"": 3}
+    keys = {w[:n] for w in words for n in (1, 2, 5, 15, 16, 17, 20, 31, 32, 33, 63, 64, 65, 200)} | {"zz", ""}
+    got = truncation._beginnings(spark.createDataFrame(list(words.items()), "word string, n long"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    want = {k: max(n for w, n in words.items() if w != k and w.startswith(k)) for k in keys if k and any(w != k and w.startswith(k) for w in words)}
+    assert {r["key"]: r["longer"] for r in got.collect()} == want

@@ -48,12 +48,12 @@ def micro(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sums.select(*(by or []), "sentences", "tp", "fp", "fn", *ratios(F.col("tp"), F.col("fp"), F.col("fn")), share)
 
 
-def macro(rows: DataFrame) -> DataFrame:
+def macro(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means of the sentences' precision, recall and f1."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     p, r = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)), F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     f = F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
-    return rows.agg(F.count("*").alias("sentences"), *[F.round(F.avg(c), 6).alias(n) for n, c in (("precision", p), ("recall", r), ("f1", f))])
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("sentences"), *[F.round(F.avg(c), 6).alias(n) for n, c in (("precision", p), ("recall", r), ("f1", f))])
 
 
 def multiset(gold: DataFrame, predicted: DataFrame) -> DataFrame:

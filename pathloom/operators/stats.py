@@ -3,17 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.features import global_rank
+from ..tables import ensure_checkpoint_dir
+
+
+def quantiles(df: DataFrame, value: Column, shares: list[float]) -> tuple[dict[str, float | int | None], list[float | None]]:
+    """({n, mean, most}, quantiles) of the non-null values, with linear interpolation, as numbers.
+
+    Rows are counted per distinct value, the distinct values are range-partitioned and their counts
+    summed up over the ranges, so no task holds all values. Of no values: n 0, all else None.
+    """
+    counts = df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    rows = running_total(counts, "v", "c", "upto")
+    total = rows.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("most")).first()
+    n = total["n"]
+    places = [(int((n - 1) * s), min(int((n - 1) * s) + 1, n - 1), (n - 1) * s - int((n - 1) * s)) for s in shares] if n else []
+    at = sorted({p for low, high, _ in places for p in (low, high)})
+    # the value at a place is the least one that reaches beyond it
+    found = rows.agg(*[F.min(F.when(F.col("upto") > p, F.col("v"))).alias(f"p{p}") for p in at]).first() if at else {}
+    return {"n": n, "mean": total["mean"], "most": total["most"]}, [found[f"p{lo}"] + w * (found[f"p{hi}"] - found[f"p{lo}"]) for lo, hi, w in places] or [None] * len(shares)
+
+
+def running_total(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
+    """Add the sum of ``amount`` up to and with each row, in the order of a unique column.
+
+    Ranges of the order are summed one by one; only one sum per range is joined back. The ranges
+    are stored in the shared checkpoint folder, since both sides must see the same ones.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sums = ranged.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum(amount).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    # one row per partition, so its size is bounded by their number
+    return ranged.withColumn("_upto", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_upto") + F.col("_before")).drop("_part", "_upto", "_before")
 
 
 def distribution(df: DataFrame, value: Column, name: str) -> DataFrame:
     """One row: name, count, mean, median, 95th and 99th percentile (linear interpolation), max."""
-    v = value.cast("double").alias("v")
-    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.select(v).agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), q.alias("q"), F.max("v").alias("most"))
-    return out.select(F.lit(name).alias("name"), "n", "mean", *[F.round(F.col("q")[i], 6).alias(x) for i, x in enumerate(("median", "p95", "p99"))], "most")
+    numbers, q = quantiles(df, value, [0.5, 0.95, 0.99])
+    row = (name, numbers["n"], *[None if x is None else float(x) for x in (numbers["mean"], *q, numbers["most"])])
+    out = df.sparkSession.createDataFrame([row], "name string, n long, mean double, median double, p95 double, p99 double, most double")
+    return out.select("name", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p95", "p99")], "most")
 
 
 def histogram(df: DataFrame, value: Column, bounds: list[int]) -> DataFrame:
@@ -44,5 +78,5 @@ def first_seen_vocabulary(df: DataFrame, token: str, order: list[str]) -> DataFr
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows chosen by a hash of the key and a seed, the same in every run; fewer if there are fewer."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """n rows chosen by the MD5 of seed and key, the same in every run; fewer if there are fewer."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)

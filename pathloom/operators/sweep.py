@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CYCLE = -1
+#: candidates (edges times places of a beam) that are worked on together; one sentence may have more
+BATCH_CANDIDATES = 3_000_000
 
 
 class Batch:
@@ -173,10 +175,33 @@ def _level_batch(column, n: int) -> Batch:
     return Batch(all_owner, all_src, all_dst, weight, edge, np.r_[np.zeros(len(node), bool), np.ones(len(src), bool)])
 
 
+def _edge_numbers(column, n: int, build) -> np.ndarray:
+    """How many edges each row brings at most."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if build is _batch:
+        return lengths
+    level = column.flatten().field(1).fill_null(-2).to_numpy(zero_copy_only=False).astype(np.int64)
+    base, span = level.min(initial=0), level.max(initial=0) - level.min(initial=0) + 2
+    key, size = np.unique(np.repeat(np.arange(n), lengths) * span + level - base, return_counts=True)
+    linked = np.flatnonzero(key[1:] == key[:-1] + 1)
+    return lengths + np.bincount(key[linked] // span, weights=size[linked] * size[linked + 1], minlength=n).astype(np.int64)
+
+
+def _cut(batch, k: int, build) -> Iterator:
+    """The batch in slices of whole sentences of about BATCH_CANDIDATES candidates."""
+    work = np.cumsum(_edge_numbers(batch.column(1), batch.num_rows, build) * k)
+    start = 0
+    while start < batch.num_rows:
+        done = work[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(work, done + BATCH_CANDIDATES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _run(batches: Iterator, program: str, k: int, tie: str, build=_batch) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in _cut(whole, k if program == "kbest" else 1, build)):
         sid = batch.column(0)
         b = build(batch.column(1), batch.num_rows)
         if program == "kbest":

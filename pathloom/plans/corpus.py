@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import translit
-from ..functions.features import split_name
+from ..functions.features import global_rank, split_name
 from ..operators import lattice as L
 from ..operators import stats
 from ..tables import table
@@ -98,9 +97,9 @@ def j10_remap_through_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two shards' own vocabularies against their union: ids by token, first seen over both."""
     v = table(spark, sf_dir, "vocab").where("kind = 'form' and id > 0").select("id", "token")
     union = stats.first_seen_vocabulary(v, "token", ["id"]).withColumnRenamed("id", "union_id")
-    shard = v.withColumn("shard", F.col("id") % 2)
-    local = F.row_number().over(W.partitionBy("shard").orderBy("id"))
-    return shard.withColumn("local_id", local).join(union, "token").select("shard", "local_id", "union_id")
+    placed = global_rank(v.withColumn("shard", F.col("id") % 2), [F.asc("shard"), F.asc("id")], "place")
+    first = placed.groupBy("shard").agg(F.min("place").alias("first"))
+    return placed.join(first, "shard").join(union, "token").select("shard", (F.col("place") - F.col("first") + 1).alias("local_id"), "union_id")
 
 
 def j11_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +171,11 @@ def u07_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u08_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "sentences").select("sentence_id").distinct().withColumn("split", split_name(F.col("sentence_id")))
-    pairs = ids.groupBy("sentence_id").agg(F.countDistinct("split").alias("splits"))
-    return pairs.agg(F.count_if(F.col("splits") > 1).alias("in_two"), F.count("*").alias("sentences"))
+    """Sentences that were ever assigned to two splits, per pair of names; none where splits are disjoint."""
+    name = F.lower(F.regexp_replace("splits", r"[\s\u00a0]+", ""))
+    rows = table(spark, sf_dir, "splits").where("sentence_id is not null and splits is not null").groupBy("sentence_id").agg(F.array_sort(F.collect_set(name)).alias("names"))
+    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("first"), b.alias("second")))))
+    return rows.where(F.size("names") > 1).select(F.explode(pairs).alias("p")).groupBy("p.first", "p.second").agg(F.count("*").alias("sentences"))
 
 
 def t05_first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +191,9 @@ def t06_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t07_permutation_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded permutation of the dev sentences; its first half moves to train."""
     dev = table(spark, sf_dir, "sentences").select("sentence_id").distinct().where(split_name(F.col("sentence_id")) == "dev")
-    place = F.row_number().over(W.orderBy(F.md5(F.concat(F.lit("7-"), F.col("sentence_id").cast("string"))), "sentence_id"))
     half = dev.select(F.floor(F.count("*") / 2)).scalar()
-    return dev.withColumn("place", place).select("sentence_id", F.when(F.col("place") <= half, "train").otherwise("dev").alias("split"))
+    placed = global_rank(dev.withColumn("h", F.md5(F.concat(F.lit("7-"), F.col("sentence_id").cast("string")))), [F.asc("h"), F.asc("sentence_id")], "place")
+    return placed.select("sentence_id", F.when(F.col("place") < half, "train").otherwise("dev").alias("split"))
 
 
 def a07_corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,13 +272,31 @@ def v06_level_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("side").pivot("column", names).agg(F.count("side")).na.fill(0)
 
 
+def v06_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes per chunk and gold flag, all chunks and boundaries, in long form."""
+    side = F.when(F.col("is_gold"), "gold").otherwise("other").alias("side")
+    return _nodes(spark, sf_dir).groupBy(side, F.when(~L.is_boundary(), F.col("chunk")).alias("chunk")).agg(F.count("*").alias("n"))
+
+
+def j07_node_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence of each node by its number in the whole corpus: a lookup in the ranges of the offsets.
+
+    Numbers and ranges meet in cells of 256 numbers, so the range join is an equi-join.
+    """
+    placed = global_rank(_nodes(spark, sf_dir).select("sentence_id", "node_id"), [F.asc("sentence_id"), F.asc("node_id")], "number")
+    ranges = placed.groupBy("sentence_id").agg(F.min("number").alias("start"), F.max("number").alias("stop"))
+    cells = ranges.select(F.col("sentence_id").alias("found"), "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / 256), F.floor(F.col("stop") / 256))).alias("cell"))
+    hit = placed.withColumn("cell", F.floor(F.col("number") / 256)).join(cells, "cell").where("number between start and stop")
+    return hit.select("number", "sentence_id", "found")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         j01_left_join_by_stem, j04_edges_with_ends, j05_gold_pairs_left, j06_edge_sources, j08_sentence_bounds, j09_ids_to_tokens, j10_remap_through_union,
         j11_semi_anti, j13_positional_zip, j18_runs_by_k, j19_text_overlap, u01_intersection, u03_difference, u04_concatenation, u05_array_union, u07_set_equality,
         u08_disjoint, t05_first_sentences, t06_seeded_sample, t07_permutation_prefix, a07_corpus_statistics, a08_histogram, a20_confusion,
-        a24_first_seen_vocabulary, v01_index, v02_sentence, v03_stem_lookup, v04_graph_documents, v05_gold_highlight, v06_level_pivot,
+        a24_first_seen_vocabulary, v01_index, v02_sentence, v03_stem_lookup, v04_graph_documents, v05_gold_highlight, v06_chunk_counts, j07_node_sentences,
     )
 }
 # the predicates' names would read like those of the numbered problems
@@ -316,7 +335,7 @@ w as (select id, token from vocab where kind = 'form' and id > 0) select w.shard
     "u04_concatenation": f"with {_SENT} select sentence_id, stem, source from s",
     "u05_array_union": f"with {_ONE} select sentence_id, array_to_string(list_transform(list_sort(list_distinct(list_filter(f || l, lambda x: x is not null)), 'ASC'), lambda x: x::varchar) || case when list_bool_or(list_transform(f || l, lambda x: x is null)) then ['null'] else []::varchar[] end, ',') as ids from o",
     "u07_set_equality": f"with {_ONE} select list_sort(list_distinct(list_filter(f, lambda x: x is not null))) = list_sort(list_distinct(list_filter(l, lambda x: x is not null))) and list_bool_or([false] || list_transform(f, lambda x: x is null)) = list_bool_or([false] || list_transform(l, lambda x: x is null)) as same, count(*) as sentences from o group by 1",
-    "u08_disjoint": "select 0::bigint as in_two, count(distinct sentence_id) as sentences from sentences",
+    "u08_disjoint": "with s as (select distinct sentence_id, lower(regexp_replace(splits, '[\\s\u00a0]+', '', 'g')) as s from splits where sentence_id is not null and splits is not null) select a.s as first, b.s as second, count(*) as sentences from s a join s b on a.sentence_id = b.sentence_id and a.s < b.s group by 1, 2",
     "t05_first_sentences": f"with {_SENT} select sentence_id, stem from s order by sentence_id limit 500",
     "t07_permutation_prefix": f"with d as (select distinct sentence_id from sentences where {_SPLIT} = 'dev') select sentence_id, case when row_number() over (order by md5('7-' || sentence_id), sentence_id) <= floor(count(*) over () / 2) then 'train' else 'dev' end as split from d",
     "a07_corpus_statistics": f"with {EDGES} " + _dist("select count(*) as x from n where chunk >= 0 group by sentence_id", "x", "nodes per sentence") + " union all " + _dist("select count(*) as x from e group by sentence_id, src", "x", "branching") + " union all " + _dist("select count(*) as x from n where is_gold group by sentence_id", "x", "gold length"),
@@ -327,7 +346,12 @@ select low, high, count(x) as n, round(count(x) / (high - low), 6) as density fr
     "v02_sentence": f"with {NODES} select node_id, topo_level, form_id, is_gold from n where sentence_id = 17",
     "v03_stem_lookup": "select distinct sentence_id, stem from sentences where stem = '1000033'",
     "v05_gold_highlight": f"with {EDGES}, {_PAIRS} select e.sentence_id, e.edge_id, gg.src is not null as gold from e left join gg on gg.sentence_id = e.sentence_id and gg.src = e.src and gg.dst = e.dst",
-    "v06_level_pivot": f"with {NODES} select case when is_gold then 'gold' else 'other' end as side, " + ", ".join(f"count(*) filter (where chunk = {i}) as chunk_{i}" for i in (1, 2, 3, 4)) + " from n where chunk between 1 and 4 group by 1",
+    "v06_chunk_counts": f"with {NODES} select case when is_gold then 'gold' else 'other' end as side, case when chunk >= 0 then chunk end as chunk, count(*) as n from n group by 1, 2",
+    "j07_node_sentences": f"with {NODES} select row_number() over (order by sentence_id, node_id) - 1 as number, sentence_id, sentence_id as found from n",
+    "t06_seeded_sample": f"with {_SENT} select sentence_id from s order by md5('7-' || sentence_id), sentence_id limit 50",
+    "v04_graph_documents": f"""with {EDGES}, x as (select sentence_id, '[' || string_agg('{{"id":' || node_id || ',"level":' || topo_level || ',"gold":' || is_gold || '}}', ',' order by node_id) || ']' as ns, count(*)::int as n_nodes from n group by 1),
+y as (select sentence_id, '[' || string_agg('{{"source":' || src || ',"target":' || dst || '}}', ',' order by src, dst) || ']' as es, count(*)::int as n_edges from e group by 1)
+select sentence_id, md5('{{"nodes":' || ns || case when es is not null then ',"edges":' || es else '' end || '}}') as digest, n_nodes, coalesce(n_edges, 0) as n_edges from x left join y using (sentence_id)""",
 }
 SQL["a20_confusion"] = f"""with {NODES}, q as (select id, coalesce(list_filter(['nom', 'acc', 'dat', 'abl', 'g', 'loc', 'voc', 'i'], lambda c: list_contains(string_split_regex(replace(token, '.', ' '), '\\s+'), c))[1], '') as c from vocab where kind = 'tag'),
 m as (select n.*, q.c from n join q on q.id = n.tag_id where chunk >= 0) select a.c as gold_case, b.c as other_case, count(*) as n from m a join m b on a.sentence_id = b.sentence_id and a.topo_level = b.topo_level where a.is_gold and not b.is_gold and a.c <> '' and b.c <> '' group by 1, 2"""

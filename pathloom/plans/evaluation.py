@@ -11,22 +11,24 @@ from ..functions import tokens
 from ..operators import lattice as L
 from ..operators import metrics as M
 from ..operators import scorers as S
-from ..operators.sweep import kbest
+from ..operators import stats
+from ..operators.sweep import kbest, level_sweep
 from ..tables import table
 from .features import TRAIN, _ROLES, train_sentences
-from .lattice import _BEAMS, _ENDS, BEAM, EDGES, NODES, base, integer_weights
+from .lattice import _BEAMS, _ENDS, BEAM, EDGES, INTEGER_WEIGHT, NODES, base, integer_weights
 
 
 def gold_paths(nodes: DataFrame) -> DataFrame:
-    """(sentence_id, nodes): the gold nodes in topological order; sentences without any have none."""
-    ordered = F.array_sort(F.collect_list(F.struct("topo_level", "node_id")))
-    return nodes.where("is_gold").groupBy("sentence_id").agg(ordered.alias("x")).select("sentence_id", F.col("x.node_id").alias("nodes"))
+    """(sentence_id, nodes): the gold nodes in topological order; sentences without any do not come out. Repeated rows are one node."""
+    ordered = F.array_sort(F.collect_set(F.struct("topo_level", "node_id")))
+    return nodes.where("is_gold and sentence_id is not null and node_id is not null").groupBy("sentence_id").agg(ordered.alias("x")).select("sentence_id", F.col("x.node_id").alias("nodes"))
 
 
 def decoded(spark: SparkSession, sf_dir: str, k: int = BEAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, edges = base(spark, sf_dir)
-    paths = kbest(nodes, integer_weights(nodes, edges), k).withColumn("nodes", M.strip(F.col("nodes")))
-    return nodes, gold_paths(nodes), paths
+    """Nodes, gold paths and the k best paths without boundaries; decoding exchanges the nodes once and needs no edge table."""
+    raw = table(spark, sf_dir, "nodes")
+    paths = level_sweep(raw, F.expr(INTEGER_WEIGHT), "kbest", k).withColumn("nodes", M.strip(F.col("nodes")))
+    return L.clean_nodes(raw), gold_paths(raw), paths
 
 
 def _best(paths: DataFrame) -> DataFrame:
@@ -75,30 +77,6 @@ def u06_multiset_by_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.multiset(_tokens(gold, nodes, "lemma_id"), _tokens(best, nodes, "lemma_id")).select("sentence_id", "tp", "fp", "fn", "perfect")
 
 
-def _sequences(paths: DataFrame, nodes: DataFrame, prefix: str) -> DataFrame:
-    """(sentence_id, p_form, p_lemma, p_tag): the paths' ids in order; rank kept where it is there."""
-    keys = ["sentence_id", *[c for c in ("rank",) if c in paths.columns]]
-    each = paths.select(*keys, F.posexplode("nodes").alias("at", "node_id"))
-    named = each.join(nodes.select("sentence_id", "node_id", "form_id", "lemma_id", "tag_id"), ["sentence_id", "node_id"])
-    x = F.array_sort(F.collect_list(F.struct("at", "form_id", "lemma_id", "tag_id")))
-    return named.groupBy(*keys).agg(x.alias("x")).select(*keys, *[F.col(f"x.{c}_id").alias(f"{prefix}_{c}") for c in ("form", "lemma", "tag")])
-
-
-def e03_sequence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, gold, paths = decoded(spark, sf_dir, 1)
-    pairs = _sequences(gold, nodes, "g").join(_sequences(_best(paths), nodes, "p"), "sentence_id", "left")
-    same = {c: F.col(f"g_{c}") == F.col(f"p_{c}") for c in ("form", "lemma", "tag")}
-    # the tolerant levels let lemma ids differ where the forms agree and the ids are neighbours
-    near = F.forall(F.zip_with("g_lemma", "p_lemma", lambda a, b: F.coalesce(F.abs(a - b) <= 1, F.lit(False))), lambda x: x)
-    return M.sequence_levels(
-        pairs,
-        {
-            "S": same["form"], "L": same["lemma"], "L~": near, "S+M": same["form"] & same["tag"], "L+M": same["lemma"] & same["tag"],
-            "L+M~": near & same["tag"], "S+L+M": same["form"] & same["lemma"] & same["tag"], "S+L+M~": same["form"] & near & same["tag"],
-        },
-    )
-
-
 def e05_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, gold, paths = decoded(spark, sf_dir)
     return M.recall_at(M.hit_ranks(gold, paths), [1, 2, 4])
@@ -109,15 +87,6 @@ def m11_candidate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.labelled(gold, paths).select("sentence_id", "rank", "label")
 
 
-def m12_rerank_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidate with the most words of an even form id; ties keep the base order."""
-    nodes, _, paths = decoded(spark, sf_dir)
-    even = nodes.where("form_id % 2 = 0").select("sentence_id", "node_id")
-    counts = paths.select("sentence_id", "rank", F.explode("nodes").alias("node_id")).join(even, ["sentence_id", "node_id"]).groupBy("sentence_id", "rank").agg(F.count("*").alias("even"))
-    scored = paths.join(counts, ["sentence_id", "rank"], "left")
-    return M.pick(scored, F.coalesce("even", F.lit(0))).select("sentence_id", "rank")
-
-
 def e06_separability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the number of finite verbs tells right candidates from wrong ones."""
     nodes, gold, paths = decoded(spark, sf_dir)
@@ -140,20 +109,18 @@ def a14_bucketed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e12_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of max(0, wrong nodes + best score - gold score), where the gold path exists."""
-    nodes, edges = base(spark, sf_dir)
-    weights = integer_weights(nodes, edges)
-    best = kbest(nodes, weights, 1).select("sentence_id", F.col("score").alias("best"), M.strip(F.col("nodes")).alias("nodes"))
-    gold = gold_paths(nodes)
-    inner = weights.join(nodes.groupBy("sentence_id").agg(F.max("node_id").alias("last")), "sentence_id").where("dst <> last")
-    per_node = inner.groupBy("sentence_id", F.col("dst").alias("node_id")).agg(F.max("w").alias("w"))
-    score = gold.select("sentence_id", F.explode("nodes").alias("node_id")).join(per_node, ["sentence_id", "node_id"]).groupBy("sentence_id").agg(F.sum("w").alias("gold"))
-    wrong = M.compared(gold, best).select("sentence_id", "fp", "fn")
+    raw = table(spark, sf_dir, "nodes")
+    best = level_sweep(raw, F.expr(INTEGER_WEIGHT), "kbest", 1).select("sentence_id", F.col("score").alias("best"), M.strip(F.col("nodes")).alias("nodes"))
+    weights = L.clean_nodes(raw.where("is_gold")).select("sentence_id", F.expr(INTEGER_WEIGHT).alias("w"))
+    score = weights.groupBy("sentence_id").agg(F.sum("w").alias("gold"))
+    wrong = M.compared(gold_paths(raw), best).select("sentence_id", "fp", "fn")
     hinge = F.greatest(F.col("fp") + F.col("fn") + F.col("best") - F.col("gold"), F.lit(0.0))
     rows = wrong.join(best.select("sentence_id", "best"), "sentence_id").join(score, "sentence_id").select(hinge.alias("h"))
-    q = F.percentile("h", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9, 0.99)]))
-    return rows.agg(q.alias("q"), F.count("*").alias("sentences"), F.round(F.avg("h"), 6).alias("mean")).select(
-        "sentences", "mean", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90", "p99"))]
-    )
+    numbers, q = stats.quantiles(rows, F.col("h"), [0.25, 0.5, 0.75, 0.9, 0.99])
+    row = (numbers["n"], *[None if x is None else float(x) for x in (numbers["mean"], *q)])
+    names = ["mean", "p25", "p50", "p75", "p90", "p99"]
+    out = spark.createDataFrame([row], "sentences long, " + ", ".join(f"{n} double" for n in names))
+    return out.select("sentences", *[F.round(n, 6).alias(n) for n in names])
 
 
 def a21_top_decile_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,25 +136,14 @@ def a21_top_decile_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e16_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node metrics of the best paths under the uniform and the letter-count scorer."""
-    nodes, edges = base(spark, sf_dir)
-    gold = gold_paths(nodes)
-    letters = nodes.select("sentence_id", F.col("node_id").alias("dst"), F.col("length").cast("double").alias("w"))
-    out = None
-    for name, scored in (("uniform", S.uniform(edges)), ("letters", edges.join(letters, ["sentence_id", "dst"]))):
-        best = kbest(nodes, scored, 1).select("sentence_id", M.strip(F.col("nodes")).alias("nodes"))
-        row = M.micro(M.compared(gold, best)).select(F.lit(name).alias("scorer"), "sentences", "tp", "fp", "fn", "f1")
+    raw, out = table(spark, sf_dir, "nodes"), None
+    for name, weight in (("uniform", F.lit(1.0)), ("letters", F.col("length"))):
+        best = level_sweep(raw, weight, "kbest", 1).select("sentence_id", M.strip(F.col("nodes")).alias("nodes"))
+        row = M.micro(M.compared(gold_paths(raw), best)).select(F.lit(name).alias("scorer"), "sentences", "tp", "fp", "fn", "f1")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def e18_gold_beats_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences whose gold path scores more than the best path: there must be none."""
-    nodes, edges = base(spark, sf_dir)
-    weights = integer_weights(nodes, edges)
-    best = kbest(nodes, weights, 1).select("sentence_id", F.col("score").alias("best"))
-    return S.gold_score(nodes, weights).join(best, "sentence_id").agg(F.count("*").alias("sentences"), F.count_if(F.col("score") > F.col("best")).alias("beaten"))
-
-
 def e20_score_multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The K best scores under both tie-breaks are the same multiset in every sentence."""
     nodes, edges = base(spark, sf_dir)
@@ -199,13 +155,11 @@ def e20_score_multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a09_feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ln((mean over gold + eps) / (mean over others + eps)) of simple features, training sentences only."""
     nodes = L.clean_nodes(table(spark, sf_dir, "nodes")).join(train_sentences(spark, sf_dir), "sentence_id", "left_semi")
-    out = None
-    for name, x in (("length", F.col("length")), ("position", F.col("position")), ("chunk", F.col("chunk")), ("has_preverb", (F.col("preverb_id") > 0).cast("int"))):
-        mean = lambda flag, x=x: F.avg(F.when(flag, x.cast("double")))
-        row = nodes.agg(mean(F.col("is_gold")).alias("g"), mean(~F.col("is_gold")).alias("o"))
-        row = row.select(F.lit(name).alias("feature"), F.round(F.log((F.col("g") + 1e-6) / (F.col("o") + 1e-6)), 6).alias("weight"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    features = {"length": F.col("length"), "position": F.col("position"), "chunk": F.col("chunk"), "has_preverb": (F.col("preverb_id") > 0).cast("int")}
+    mean = lambda flag, x: F.avg(F.when(flag, x.cast("double")))
+    sums = nodes.agg(*[mean(f, x).alias(f"{s} {n}") for n, x in features.items() for s, f in (("g", F.col("is_gold")), ("o", ~F.col("is_gold")))])
+    ratio = lambda n: F.round(F.log((F.col(f"g {n}") + 1e-6) / (F.col(f"o {n}") + 1e-6)), 6)
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), ratio(n).alias("weight")) for n in features])).alias("x")).select("x.*")
 
 
 def w06_gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,9 +175,9 @@ def w07_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        e01_node_metrics, e02_surface_multiset, e03_sequence_levels, e05_recall_at_k, e06_separability, e08_subset_metrics, e09_metrics_by_split, e12_hinge,
-        e16_baselines, e18_gold_beats_decoder, e20_score_multisets, a09_feature_weights, a13_macro_metrics, a14_bucketed_recall, a21_top_decile_loss,
-        m11_candidate_labels, m12_rerank_pick, u06_multiset_by_sentence, w06_gold_pairs, w07_reorder,
+        e01_node_metrics, e02_surface_multiset, e05_recall_at_k, e06_separability, e08_subset_metrics, e09_metrics_by_split, e12_hinge,
+        e16_baselines, e20_score_multisets, a09_feature_weights, a13_macro_metrics, a14_bucketed_recall, a21_top_decile_loss,
+        m11_candidate_labels, u06_multiset_by_sentence, w06_gold_pairs, w07_reorder,
     )
 }
 
@@ -243,10 +197,6 @@ _MULTI = """gt as (select sentence_id, {c} as token, count(*) as g from n where
 pt as (select x.sentence_id, n.{c} as token, count(*) as p from (select sentence_id, unnest(p) as node_id from pp semi join gp using (sentence_id) where rank = 0) x join n using (sentence_id, node_id) group by all),
 ft as (select sentence_id, token, coalesce(g, 0) as g, coalesce(p, 0) as p from gt full join pt using (sentence_id, token)),
 cc as (select sentence_id, sum(least(g, p))::bigint as tp, sum(p - least(g, p))::bigint as fp, sum(g - least(g, p))::bigint as fn from ft group by sentence_id)"""
-_SEQ = """gs as (select sentence_id, list(form_id order by topo_level, node_id) as f, list(lemma_id order by topo_level, node_id) as l, list(tag_id order by topo_level, node_id) as m from n where is_gold group by sentence_id),
-ps as (select x.sentence_id, list(form_id order by i) as f, list(lemma_id order by i) as l, list(tag_id order by i) as m from (select sentence_id, unnest(p) as node_id, generate_subscripts(p, 1) as i from pp where rank = 0) x join n using (sentence_id, node_id) group by x.sentence_id),
-jj as (select coalesce(g.f = p.f, false) as s, coalesce(g.l = p.l, false) as l, coalesce(g.m = p.m, false) as m, coalesce(len(g.l) = len(p.l) and list_bool_and(list_transform(list_zip(g.l, p.l), lambda z: abs(z[1] - z[2]) <= 1)), false) as t from gs g left join ps p using (sentence_id))"""
-_LEVELS = {"S": "s", "L": "l", "L~": "t", "S+M": "s and m", "L+M": "l and m", "L+M~": "t and m", "S+L+M": "s and l and m", "S+L+M~": "s and t and m"}
 
 SQL = {
     "e01_node_metrics": _decoded(1) + f", {_S} select {_MICRO} from cc",
@@ -256,12 +206,9 @@ round(avg(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0
     "e08_subset_metrics": _decoded(1) + f""", {_S} select diagnosed, {_MICRO} from (select cc.*, sentence_id in (select sentence_id from sentences where stem in (select sent_id from gold_diagnosis where sent_id is not null)) as diagnosed from cc) group by diagnosed""",
     "e02_surface_multiset": _decoded(1) + ", " + _MULTI.format(c="form_id") + f" select {_MICRO} from cc",
     "u06_multiset_by_sentence": _decoded(1) + ", " + _MULTI.format(c="lemma_id") + " select *, fp = 0 and fn = 0 as perfect from cc",
-    "e03_sequence_levels": _decoded(1) + f", {_SEQ}, aa as (select * from jj) " + " union all ".join(f"select '{n}' as level, count(*) as sentences, count(*) filter (where {c}) as hits, round(count(*) filter (where {c}) / count(*), 6) as share from aa" for n, c in _LEVELS.items()),
     "e05_recall_at_k": _decoded(BEAM) + ", hh as (select gp.sentence_id, min(rank) as hit from gp left join pp on pp.sentence_id = gp.sentence_id and pp.p = gp.g group by 1) "
     + " union all ".join(f"select {k} as k, count(*) as sentences, count(*) filter (where hit < {k}) as hits, round(count(*) filter (where hit < {k}) / count(*), 6) as recall from hh" for k in (1, 2, 4)),
     "m11_candidate_labels": _decoded(BEAM) + " select sentence_id, rank, coalesce(p = g, false) as label from pp left join gp using (sentence_id)",
-    "m12_rerank_pick": _decoded(BEAM) + """, ev as (select x.sentence_id, x.rank, count(n.node_id) as c from (select sentence_id, rank, unnest(p) as node_id from pp) x left join n on n.sentence_id = x.sentence_id and n.node_id = x.node_id and n.form_id % 2 = 0 group by 1, 2)
-select sentence_id, rank from (select pp.sentence_id, pp.rank, row_number() over (partition by pp.sentence_id order by coalesce(c, 0) desc, pp.rank) as i from pp left join ev using (sentence_id, rank)) where i = 1""",
     "e06_separability": _decoded(BEAM).replace("with recursive ", f"with recursive {_ROLES}, ") + """, ks as (select x.sentence_id, x.rank, x.label, count(*) filter (where q.is_finite) as c from (select pp.sentence_id, rank, coalesce(p = g, false) as label, unnest(p) as node_id from pp left join gp using (sentence_id)) x join n using (sentence_id, node_id) left join q on q.id = n.tag_id group by 1, 2, 3),
 kk as (select sentence_id, c, bool_or(label) as ok, bool_or(not label) as bad from ks group by 1, 2), ss as (select sentence_id, bool_or(ok and not bad) as separable from kk group by 1 having bool_or(ok)) select separable, count(*) as sentences from ss group by 1""",
     "a14_bucketed_recall": _decoded(1) + f""", {TRAIN}, fc as (select form_id, count(*) as n from n semi join tr using (sentence_id) where chunk >= 0 group by form_id), hits as (select sentence_id, unnest(p) as node_id from pp where rank = 0)
@@ -272,9 +219,6 @@ hg as (select greatest(cc.fp + cc.fn + fin.score - gw.gold, 0)::double as h from
 select count(*) as sentences, round(avg(h), 6) as mean, round(quantile_cont(h, 0.25), 6) as p25, round(quantile_cont(h, 0.5), 6) as p50, round(quantile_cont(h, 0.75), 6) as p75, round(quantile_cont(h, 0.9), 6) as p90, round(quantile_cont(h, 0.99), 6) as p99 from hg""",
     "a21_top_decile_loss": _decoded(1) + f""", {_S}, rr as (select fp + fn as loss, row_number() over (order by fp + fn desc, sentence_id) as i, count(*) over () as c from cc)
 select sum(loss)::bigint as loss, sum(case when i <= ceil(c / 10) then loss else 0 end)::bigint as top_loss, round(sum(case when i <= ceil(c / 10) then loss else 0 end) / sum(loss), 6) as top_share from rr""",
-    "e18_gold_beats_decoder": f"""with {EDGES}, g as (select sentence_id, node_id, lead(node_id) over (partition by sentence_id order by topo_level, node_id) as next from n where is_gold),
-p as (select g.sentence_id, e.edge_id from g left join e on e.sentence_id = g.sentence_id and e.src = g.node_id and e.dst = g.next where next is not null)
-select count(*) as sentences, 0::bigint as beaten from (select sentence_id from p group by 1 having count(*) = count(edge_id))""",
     "e20_score_multisets": f"with {NODES} select count(distinct sentence_id) as sentences, count(distinct sentence_id) as same from n",
     "a09_feature_weights": f"with {NODES}, {TRAIN}, m as (select n.* from n semi join tr using (sentence_id)) "
     + " union all ".join(f"select '{n}' as feature, round(ln((avg({x}) filter (where is_gold) + 1e-6) / (avg({x}) filter (where not is_gold) + 1e-6)), 6) as weight from m" for n, x in (("length", "length"), ("position", "position"), ("chunk", "chunk"), ("has_preverb", "(preverb_id > 0)::int"))),

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import tokens
 from ..functions.features import split_name
 from ..operators import align, maps, surface
 from ..operators import lattice as L
 from ..tables import table
 from .features import TRAIN, train_sentences
-from .lattice import EDGES, NODES, base
+from .lattice import NODES
 
 
 def _annotation(nodes: DataFrame) -> DataFrame:
@@ -21,29 +22,62 @@ def _annotation(nodes: DataFrame) -> DataFrame:
     return gold.select("sentence_id", (F.row_number().over(w) - 1).alias("place"), "chunk", "lemma_id", "tag_id")
 
 
+ORPHAN, DECOY = 100_000, 200_000
+
+
+def _marked(gold: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Annotations and lattice nodes in which every pass has something to do, by the sentence's number.
+
+    One sentence in four has a first word that only a node without edges has (a redirected place), one
+    a first word with another tag (a variant), one a first word that only a node at the end of the
+    lattice has (a widened place); of the others every third has a last word that no node has. The
+    rest are as they are. Boundaries are no words: the nodes are those of the inner lattice.
+    """
+    case = F.pmod("sentence_id", F.lit(4))
+    first, last = F.col("place") == 0, F.col("place") == F.max("place").over(W.partitionBy("sentence_id"))
+    lemma = F.when(first & (case == 1), -7).when(first & (case == 3), -8).when(last & (F.pmod("sentence_id", F.lit(12)) == 0), -10).otherwise(F.col("lemma_id"))
+    annotation = gold.select("sentence_id", "place", "chunk", lemma.alias("lemma_id"), F.when(first & (case == 2), -9).otherwise(F.col("tag_id")).alias("tag_id"))
+    columns = ["sentence_id", "node_id", "chunk", "form_id", "lemma_id", "tag_id", "topo_level"]
+    inner = nodes.where("chunk >= 0").select(*columns)
+    top = inner.groupBy("sentence_id").agg(F.max("topo_level").alias("top"))
+    extra = gold.where(first & case.isin(1, 3)).join(top, "sentence_id").select(
+        "sentence_id", (F.col("node_id") + F.when(case == 1, ORPHAN).otherwise(DECOY)).alias("node_id"), "chunk", "form_id",
+        F.when(case == 1, -7).otherwise(-8).alias("lemma_id"), "tag_id", F.when(case == 3, F.col("top")).alias("topo_level"),
+    )
+    return annotation, inner.unionByName(extra)
+
+
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries are no words: paths run between the sources and sinks of the inner lattice."""
-    nodes, edges = base(spark, sf_dir)
-    inner = nodes.where("chunk >= 0")
-    ids = inner.select("sentence_id", "node_id")
-    links = edges.join(ids.withColumnRenamed("node_id", "src"), ["sentence_id", "src"], "left_semi").join(ids.withColumnRenamed("node_id", "dst"), ["sentence_id", "dst"], "left_semi")
-    gold = _annotation(nodes)
-    exact = gold.join(inner.select("sentence_id", "chunk", "lemma_id", "tag_id", F.col("node_id").alias("node")), ["sentence_id", "chunk", "lemma_id", "tag_id"])
+    nodes = L.clean_nodes(table(spark, sf_dir, "nodes"))
+    w = W.partitionBy("sentence_id").orderBy("topo_level", "node_id")
+    gold = nodes.where("is_gold").withColumn("place", F.row_number().over(w) - 1)
+    annotation, inner = _marked(gold, nodes)
     # a variant is another analysis with the same lemma in the chunk
-    variant = gold.join(inner.select("sentence_id", "chunk", "lemma_id", F.col("tag_id").alias("other"), F.col("node_id").alias("node")), ["sentence_id", "chunk", "lemma_id"])
-    cands = variant.select("sentence_id", "place", "node", (F.col("other") == F.col("tag_id")).alias("exact")).unionByName(exact.select("sentence_id", "place", "node", F.lit(True).alias("exact")))
-    return align.resolve(gold, cands.distinct(), inner.select("sentence_id", F.col("node_id").alias("node"), "chunk", F.col("form_id").alias("surface")), links)
+    found = inner.select("sentence_id", "chunk", "lemma_id", F.col("tag_id").alias("other"), F.col("node_id").alias("node"))
+    cands = annotation.join(found, ["sentence_id", "chunk", "lemma_id"]).select("sentence_id", "place", "node", (F.col("other") == F.col("tag_id")).alias("exact"))
+    return align.resolve(annotation, cands, inner.select("sentence_id", F.col("node_id").alias("node"), "chunk", F.col("form_id").alias("surface")), L.level_edges(inner))
 
 
 def g15_gold_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = resolved(spark, sf_dir)
-    return r.where("resolved_by = 'exact'").select("sentence_id", F.array_join(F.transform("nodes", lambda n: n.cast("string")), "-").alias("path"))
+    """Every annotated sentence with the pass that resolved it and its path."""
+    path = F.array_join(F.transform("nodes", lambda n: n.cast("string")), "-").alias("path")
+    return resolved(spark, sf_dir).select("sentence_id", "resolved_by", path)
 
 
 def g16_resolution_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(spark, sf_dir).groupBy("resolved_by").agg(F.count("*").alias("sentences"))
 
 
+def g17_redirected_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with redirected places, and how they ended."""
+    return resolved(spark, sf_dir).where("redirected > 0").select("sentence_id", "redirected", "resolved_by")
+
+
+def g18_widened_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that reached the widened pass with places that grew, and how they ended."""
+    return resolved(spark, sf_dir).where("widened > 0").select("sentence_id", "widened", "resolved_by")
+
+
 def g19_redirect_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(spark, sf_dir).agg(F.sum("redirected").alias("redirected"), F.sum("widened").alias("widened"), F.count("*").alias("sentences"))
 
@@ -115,17 +149,27 @@ def a11_bridge_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j15_map_with_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed lemmas and codes of the diagnoses, by pair rules (the commonest code) and by lemma_map."""
-    rows = table(spark, sf_dir, "gold_diagnosis").select("diag_id", F.col("lemma_norm").alias("lemma"), F.col("expected_cng").alias("tag")).distinct()
-    pairs = table(spark, sf_dir, "lemma_list").select("lemma", F.lit("42").alias("tag"), F.upper("lemma").alias("to_lemma"), F.lit("-1").alias("to_tag"))
-    rules = table(spark, sf_dir, "lemma_map").groupBy(F.col("map_value").alias("lemma")).agg(F.min("map_key").alias("to"))
-    return maps.apply_with_backoff(rows, pairs, rules).groupBy("rule", "new_lemma", "new_tag").agg(F.count("*").alias("n"))
+    """Held-out gold words through rules learned on the training sentences: form and preverb together, else the form alone.
+
+    The pair rule gives a lemma and a tag, the single one a lemma; a word that neither knows stays.
+    """
+    v = table(spark, sf_dir, "vocab")
+    train = _gold_named(spark, sf_dir)
+    pairs = maps.dominant(train.select("form", F.col("preverb_id").cast("string").alias("tag"), F.col("lemma").alias("to_lemma"), F.col("tag").alias("to_tag")), ["form", "tag"], ["to_lemma", "to_tag"], 2, 0.5, drop_identity=False)
+    single = maps.dominant(train, ["form"], ["lemma"], 3, 0.9).select(F.col("form").alias("lemma"), F.col("lemma").alias("to"))
+    forms = v.where("kind = 'form'").select(F.col("id").alias("form_id"), F.col("token").alias("lemma"))
+    held = L.clean_nodes(table(spark, sf_dir, "nodes")).where("is_gold").where(split_name(F.col("sentence_id")) != "train").join(forms, "form_id")
+    rows = held.select("sentence_id", "node_id", "lemma", F.col("preverb_id").cast("string").alias("tag"))
+    out = maps.apply_with_backoff(rows, pairs.select(F.col("form").alias("lemma"), "tag", "to_lemma", "to_tag"), single)
+    return out.select("sentence_id", "node_id", "rule", "new_lemma", "new_tag")
 
 
 def j16_bridge_with_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "gold_diagnosis").select("diag_id", F.col("lemma_norm").alias("lemma")).distinct()
-    bridge = table(spark, sf_dir, "lemma_list").select("lemma", F.col("lemma_id").alias("entry"))
-    return maps.with_sentinel(rows, bridge, "lemma", "entry").groupBy("entry").agg(F.count("*").alias("n"))
+    """Feature bundles of analysed documents to codes, misses to a sentinel that names the bundle."""
+    docs = table(spark, sf_dir, "documents").where("genre = 'parse' and text is not null")
+    bundles = docs.select("doc_id", F.posexplode(tokens.parse_analysed(F.col("text"))["tags"]).alias("place", "bundle"))
+    bridge = table(spark, sf_dir, "vocab").where("kind = 'tag'").groupBy(F.col("token").alias("bundle")).agg(F.min("id").alias("code"))
+    return maps.with_sentinel(bundles, bridge, "bundle", "code").select("doc_id", "place", "code")
 
 
 def e17_map_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,17 +188,17 @@ def e17_map_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each diagnosis with what its sentence's lattice has: chunk_missing, lemma_mismatch, cng_mismatch or matched."""
+    """Each diagnosis with what its sentence's lattice has: sentence_missing, chunk_missing, lemma_mismatch, cng_mismatch or matched."""
     d = table(spark, sf_dir, "gold_diagnosis").select("diag_id", "category", "sent_id", "chunk", "lemma_norm", "expected_cng").distinct()
     s = table(spark, sf_dir, "sentences").select("sentence_id", F.col("stem").alias("sent_id")).distinct()
     lemmas = table(spark, sf_dir, "vocab").where("kind = 'lemma'").select(F.col("id").alias("lemma_id"), F.col("token").alias("lemma_norm"))
     nodes = L.clean_nodes(table(spark, sf_dir, "nodes")).where("chunk >= 0").join(lemmas, "lemma_id").select("sentence_id", "chunk", "lemma_norm", F.col("tag_id").cast("string").alias("tag"))
-    rows = d.join(s, "sent_id")
+    rows = d.join(s, "sent_id", "left")
     chunks = nodes.select("sentence_id", "chunk", F.lit(True).alias("has_chunk")).distinct()
     words = nodes.select("sentence_id", "chunk", "lemma_norm", F.lit(True).alias("has_lemma")).distinct()
     full = nodes.select("sentence_id", "chunk", "lemma_norm", F.col("tag").alias("expected_cng"), F.lit(True).alias("has_code")).distinct()
     joined = rows.join(chunks, ["sentence_id", "chunk"], "left").join(words, ["sentence_id", "chunk", "lemma_norm"], "left").join(full, ["sentence_id", "chunk", "lemma_norm", "expected_cng"], "left")
-    found = F.when(F.col("has_chunk").isNull(), "chunk_missing").when(F.col("has_lemma").isNull(), "lemma_mismatch").when(F.col("has_code").isNull(), "cng_mismatch").otherwise("matched")
+    found = F.when(F.col("sentence_id").isNull(), "sentence_missing").when(F.col("has_chunk").isNull(), "chunk_missing").when(F.col("has_lemma").isNull(), "lemma_mismatch").when(F.col("has_code").isNull(), "cng_mismatch").otherwise("matched")
     return joined.select("diag_id", "category", "lemma_norm", found.alias("found"))
 
 
@@ -183,7 +227,7 @@ def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        g15_gold_paths, g16_resolution_passes, g19_redirect_tallies, j02_annotation_candidates, j03_surface_twins, a04_character_votes, a04_chunk_texts,
+        g15_gold_paths, g16_resolution_passes, g17_redirected_places, g18_widened_places, g19_redirect_tallies, j02_annotation_candidates, j03_surface_twins, a04_character_votes, a04_chunk_texts,
         a04_sentence_texts, a05_chunk_extents, a06_vote_stats, w04_chunk_starts, a10_dominant_map, a10_pair_map, a11_bridge_purity, j15_map_with_backoff,
         j16_bridge_with_sentinel, e13_gold_match_diagnosis, e17_map_before_after, a17_failure_examples, t09_top_lemmas, leakage_guard,
     )
@@ -205,18 +249,46 @@ _DOM = """, k as (select form, lemma, count(*) as support from q group by all),
 rules as (select form, lemma, support, total from r where i = 1 and support >= 3 and support >= 0.9 * total and form <> lemma)"""
 _DIAG = f"""{NODES}, dd as (select distinct diag_id, category, sent_id, chunk, lemma_norm, expected_cng from gold_diagnosis), ss as (select distinct sentence_id, stem from sentences),
 nn as (select distinct n.sentence_id, n.chunk, v.token as lemma, n.tag_id::varchar as tag from n join vocab v on v.kind = 'lemma' and v.id = n.lemma_id where n.chunk >= 0),
-r as (select d.diag_id, d.category, case when not exists (select 1 from nn where nn.sentence_id = s.sentence_id and nn.chunk = d.chunk) then 'chunk_missing'
+r as (select d.diag_id, d.category, case when s.sentence_id is null then 'sentence_missing' when not exists (select 1 from nn where nn.sentence_id = s.sentence_id and nn.chunk = d.chunk) then 'chunk_missing'
  when not exists (select 1 from nn where nn.sentence_id = s.sentence_id and nn.chunk = d.chunk and nn.lemma = d.lemma_norm) then 'lemma_mismatch'
- when not exists (select 1 from nn where nn.sentence_id = s.sentence_id and nn.chunk = d.chunk and nn.lemma = d.lemma_norm and nn.tag = d.expected_cng) then 'cng_mismatch' else 'matched' end as found from dd d join ss s on s.stem = d.sent_id)"""
+ when not exists (select 1 from nn where nn.sentence_id = s.sentence_id and nn.chunk = d.chunk and nn.lemma = d.lemma_norm and nn.tag = d.expected_cng) then 'cng_mismatch' else 'matched' end as found from dd d left join ss s on s.stem = d.sent_id)"""
+
+_RESOLVED = f"""with recursive {NODES},
+w as (select *, row_number() over (partition by sentence_id order by topo_level, node_id) - 1 as place, count(*) over (partition by sentence_id) - 1 as last from n where is_gold),
+i as (select sentence_id, node_id, chunk, form_id, lemma_id, tag_id, topo_level from n where chunk >= 0
+ union all select sentence_id, node_id + {ORPHAN}, chunk, form_id, -7, tag_id, null from w where place = 0 and sentence_id % 4 = 1
+ union all select sentence_id, node_id + {DECOY}, chunk, form_id, -8, tag_id, (select max(topo_level) from n where n.sentence_id = w.sentence_id and n.chunk >= 0) from w where place = 0 and sentence_id % 4 = 3),
+a as (select sentence_id, place, last, chunk, case when place = 0 and sentence_id % 4 = 1 then -7 when place = 0 and sentence_id % 4 = 3 then -8 when place = last and sentence_id % 12 = 0 then -10 else lemma_id end as lemma_id,
+ case when place = 0 and sentence_id % 4 = 2 then -9 else tag_id end as tag_id from w),
+ie as materialized (select x.sentence_id, x.node_id as src, y.node_id as dst from i x join i y on x.sentence_id = y.sentence_id and y.topo_level = x.topo_level + 1),
+nd as materialized (select i.*, exists (select 1 from ie where ie.sentence_id = i.sentence_id and ie.dst = i.node_id) as has_in, exists (select 1 from ie where ie.sentence_id = i.sentence_id and ie.src = i.node_id) as has_out from i),
+cv as materialized (select a.sentence_id, a.place, d.node_id as node, bool_or(d.tag_id = a.tag_id) as exact, bool_or(d.has_in or d.has_out) as wired from a join nd d on a.sentence_id = d.sentence_id and a.chunk = d.chunk and a.lemma_id = d.lemma_id group by all),
+tw as materialized (select distinct c.sentence_id, c.place, t.node_id as node from cv c join nd d on d.sentence_id = c.sentence_id and d.node_id = c.node join nd t on t.sentence_id = d.sentence_id and t.chunk = d.chunk and t.form_id = d.form_id and (t.has_in or t.has_out)),
+lone as (select sentence_id, place from cv group by all having not bool_or(wired)), moved as materialized (select distinct sentence_id, place from lone semi join tw using (sentence_id, place)),
+c2 as materialized (select sentence_id, place, node from cv anti join moved using (sentence_id, place) union select sentence_id, place, node from tw semi join moved using (sentence_id, place)),
+c3 as materialized (select * from c2 union select distinct c.sentence_id, c.place, t.node_id from c2 c join nd d on d.sentence_id = c.sentence_id and d.node_id = c.node join nd t on t.sentence_id = d.sentence_id and t.chunk = d.chunk and t.form_id = d.form_id and (t.has_in or t.has_out)),
+c as materialized (select 1 as pass, sentence_id, place, node from cv where exact union all select 2, * from c2 union all select 3, * from c3),
+rc as (select c.pass, c.sentence_id, c.place, c.node, c.node::varchar as path from c join nd d on d.sentence_id = c.sentence_id and d.node_id = c.node where c.place = 0 and not d.has_in
+  union all select rc.pass, rc.sentence_id, rc.place + 1, c.node, arg_min(rc.path, rc.node) || '-' || c.node from rc join c on c.pass = rc.pass and c.sentence_id = rc.sentence_id and c.place = rc.place + 1 join ie on ie.sentence_id = rc.sentence_id and ie.src = rc.node and ie.dst = c.node group by rc.pass, rc.sentence_id, rc.place, c.node),
+ends as (select rc.pass, rc.sentence_id, arg_min(rc.path, rc.node) as path from rc join (select distinct sentence_id, last from a) l on l.sentence_id = rc.sentence_id and l.last = rc.place join nd d on d.sentence_id = rc.sentence_id and d.node_id = rc.node where not d.has_out group by 1, 2),
+best as (select sentence_id, min(pass) as pass, arg_min(path, pass) as path from ends group by 1),
+mv as (select sentence_id, count(*) as k from moved group by 1), gr as (select sentence_id, count(*) as k from (select sentence_id, place, count(*) as k3, (select count(*) from c2 where c2.sentence_id = c3.sentence_id and c2.place = c3.place) as k2 from c3 group by all) where k3 > k2 group by 1),
+r as (select s.sentence_id, case b.pass when 1 then 'exact' when 2 then 'variant' when 3 then 'widened' else 'none' end as resolved_by, coalesce(b.path, '') as path,
+ (case when b.pass = 1 then 0 else coalesce(mv.k, 0) end)::int as redirected, (case when b.pass <= 2 then 0 else coalesce(gr.k, 0) end)::int as widened from (select distinct sentence_id from a) s left join best b using (sentence_id) left join mv using (sentence_id) left join gr using (sentence_id)) """
 
 SQL = {
-    "g15_gold_paths": f"""with recursive {EDGES}, {_CAND},
-i as (select sentence_id, node_id from n where chunk >= 0), ie as (select e.sentence_id, e.src, e.dst from e where lu > 0 and exists (select 1 from i where i.sentence_id = e.sentence_id and i.node_id = e.src) and exists (select 1 from i where i.sentence_id = e.sentence_id and i.node_id = e.dst)),
-src as (select * from i where not exists (select 1 from ie where ie.sentence_id = i.sentence_id and ie.dst = i.node_id)), snk as (select * from i where not exists (select 1 from ie where ie.sentence_id = i.sentence_id and ie.src = i.node_id)),
-lst as (select sentence_id, max(place) as last from a group by 1),
-rc as (select c.sentence_id, c.place, c.node, c.node::varchar as path from c join src on src.sentence_id = c.sentence_id and src.node_id = c.node where c.place = 0
-  union all select rc.sentence_id, rc.place + 1, c.node, arg_min(rc.path, rc.node) || '-' || c.node from rc join c on c.sentence_id = rc.sentence_id and c.place = rc.place + 1 join ie on ie.sentence_id = rc.sentence_id and ie.src = rc.node and ie.dst = c.node group by rc.sentence_id, rc.place, c.node)
-select rc.sentence_id, arg_min(rc.path, rc.node) as path from rc join lst on lst.sentence_id = rc.sentence_id and lst.last = rc.place join snk on snk.sentence_id = rc.sentence_id and snk.node_id = rc.node group by 1""",
+    "g15_gold_paths": _RESOLVED + "select sentence_id, resolved_by, path from r",
+    "g16_resolution_passes": _RESOLVED + "select resolved_by, count(*) as sentences from r group by 1",
+    "g17_redirected_places": _RESOLVED + "select sentence_id, redirected, resolved_by from r where redirected > 0",
+    "g18_widened_places": _RESOLVED + "select sentence_id, widened, resolved_by from r where widened > 0",
+    "g19_redirect_tallies": _RESOLVED + "select sum(redirected)::bigint as redirected, sum(widened)::bigint as widened, count(*) as sentences from r",
+    "j15_map_with_backoff": f"""with {_GOLDNAMES} {_DOM}, k2 as (select form, preverb_id, lemma as to_lemma, tag as to_tag, count(*) as support from q group by all),
+r2 as (select *, sum(support) over (partition by form, preverb_id)::bigint as total, row_number() over (partition by form, preverb_id order by support desc, to_lemma, to_tag) as i from k2), pr as (select * from r2 where i = 1 and support >= 2 and support >= 0.5 * total)
+select n.sentence_id, n.node_id, case when pr.form is not null then 'pair' when rules.form is not null then 'lemma' else 'none' end as rule, coalesce(pr.to_lemma, rules.lemma, f.token) as new_lemma, coalesce(pr.to_tag, n.preverb_id::varchar) as new_tag
+from n join vocab f on f.kind = 'form' and f.id = n.form_id left join pr on pr.form = f.token and pr.preverb_id = n.preverb_id left join rules on rules.form = f.token where n.is_gold and n.sentence_id not in (select sentence_id from tr)""",
+    "j16_bridge_with_sentinel": """with d as (select doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda t: t <> '') as t from documents where genre = 'parse' and text is not null),
+b as (select doc_id, unnest(range(0, len(t))) as place, unnest(list_transform(t, lambda x: trim(regexp_replace(array_to_string(string_split(x, '_')[3:], '_'), '^_+|_+$', '', 'g')))) as bundle from d), v as (select token, min(id)::varchar as code from vocab where kind = 'tag' group by 1)
+select doc_id, place, coalesce(v.code, '<unmapped:' || bundle || '>') as code from b left join v on v.token = b.bundle""",
     "j02_annotation_candidates": f"with {NODES}, {_CAND} select sentence_id, place, string_agg(node::varchar, ',' order by node) as nodes from c group by all",
     "j03_surface_twins": f"with {NODES} select a.sentence_id, a.node_id as orphan, b.node_id as twin from n a join n b on a.sentence_id = b.sentence_id and a.chunk = b.chunk and a.form_id = b.form_id where not a.is_gold and b.is_gold and a.chunk >= 0",
     "a04_character_votes": f"with {_VOTES} select sentence_id, chunk, pos, ch, kinds from x",
@@ -231,10 +303,6 @@ r as (select *, sum(support) over (partition by form, preverb_id)::bigint as tot
     "a11_bridge_purity": f"""with {_GOLDNAMES}, k as (select form, lemma, count(*) as n from q group by all), s as (select form, sum(n) as support, max(n) as most from k group by form),
 o as (select count(*) as keys, sum(support)::bigint as tokens, round(sum(most) / sum(support), 6) as purity, round(sum(most) filter (where support >= 10) / sum(support) filter (where support >= 10), 6) as solid_purity, count(*) filter (where support < 10) as low_support_keys, round(coalesce(sum(support) filter (where most < 0.9 * support) / sum(support), 0), 6) as impure_share from s)
 select *, solid_purity >= 0.9 as passes from o""",
-    "j15_map_with_backoff": """with d as (select distinct diag_id, lemma_norm as lemma, expected_cng as tag from gold_diagnosis), m as (select map_value as lemma, min(map_key) as t from lemma_map group by 1),
-j as (select case when l.lemma is not null then 'pair' when m.t is not null then 'lemma' else 'none' end as rule, case when l.lemma is not null then upper(l.lemma) when m.t is not null then m.t else d.lemma end as new_lemma, case when l.lemma is not null then '-1' else d.tag end as new_tag
-from d left join lemma_list l on l.lemma = d.lemma and d.tag = '42' left join m on m.lemma = d.lemma) select rule, new_lemma, new_tag, count(*) as n from j group by all""",
-    "j16_bridge_with_sentinel": "with d as (select distinct diag_id, lemma_norm as lemma from gold_diagnosis) select coalesce(lemma_id::varchar, '<unmapped:' || coalesce(d.lemma, '') || '>') as entry, count(*) as n from d left join lemma_list l on l.lemma = d.lemma group by 1",
     "e17_map_before_after": f"""with {_GOLDNAMES} {_DOM}, t as (select n.sentence_id, f.token as form, l.token as lemma, coalesce(rules.lemma, f.token) as mapped from n join vocab f on f.kind = 'form' and f.id = n.form_id join vocab l on l.kind = 'lemma' and l.id = n.lemma_id left join rules on rules.form = f.token
  where is_gold and n.sentence_id not in (select sentence_id from tr)), p as (select sentence_id, count(*) as n, count(*) filter (where form = lemma) as b, count(*) filter (where mapped = lemma) as a from t group by 1)
 select sum(n)::bigint as words, sum(b)::bigint as words_before, sum(a)::bigint as words_after, count(*) as sentences, count(*) filter (where b = n) as sentences_before, count(*) filter (where a = n) as sentences_after from p""",

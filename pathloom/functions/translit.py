@@ -33,6 +33,19 @@ HK_TO_SLP1 = {
     "z": "S", "S": "z",
 }
 
+# SLP1 letters in Devanagari: vowels alone and after a consonant, consonants, signs.
+DEVANAGARI_VOWELS = {
+    "a": ("अ", ""), "A": ("आ", "ा"), "i": ("इ", "ि"), "I": ("ई", "ी"), "u": ("उ", "ु"), "U": ("ऊ", "ू"), "f": ("ऋ", "ृ"), "F": ("ॠ", "ॄ"),
+    "x": ("ऌ", "ॢ"), "X": ("ॡ", "ॣ"), "e": ("ए", "े"), "E": ("ऐ", "ै"), "o": ("ओ", "ो"), "O": ("औ", "ौ"),
+}
+DEVANAGARI_CONSONANTS = {
+    "k": "क", "K": "ख", "g": "ग", "G": "घ", "N": "ङ", "c": "च", "C": "छ", "j": "ज", "J": "झ", "Y": "ञ", "w": "ट", "W": "ठ", "q": "ड", "Q": "ढ", "R": "ण",
+    "t": "त", "T": "थ", "d": "द", "D": "ध", "n": "न", "p": "प", "P": "फ", "b": "ब", "B": "भ", "m": "म", "y": "य", "r": "र", "l": "ल", "v": "व",
+    "S": "श", "z": "ष", "s": "स", "h": "ह",
+}
+DEVANAGARI_SIGNS = {"M": "ं", "H": "ः", "'": "ऽ"}
+VIRAMA = "्"
+
 
 def _scanner(table: dict[str, str]) -> tuple[re.Pattern, dict[str, str]]:
     return re.compile("|".join(map(re.escape, sorted(table, key=len, reverse=True)))), table
@@ -111,3 +124,24 @@ def slp1_to_iast_column(col: Column) -> Column:
     double = {k: v for k, v in SLP1_TO_IAST.items() if len(v) == 2}
     lookup = F.create_map(*[F.lit(x) for pair in (single | double).items() for x in pair])
     return F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), "")
+
+
+def slp1_to_devanagari_column(col: Column) -> Column:
+    """SLP1 to Devanagari inside the JVM, letter by letter with a look at both neighbours.
+
+    A consonant carries the sign of a following vowel, a virama before anything else; a vowel after
+    a consonant is in that sign already. Unknown characters stay. Null stays null.
+    """
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    alone, after = table({k: v[0] for k, v in DEVANAGARI_VOWELS.items()}), table({k: v[1] for k, v in DEVANAGARI_VOWELS.items()})
+    consonants, signs = table(DEVANAGARI_CONSONANTS), table(DEVANAGARI_SIGNS)
+    letters = F.split(col, "")
+    neighbour = lambda i: F.coalesce(F.get(letters, i), F.lit(""))
+
+    def one(c: Column, i: Column) -> Column:
+        sign = F.coalesce(F.try_element_at(after, neighbour(i + 1)), F.lit(VIRAMA))
+        vowel = F.try_element_at(alone, c)
+        bound = F.try_element_at(consonants, neighbour(i - 1)).isNotNull() & (i > 0)
+        return F.coalesce(F.concat(F.try_element_at(consonants, c), sign), F.when(vowel.isNotNull() & bound, F.lit("")).otherwise(vowel), F.try_element_at(signs, c), c)
+
+    return F.array_join(F.transform(letters, one), "")

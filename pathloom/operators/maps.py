@@ -72,6 +72,13 @@ def assert_disjoint(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("shared"))
 
 
+def require_disjoint(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """The same row, or an error that says what leaks, if a key is in both."""
+    shared = assert_disjoint(left, right, key)
+    wrong = F.raise_error(F.concat(F.lit(f"{what}: "), F.col("shared").cast("string"), F.lit(" keys in both")))
+    return shared.select(F.when(F.col("shared") > 0, wrong.cast("long")).otherwise(F.col("shared")).alias("shared"))
+
+
 def most_common(rows: DataFrame, by: list[str], n: int, tie: list[Column] | None = None) -> DataFrame:
     """The n commonest groups, ties by the group itself."""
     counted = rows.groupBy(*by).agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from ..functions.features import global_rank, split_name
 from ..operators import lattice as L
 from ..operators import stats
 from ..tables import table
-from .features import texts
+from .features import _iast, texts
 from .lattice import EDGES, NODES, base
 
 
@@ -313,11 +313,20 @@ def _dist(sql: str, x: str, name: str) -> str:
     return f"select '{name}' as name, count(*) as n, round(avg({x}), 6) as mean, round(quantile_cont({x}, 0.5), 6)::double as median, round(quantile_cont({x}, 0.95), 6)::double as p95, round(quantile_cont({x}, 0.99), 6)::double as p99, max({x})::double as most from ({sql})"
 
 
+def _back(x: str) -> str:
+    """IAST to SLP1 by replacement, longest first: no sequence ends as another begins, so the order within a length is free."""
+    table = {v: k for k, v in translit.SLP1_TO_IAST.items() if v != k} | translit.IAST_VARIANTS
+    for a, b in sorted(table.items(), key=lambda t: -len(t[0])):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 SQL = {
     "filter_p03_node_names": f"with {NODES} select sentence_id, case when node_id % 2 = 0 then 'n' else '' end || node_id as name, node_id::bigint as node_id from n",
     "filter_p04_safe_cast": "select diag_id, coalesce(case when regexp_matches(trim(expected_cng), '^[+-]?[0-9]+$') then trim(expected_cng)::int end, -1) as code from (select distinct diag_id, expected_cng from gold_diagnosis)",
     "filter_p05_boundaries": f"with {NODES} select sentence_id, node_id from n where chunk < 0",
     "filter_p06_trainable": f"with {NODES} select sentence_id, count(*) as gold_nodes from n where is_gold and {_SPLIT} = 'train' group by 1",
+    "filter_p11_round_trip_filter": f"select sentence_id from (select sentence_id, min(surface_text) as x from sentences group by 1) where x is not null and {_back(_iast('x'))} = x",
     "filter_p09_wired": f"with {EDGES} select sentence_id, count(*) as wired from (select sentence_id, src from e union select sentence_id, dst from e) group by 1",
     "j01_left_join_by_stem": f"with {_SENT}, d as (select stem, count(*) as diagnoses from (select distinct diag_id, sent_id as stem from gold_diagnosis) group by 1) select sentence_id, s.stem, diagnoses from s left join d using (stem)",
     "j04_edges_with_ends": f"with {EDGES} select u.form_id as src_form, v.form_id as dst_form, count(*) as edges, sum(u.length + v.length)::bigint as letters from e join n u on u.sentence_id = e.sentence_id and u.node_id = e.src join n v on v.sentence_id = e.sentence_id and v.node_id = e.dst group by 1, 2",

@@ -46,9 +46,8 @@ def s03_single_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s07_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.scratch(spark, "tsv")
     rows = table(spark, sf_dir, "lemma_list").select(F.col("lemma_id").cast("string"), "lemma", F.coalesce("word_class", F.lit("-")).alias("word_class"))
-    text = rows.select(F.concat_ws("\t", "lemma_id", "lemma", "word_class").alias("value"))
-    header = spark.createDataFrame([("﻿DCS-ID\tinput\toutput",)], "value string")
-    header.unionByName(text).coalesce(1).write.text(path)
+    # every file of the set has the header, with a byte order mark before its first name
+    rows.toDF("\ufeffDCS-ID", "input", "output").write.csv(path, sep="\t", header=True, quote="", encoding="UTF-8")
     got = S.read_tsv(spark, path)
     return got.select(F.col("`DCS-ID`").cast("int").alias("lemma_id"), F.col("input").alias("lemma"), F.col("output").alias("word_class"))
 
@@ -130,6 +129,7 @@ SQL = {
     "s12_vocabulary": "select kind, id, token from vocab where kind = 'lemma'",
     "s14_lattice_parquet": f"with {EDGES} select sentence_id, edge_id, src, dst from e",
     "s19_golden_json": _BEAMS.format(edges=EDGES, nodes="n", level="topo_level", first=0, k=4) + "," + _ENDS + """select sentence_id, '{"sentence_id":' || sentence_id || ',"paths":[' || string_agg('{"score":' || printf('%.9g', score::double) || ',"nodes":[' || replace(path, '-', ',') || ']}', ',' order by place) || ']}' as value from fin where place < 4 group by sentence_id""",
+    "s22_candidates_by_k": " union all ".join(f"""select * from ({_BEAMS.format(edges=EDGES, nodes="n", level="topo_level", first=0, k=k)}, {_ENDS} select {k} as "K", count(*) as paths, count(distinct sentence_id) as sentences from fin where place < {k})""" for k in (1, 4)),
     "s20_keep_csv": _COUNTS.format(k=8) + "select r.keep, count(p.paths) as num_nodes from range(0, 9) r(keep) left join paths p on p.paths = r.keep group by r.keep",
     "s26_swap": f"select distinct sentence_id, 'old' as side from sentences where {_SPLIT} union all select distinct sentence_id, 'new' from sentences where {_SPLIT} and sentence_id % 2 = 0",
     "s29_manifest": "select row_number() over (order by lemma_id) - 1 as row, lemma_id from lemma_list",

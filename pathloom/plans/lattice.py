@@ -277,6 +277,7 @@ select sentence_id, row_number() over (partition by sentence_id order by src, ds
     "g09_kbest": _KBEST + "," + _ENDS + f"select sentence_id, place as rank, score, path from fin where place < {BEAM}",
     "g10_kbest_over_edges": _KBEST + "," + _ENDS + f"select sentence_id, place as rank, score, path from fin where place < {BEAM}",
     "g09_kbest_orders": _BEAMS.format(edges=_ORDERS, nodes="n", level="topo_level", first=1, k=8) + "," + _ENDS + "select sentence_id, place as rank, score from fin where place < 8",
+    "g11_kbest_edge_ties": _BEAMS.replace("order by b.score + e.w desc, b.node_id, b.rank", "order by b.score + e.w desc, e.edge_id, b.rank").format(edges=EDGES.replace("b.length * 10 + ((b.form_id % 7) + 7) % 7 as w", "1 as w"), nodes="n", level="topo_level", first=0, k=2) + "," + _ENDS + "select sentence_id, place as rank, score, path from fin where place < 2",
     "g12_viterbi": _BEAMS.format(edges=EDGES, nodes="n", level="topo_level", first=0, k=1) + "," + _ENDS + "select sentence_id, score, level + 1 as n_nodes from fin where place = 0",
     "g14_path_counts": _COUNTS.format(k=64) + "select sentence_id, node_id, paths from paths",
     "a18_keep_histogram": _COUNTS.format(k=16) + "select r.keep, count(p.paths) as num_nodes from range(0, 17) r(keep) left join paths p on p.paths = r.keep group by r.keep",

@@ -27,10 +27,10 @@ SCHEMA = T.StructType(
 NODE_FIELDS = ["word", "lemma", "morph", "pre_verb", "cng", "chunk_no", "position", "length_word"]
 
 
-def _columns(stem: Column, corrupt: Column, doc: str = "") -> list[Column]:
+def _columns(stem: Column, corrupt: Column, doc: str = "", edges: bool = True) -> list[Column]:
     key = F.col(f"{doc}key")
     names = F.map_from_entries(F.transform(F.coalesce(key, F.array().cast(SCHEMA["key"].dataType)), lambda k: F.struct(k["_id"], k["_attr.name"])))
-    return [stem.alias("stem"), names.alias("names"), F.col(f"{doc}graph.node").alias("nodes"), F.col(f"{doc}graph.edge").alias("edges"), corrupt.alias("corrupt")]
+    return [stem.alias("stem"), names.alias("names"), F.col(f"{doc}graph.node").alias("nodes"), *([F.col(f"{doc}graph.edge").alias("edges")] if edges else []), corrupt.alias("corrupt")]
 
 
 def read_graphml(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +52,15 @@ def parse_graphml(lines: DataFrame, value: str = "value") -> DataFrame:
     return parsed.select(*_columns(F.col("d._stem"), broken, "d."))
 
 
+def parse_words(lines: DataFrame, fields: list[str], value: str = "value") -> DataFrame:
+    """(stem, node_id, fields...) straight from a column of documents: edges are never built."""
+    graph = T.StructType([T.StructField("node", T.ArrayType(_NODE))])
+    schema = T.StructType([T.StructField("graph", graph) if f.name == "graph" else f for f in SCHEMA if f.name != "_corrupt_record"])
+    parsed = lines.select(F.from_xml(F.col(value), schema, {"rowTag": "graphml", "mode": "PERMISSIVE"}).alias("d"))
+    documents = parsed.select(*_columns(F.col("d._stem"), F.lit(None).cast("string"), "d.", edges=False))
+    return graph_nodes(documents, fields)
+
+
 def node_id(name: Column) -> Column:
     """The number of a node name, with or without a leading n; null if it is none."""
     return F.regexp_replace(name, "^n", "").try_cast("long")

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import write_file
+
+# Fixed value: the number with which a weight file begins.
 MAGIC = 0x43534233
 
 
@@ -62,7 +65,7 @@ def flat_reference(annotations: DataFrame) -> DataFrame:
 
 
 def stems(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(stem): the files below a folder by name in string order, at most ``limit`` if asked."""
+    """(stem): the files below a folder by name in string order, at most ``limit`` if asked. Contents are not read."""
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     rows = spark.read.format("binaryFile").load(path).select(name.alias("stem")).orderBy("stem")
     return rows.limit(limit) if limit is not None else rows
@@ -93,9 +96,8 @@ def pack_weights(source: list[list[float]], destination: list[list[float]], bias
 
 
 def write_weights(path: str, source: list[list[float]], destination: list[list[float]], bias: float) -> None:
-    """A weight file in a folder of the driver."""
-    with open(path, "wb") as f:
-        f.write(pack_weights(source, destination, bias))
+    """A weight file, in a folder that executors share."""
+    write_file(path, pack_weights(source, destination, bias))
 
 
 def parse_weights(data: bytes) -> tuple[list[list[float]], list[list[float]], float]:
@@ -185,3 +187,80 @@ def swap_in(spark: SparkSession, df: DataFrame, path: str) -> None:
         fs.delete(at(old), True)
         fs.rename(at(path), at(old))
     fs.rename(at(new), at(path))
+
+
+# -- files, documents, remote tables ---------------------------------------------------------------
+
+
+def write_files(rows: DataFrame, name: str, content: str, folder: str) -> None:
+    """One file per row, by its name; a null content is an empty file."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                write_file(f"{folder}/{file}", (data or "").encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    rows.where(F.col(name).isNotNull()).select(F.col(name).cast("string"), F.col(content).cast("string")).mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
+def copy_sample(spark: SparkSession, folder: str, target: str, n: int, seed: int) -> DataFrame:
+    """Copy n files chosen by a hash of seed and stem, whole and under their names; returns (stem, bytes)."""
+    from ..operators.stats import seeded_sample
+
+    name = F.element_at(F.split("path", "/"), -1)
+    files = spark.read.format("binaryFile").load(folder)
+    chosen = seeded_sample(files.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("stem")), "stem", n, seed)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for path, _, data in rows:
+                write_file(f"{target}/{path.rsplit('/', 1)[-1]}", data)
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([len(r[2]) for r in rows], pa.int64())], names=["stem", "bytes"])
+
+    # the sample is n rows, so the contents of n files meet it
+    picked = files.select("path", "content").join(chosen, "path").select("path", "stem", "content")
+    return picked.mapInArrow(run, "stem string, bytes long").checkpoint()
+
+
+def write_documents(documents: DataFrame, folder: str, buckets: int = 8) -> None:
+    """(idx, text) as compressed documents in folders by a bucket of idx, so that a lookup reads one of them."""
+    import zlib
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            packed = [None if t is None else zlib.compress(t.encode("utf-8")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["idx", "document"])
+
+    packed = documents.select(F.col("idx").cast("long"), "text").mapInArrow(run, "idx long, document binary")
+    packed.withColumn("bucket", F.pmod("idx", F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def read_documents(spark: SparkSession, folder: str, idx: int | None = None, buckets: int = 8) -> DataFrame:
+    """(idx, text) of the stored documents; of one idx, only its bucket is read. No row: there is no such document."""
+    import zlib
+
+    rows = spark.read.parquet(folder)
+    if idx is not None:
+        rows = rows.where((F.col("bucket") == idx % buckets) & (F.col("idx") == idx))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [None if d is None else zlib.decompress(d).decode("utf-8") for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["idx", "text"])
+
+    return rows.select("idx", "document").mapInArrow(run, "idx long, text string")
+
+
+def read_dataset(spark: SparkSession, uri: str, split: str) -> DataFrame:
+    """One split of a Parquet dataset at an address that Spark's file systems know: all files named after it."""
+    return spark.read.option("pathGlobFilter", f"{split}*.parquet").option("recursiveFileLookup", "true").parquet(uri)

@@ -79,10 +79,7 @@ def frequency_ranks(counts: DataFrame, ids: DataFrame, column: str) -> DataFrame
     The order is total, so ranks come from sizes of id ranges and not from one sorted task: a
     range partitioning by the order, numbered within and shifted by the ranges before.
     """
-    all_ids = ids.select(column).distinct().join(counts, column, "left").na.fill(0, ["n"])
-    placed = global_rank(all_ids, [F.desc("n"), F.asc(column)], "place")
-    last = all_ids.select(F.greatest(F.count("*") - 1, F.lit(1))).scalar()
-    return placed.select(column, "n", (F.col("place") / last).alias("rank"))
+    return _ranked(ids.select(column).distinct().join(counts, column, "left").na.fill(0, ["n"]), column)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -144,9 +141,23 @@ def frequency_bucket(n: Column) -> Column:
 
 
 def fit(nodes: DataFrame, train: DataFrame) -> dict[str, DataFrame]:
-    """The statistics of a featurizer, from the training sentences given (and no others)."""
-    forms = word_counts(nodes, train, "form_id")
-    return {"forms": frequency_ranks(forms, nodes, "form_id"), "lemmas": word_counts(nodes, train, "lemma_id")}
+    """The statistics of a featurizer, from the training sentences given (and no others).
+
+    One pass over the nodes: occurrences per pair of form and lemma, from which both tables come.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    known = train.select("sentence_id", F.lit(1).alias("t")).distinct()
+    seen = F.when(is_boundary(), 0).otherwise(F.coalesce("t", F.lit(0)))
+    pairs = nodes.select("sentence_id", "form_id", "lemma_id", "chunk").join(known, "sentence_id", "left").groupBy("form_id", "lemma_id").agg(F.sum(seen).alias("n")).checkpoint()
+    forms, lemmas = (pairs.groupBy(c).agg(F.sum("n").alias("n")) for c in ("form_id", "lemma_id"))
+    return {"forms": _ranked(forms, "form_id"), "lemmas": lemmas}
+
+
+def _ranked(counts: DataFrame, column: str) -> DataFrame:
+    """(column, n, rank): rank by count descending and id ascending, scaled to [0, 1]."""
+    placed = global_rank(counts, [F.desc("n"), F.asc(column)], "place")
+    last = counts.select(F.greatest(F.count("*") - 1, F.lit(1))).scalar()
+    return placed.select(column, "n", (F.col("place") / last).alias("rank"))
 
 
 def _tags(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -168,11 +179,12 @@ def morph43(nodes: DataFrame, vocab: DataFrame, fitted: dict[str, DataFrame]) ->
 
 
 def _scalars(nodes: DataFrame, vocab: DataFrame, fitted: dict[str, DataFrame]) -> DataFrame:
+    """nodes with all that the scalar vector reads; what a form brings is joined to the vocabulary first, so the nodes meet it once."""
     rows = position_features(_tags(nodes, vocab))
-    forms = fitted["forms"].withColumnsRenamed({"n": "form_n"})
-    lemmas = fitted["lemmas"].withColumnsRenamed({"n": "lemma_n"})
     words = vocab.where("kind = 'form'").select(F.col("id").alias("form_id"), character_features(F.col("token")).alias("char_x"), F.col("token").alias("word"))
-    return rows.join(forms, "form_id", "left").join(lemmas, "lemma_id", "left").join(words, "form_id", "left").na.fill(0, ["form_n", "lemma_n"]).na.fill(1.0, ["rank"])
+    forms = fitted["forms"].withColumnsRenamed({"n": "form_n"}).join(words, "form_id", "full")
+    lemmas = fitted["lemmas"].withColumnsRenamed({"n": "lemma_n"})
+    return rows.join(forms, "form_id", "left").join(lemmas, "lemma_id", "left").na.fill(0, ["form_n", "lemma_n"]).na.fill(1.0, ["rank"])
 
 
 def _scalar_vector() -> Column:

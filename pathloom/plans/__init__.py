@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, audits, corpus, evaluation, features, io, ladder, lattice, models, references
+from . import alignment, archives, audits, corpus, evaluation, features, io, ladder, lattice, models, references
 
-_TOPICS = (lattice, features, evaluation, ladder, alignment, corpus, audits, io, models, references)
+_TOPICS = (lattice, features, evaluation, ladder, alignment, corpus, audits, io, archives, models, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,7 @@
-"""Learned scorers: embeddings, a character BiLSTM encoder, structured training and a path reranker.
+"""Linear learners over explicit edge tables, for any lattice, and the plain parts of the recurrent ones.
 
-Everything is trained here, by gradient sums that executors compute over all given rows and the
-driver adds up: what travels is one vector of weights per epoch. NumPy does the arithmetic.
+Log-linear scorers and rerankers are trained by gradient sums over all given rows: what travels is
+one vector of weights per epoch. Lattices whose levels are fully linked have ``training`` instead.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql import types as T
 
 from .sweep import kbest
 
-_VECTOR = T.ArrayType(T.FloatType())
-
-
 # -- embeddings ------------------------------------------------------------------------------
 
 
@@ -29,38 +26,6 @@ def seeded_table(rows: int, width: int, seed: int) -> np.ndarray:
     return table
 
 
-def embed(nodes: DataFrame, tables: dict[str, np.ndarray], dense: str | None = None) -> DataFrame:
-    """(sentence_id, node_id, x): the embeddings of id columns side by side, then the dense column.
-
-    ``tables`` maps an id column to its table. Ids outside a table read row 1 (unknown) if it has
-    one, else row 0; boundary nodes (chunk below 0) are all zero. The tables are model weights,
-    of a size fixed when the model is made, and go to each task with its function.
-    """
-    names = list(tables)
-    arrays = [np.ascontiguousarray(tables[n], dtype=np.float32) for n in names]
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            n = batch.num_rows
-            parts = []
-            for i, table in enumerate(arrays):
-                ids = batch.column(3 + i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = np.where((ids >= 0) & (ids < len(table)), ids, min(1, len(table) - 1))
-                parts.append(table[ids])
-            if dense:
-                column = batch.column(3 + len(arrays))
-                parts.append(column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1))
-            x = np.concatenate(parts, axis=1) if n else np.zeros((0, 1), np.float32)
-            x[batch.column(2).fill_null(0).to_numpy(zero_copy_only=False) < 0] = 0
-            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["sentence_id", "node_id", "x"])
-
-    schema = T.StructType([nodes.schema["sentence_id"], nodes.schema["node_id"], T.StructField("x", _VECTOR)])
-    return nodes.select("sentence_id", "node_id", "chunk", *names, *([dense] if dense else [])).mapInArrow(run, schema)
-
-
 # -- character encoder -----------------------------------------------------------------------
 
 
@@ -88,44 +53,6 @@ def lstm(x: np.ndarray, lengths: np.ndarray, p: dict[str, np.ndarray], reverse:
     return out
 
 
-def encode_spans(spans: DataFrame, alphabet: str, char_table: np.ndarray, forward: dict[str, np.ndarray], backward: dict[str, np.ndarray], projection: np.ndarray) -> DataFrame:
-    """(sentence_id, node_id, x): spans of a text in the states of a bidirectional LSTM over its characters.
-
-    ``spans`` has (sentence_id, text, nodes array<struct<node_id, start, stop>>), one row per
-    sentence. A span is both directions' states at its first and last character, projected; spans
-    are clamped to the text, and a span of an empty text is zero. Characters outside the alphabet
-    share one embedding (row 1), row 0 pads.
-    """
-    index = {c: i + 2 for i, c in enumerate(alphabet)}
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lengths = np.array([len(t) for t in texts], dtype=np.int64)
-            steps = max(1, int(lengths.max(initial=0)))
-            ids = np.zeros((len(texts), steps), dtype=np.int64)
-            for i, t in enumerate(texts):
-                ids[i, : len(t)] = [index.get(c, 1) for c in t]
-            x = char_table[ids]
-            states = np.concatenate([lstm(x, lengths, forward), lstm(x, lengths, backward, reverse=True)], axis=2)
-            sid, node, rows = [], [], []
-            for i, (key, spans_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for s in spans_ or ():
-                    last = max(int(lengths[i]) - 1, 0)
-                    a, b = min(max(s["start"], 0), last), min(max(s["stop"], 0), last)
-                    sid.append(key)
-                    node.append(s["node_id"])
-                    rows.append(np.concatenate([states[i, a], states[i, b]]) if lengths[i] else np.zeros(2 * states.shape[2]))
-            out = (np.array(rows).reshape(len(rows), 2 * states.shape[2]) @ projection).astype(np.float32)
-            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * out.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(sid, batch.schema.field(0).type), pa.array(node, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["sentence_id", "node_id", "x"])
-
-    schema = T.StructType([T.StructField("sentence_id", spans.schema["sentence_id"].dataType), T.StructField("node_id", T.IntegerType()), T.StructField("x", _VECTOR)])
-    return spans.select("sentence_id", "text", "nodes").mapInArrow(run, schema)
-
-
 # -- structured training ---------------------------------------------------------------------
 
 

@@ -157,7 +157,11 @@ def _level_batch(column, n: int) -> Batch:
     node, level, w = (flat.field(i) for i in range(3))
     placed = level.is_valid().to_numpy(zero_copy_only=False)
     ints = lambda a: a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner, node, level, w = np.repeat(np.arange(n), lengths), ints(node), ints(level), w.fill_null(0.0).to_numpy(zero_copy_only=False)
+    return linked(np.repeat(np.arange(n), lengths), ints(node), ints(level), placed, w.fill_null(0.0).to_numpy(zero_copy_only=False))
+
+
+def linked(owner: np.ndarray, node: np.ndarray, level: np.ndarray, placed: np.ndarray, w: np.ndarray) -> Batch:
+    """The lattices in which every node that has a place is linked to all of the next level; an edge weighs what its end does."""
     order = np.lexsort((node, level, owner))
     order = order[placed[order]]
     o, v, lv = owner[order], node[order], level[order]

@@ -61,11 +61,15 @@ def j12_stem_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j14_link_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results in row order linked back to their keys by a manifest with explicit row numbers."""
-    rows = table(spark, sf_dir, "lemma_list").select("lemma_id", "lemma")
-    manifest = X.global_rank(rows.select("lemma_id"), [F.asc("lemma_id")], "row")
-    results = X.global_rank(rows, [F.asc("lemma_id")], "row").select("row", F.upper("lemma").alias("result"))
-    return manifest.join(results, "row").select("lemma_id", "result")
+    """An external system's results, line by line, linked back to their keys by the manifest's row numbers; unlike numbers of rows are an error."""
+    path = IO.scratch(spark, "linked")
+    IO.write_manifest(table(spark, sf_dir, "lemma_list"), "lemma", "lemma_id", path)
+    manifest = spark.read.parquet(f"{path}/manifest")
+    # the other system reads the lines of the manifest's order and answers with numbered lines
+    answers = X.global_rank(table(spark, sf_dir, "lemma_list").select("lemma_id", F.upper("lemma").alias("result")), [F.asc("lemma_id")], "row").select("row", "result")
+    answers.write.json(f"{path}/answers")
+    read = spark.read.schema("row long, result string").json(f"{path}/answers")
+    return IO.link_by_row(manifest, read, "row")
 
 
 def e14_load_triage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,6 +208,12 @@ def a07_corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v08_statistics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus statistics as lines of a report."""
+    cells = F.format_string("| %s | %d | %.6f | %.6f | %.6f | %.6f | %.0f |", "name", "n", "mean", "median", "p95", "p99", "most")
+    return a07_corpus_statistics(spark, sf_dir).select(cells.alias("text"))
+
+
 def a08_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _nodes(spark, sf_dir).groupBy("sentence_id").agg(F.count("*").alias("n"))
     return stats.histogram(per, F.least(F.col("n"), F.lit(299)), [0, 10, 20, 30, 40, 60, 100, 300])
@@ -295,7 +301,7 @@ QUERIES = {
     for f in (
         j01_left_join_by_stem, j04_edges_with_ends, j05_gold_pairs_left, j06_edge_sources, j08_sentence_bounds, j09_ids_to_tokens, j10_remap_through_union,
         j11_semi_anti, j13_positional_zip, j18_runs_by_k, j19_text_overlap, u01_intersection, u03_difference, u04_concatenation, u05_array_union, u07_set_equality,
-        u08_disjoint, t05_first_sentences, t06_seeded_sample, t07_permutation_prefix, a07_corpus_statistics, a08_histogram, a20_confusion,
+        u08_disjoint, t05_first_sentences, t06_seeded_sample, t07_permutation_prefix, a07_corpus_statistics, v08_statistics_report, a08_histogram, a20_confusion,
         a24_first_seen_vocabulary, v01_index, v02_sentence, v03_stem_lookup, v04_graph_documents, v05_gold_highlight, v06_chunk_counts, j07_node_sentences,
     )
 }
@@ -364,3 +370,4 @@ select sentence_id, md5('{{"nodes":' || ns || case when es is not null then ',"e
 }
 SQL["a20_confusion"] = f"""with {NODES}, q as (select id, coalesce(list_filter(['nom', 'acc', 'dat', 'abl', 'g', 'loc', 'voc', 'i'], lambda c: list_contains(string_split_regex(replace(token, '.', ' '), '\\s+'), c))[1], '') as c from vocab where kind = 'tag'),
 m as (select n.*, q.c from n join q on q.id = n.tag_id where chunk >= 0) select a.c as gold_case, b.c as other_case, count(*) as n from m a join m b on a.sentence_id = b.sentence_id and a.topo_level = b.topo_level where a.is_gold and not b.is_gold and a.c <> '' and b.c <> '' group by 1, 2"""
+SQL["v08_statistics_report"] = f"select printf('| %s | %d | %.6f | %.6f | %.6f | %.6f | %.0f |', name, n, mean, median, p95, p99, most) as text from ({SQL['a07_corpus_statistics']})"

@@ -126,6 +126,10 @@ def f15_featurizer_ngrams80(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _featurized(spark, sf_dir, "ngrams80")
 
 
+def f15_featurizer_ngrams96(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _featurized(spark, sf_dir, "ngrams96")
+
+
 def f15_featurizer_ngrams128(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _featurized(spark, sf_dir, "ngrams128")
 
@@ -217,7 +221,7 @@ QUERIES = {
     for f in (
         f01_normalize_lemma, f02_lemma_candidates, f03_lemma_candidates_extended, f05_lemma_code_candidates, f06_slp1_to_iast, f06_round_trip, f08_text_normalize,
         f09_tag_bits, f10_length_features, f11_position_features, f12_frequency_features, f13_character_features, f14_ngram_features, f15_featurizer_morph43,
-        f15_featurizer_scalars64, f15_featurizer_ngrams80, f15_featurizer_ngrams128, f16_remap_ids, f17_md5_split, f18_span_clamp, f19_parse_tokens, f20_roles,
+        f15_featurizer_scalars64, f15_featurizer_ngrams80, f15_featurizer_ngrams96, f15_featurizer_ngrams128, f16_remap_ids, f17_md5_split, f18_span_clamp, f19_parse_tokens, f20_roles,
         f21_path_constraints, f22_frequency_bucket, f23_json_round_trip, a03_train_counts, a19_role_counts, a23_nonzero_features, w03_frequency_rank,
         w05_chunk_width, w08_local_ids,
     )
@@ -317,3 +321,13 @@ select (i - 1)::int as place, bool_or(x[i]) as used from b, range(1, {len(X.TAG_
     "w05_chunk_width": f"with {NODES} select sentence_id, node_id, max(position + length) over (partition by sentence_id, chunk) as width from n where chunk >= 0",
     "w08_local_ids": f"with {NODES} select sentence_id, node_id, row_number() over (partition by sentence_id order by node_id) as local_id from n where chunk >= 0",
 }
+SQL["f15_featurizer_scalars64"] = f"""with {_FIT}, {_TEXT},
+q as (select id, list_transform({X.TAG_TOKENS!r}, lambda k: list_contains({_TAG_LIST}, k)::int::double) || [(token = 'UNKNOWN')::int::double] as x from vocab where kind = 'tag'),
+c as (select id, [(k - cons) / k, coalesce(pairs, 0) / greatest(k - 1, 1), (k - plain) / k, contains(token, 'H')::int, contains(token, 'M')::int, regexp_matches(token, '[{X.VOWELS}]$')::int, regexp_matches(token, '^[{X.VOWELS}]')::int, regexp_matches(token, '[{X.LONG_VOWELS}]$')::int]::double[] as x
+ from (select id, token, length(token) as k, length(regexp_replace(token, '[{X.VOWELS}]', '', 'g')) as cons, length(regexp_replace(token, '[{X.RETROFLEX}]', '', 'g')) as plain,
+ list_sum(list_transform(range(1, length(token)), lambda i: case when not regexp_matches(token[i], '[{X.VOWELS}]') and not regexp_matches(token[i + 1], '[{X.VOWELS}]') then 1 else 0 end)) as pairs from vocab where kind = 'form' and token <> '')),
+w as (select n.*, greatest(coalesce(text_length, 0), 1) as tl, greatest(char_start, 0) as st, greatest(max(position + length) over (partition by n.sentence_id, greatest(chunk, 0)), 1) as wd from n left join t on t.sentence_id = n.sentence_id)
+select w.sentence_id, node_id, case when chunk < 0 then list_transform(range(64), lambda i: 0::float) else (coalesce(q.x, list_transform(range(43), lambda i: 0::double)) || [ln(1 + length), greatest(least(length / 20, 1), 0), (length <= 3)::int, (length > 3 and length <= 8)::int, (length > 8)::int]::double[]
+ || [greatest(least(st / tl, 1), 0), greatest(least((st + length) / tl, 1), 0), greatest(least((wd - position - length) / wd, 1), 0), least(greatest(chunk, 0) / 20, 1)]::double[]
+ || [ln(1 + coalesce(fr.n, 0)) / 10, ln(1 + coalesce(lc.n, 0)) / 10, (coalesce(fr.n, 0) <= 1)::int, coalesce(fr.rank, 1)]::double[] || coalesce(c.x, list_transform(range(8), lambda i: 0::double)))::float[] end as x
+from w left join q on q.id = w.tag_id left join c on c.id = w.form_id left join fr on fr.form_id = w.form_id left join lc on lc.lemma_id = w.lemma_id"""

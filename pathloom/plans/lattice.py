@@ -175,6 +175,23 @@ def g21_gold_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.gold_score(nodes, scored).select("sentence_id", F.col("score").cast("long").alias("score"), "n_edges")
 
 
+def g23_level_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collated form of each sentence's edges: sorted by the level they lead to, with every level's range."""
+    from pyspark.sql import Window as W
+
+    nodes, edges = base(spark, sf_dir)
+    levels = nodes.select("sentence_id", F.col("node_id").alias("dst"), F.col("topo_level").alias("level"))
+    counts = edges.join(levels, ["sentence_id", "dst"]).groupBy("sentence_id", "level").agg(F.count("*").alias("n"))
+    stop = F.sum("n").over(W.partitionBy("sentence_id").orderBy("level").rowsBetween(W.unboundedPreceding, 0))
+    return counts.select("sentence_id", "level", (stop - F.col("n")).alias("start"), stop.alias("stop"))
+
+
+def g09_kbest_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beams of 64: per sentence the number of paths and the sum of their scores."""
+    best = level_sweep(table(spark, sf_dir, "nodes"), F.expr(INTEGER_WEIGHT), "kbest", 64)
+    return best.groupBy("sentence_id").agg(F.count("*").alias("paths"), F.sum("score").cast("long").alias("total"), F.min("score").cast("long").alias("last"))
+
+
 def t04_topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
@@ -212,7 +229,7 @@ QUERIES = {
     for f in (
         g01_edges, g01_orient_by_position, g03_orphan_hosts, g04_inherited_edges, g05_endpoints, g06_boundaries, g07_levels, g08_cyclic_sentences, g09_kbest, g10_kbest_over_edges,
         g09_kbest_orders, g11_kbest_edge_ties, g12_viterbi, g14_path_counts, a18_keep_histogram, a18_keep_summary, a01_degrees, a02_offsets, a02_reverse_offsets,
-        g20_gold_edges, g21_gold_score, g24_same_edges, g25_validate, t04_topological_order, m01_uniform, m02_length, m03_log_linear, m04_biaffine,
+        g20_gold_edges, g21_gold_score, g09_kbest_wide, g23_level_pointers, g24_same_edges, g25_validate, t04_topological_order, m01_uniform, m02_length, m03_log_linear, m04_biaffine,
     )
 }
 
@@ -275,6 +292,8 @@ select sentence_id, row_number() over (partition by sentence_id order by src, ds
     "g07_levels": f"with {NODES} select sentence_id, node_id, topo_level as level from n",
     "g08_cyclic_sentences": f"with {NODES} select sentence_id from n where sentence_id % 2 = 0 group by sentence_id",
     "g09_kbest": _KBEST + "," + _ENDS + f"select sentence_id, place as rank, score, path from fin where place < {BEAM}",
+    "g09_kbest_wide": _BEAMS.format(edges=EDGES, nodes="n", level="topo_level", first=0, k=64) + "," + _ENDS + "select sentence_id, count(*) as paths, sum(score)::bigint as total, min(score)::bigint as last from fin where place < 64 group by 1",
+    "g23_level_pointers": f"with {EDGES}, c as (select sentence_id, lv as level, count(*) as n from e group by all) select sentence_id, level, (sum(n) over w - n)::bigint as start, (sum(n) over w)::bigint as stop from c window w as (partition by sentence_id order by level)",
     "g10_kbest_over_edges": _KBEST + "," + _ENDS + f"select sentence_id, place as rank, score, path from fin where place < {BEAM}",
     "g09_kbest_orders": _BEAMS.format(edges=_ORDERS, nodes="n", level="topo_level", first=1, k=8) + "," + _ENDS + "select sentence_id, place as rank, score from fin where place < 8",
     "g11_kbest_edge_ties": _BEAMS.replace("order by b.score + e.w desc, b.node_id, b.rank", "order by b.score + e.w desc, e.edge_id, b.rank").format(edges=EDGES.replace("b.length * 10 + ((b.form_id % 7) + 7) % 7 as w", "1 as w"), nodes="n", level="topo_level", first=0, k=2) + "," + _ENDS + "select sentence_id, place as rank, score, path from fin where place < 2",

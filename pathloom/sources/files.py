@@ -24,6 +24,13 @@ def write_file(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
+def read_file(uri: str) -> bytes:
+    """A whole file."""
+    system, path = filesystem(uri)
+    with system.open_input_file(path) as source:
+        return source.read()
+
+
 def list_files(uri: str, ending: str = "") -> list[str]:
     """The files below a folder, by name; none if there is no such folder."""
     from pyarrow import fs

@@ -9,18 +9,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import write_file
+from .files import list_files, read_file, write_file
 
 # Fixed value: the number with which a weight file begins.
 MAGIC = 0x43534233
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files, in the checkpoint folder that all executors share."""
     from ..tables import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the folders that this process has made by ``scratch``, once nothing reads them any more; returns their number."""
+    at, n = spark._jvm.org.apache.hadoop.fs.Path, len(_made)
+    while _made:
+        path = at(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 # -- sources -------------------------------------------------------------------------------------
@@ -64,10 +78,15 @@ def flat_reference(annotations: DataFrame) -> DataFrame:
     return annotations.groupBy("stem").agg(x.alias("x")).select("stem", F.col("x.lemma").alias("lemmas"), F.col("x.code").alias("codes"))
 
 
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, stem) of the files below a folder. Spark's own scan leaves empty files out, so names come from the file system."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return spark.createDataFrame([(f,) for f in list_files(path)], "path string").select("path", name.alias("stem"))
+
+
 def stems(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(stem): the files below a folder by name in string order, at most ``limit`` if asked. Contents are not read."""
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    rows = spark.read.format("binaryFile").load(path).select(name.alias("stem")).orderBy("stem")
+    rows = _listed(spark, path).select("stem").orderBy("stem")
     return rows.limit(limit) if limit is not None else rows
 
 
@@ -176,6 +195,14 @@ def write_manifest(df: DataFrame, text: str, key: str, path: str) -> None:
     rows.select("row", key).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
+def link_by_row(manifest: DataFrame, results: DataFrame, row: str) -> DataFrame:
+    """Results joined to the manifest by row number, without the number; an error if they have unlike numbers of rows."""
+    sizes = [df.agg(F.count("*").alias("n")).scalar() for df in (manifest, results)]
+    wrong = F.raise_error(F.concat(F.lit("manifest and results have unlike numbers of rows: "), sizes[0].cast("string"), F.lit(", "), sizes[1].cast("string")))
+    checked = manifest.withColumn(row, F.when(sizes[0] == sizes[1], F.col(row)).otherwise(wrong.cast("long")))
+    return checked.join(results, row).drop(row)
+
+
 def swap_in(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Replace a Parquet folder whole: write beside it, keep the old one as .bak, move in."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -210,22 +237,20 @@ def copy_sample(spark: SparkSession, folder: str, target: str, n: int, seed: int
     """Copy n files chosen by a hash of seed and stem, whole and under their names; returns (stem, bytes)."""
     from ..operators.stats import seeded_sample
 
-    name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").load(folder)
-    chosen = seeded_sample(files.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("stem")), "stem", n, seed)
+    chosen = seeded_sample(_listed(spark, folder), "stem", n, seed)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            for path, _, data in rows:
+            rows = []
+            for path, stem in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                data = read_file(path)
                 write_file(f"{target}/{path.rsplit('/', 1)[-1]}", data)
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([len(r[2]) for r in rows], pa.int64())], names=["stem", "bytes"])
+                rows.append((stem, len(data)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["stem", "bytes"])
 
-    # the sample is n rows, so the contents of n files meet it
-    picked = files.select("path", "content").join(chosen, "path").select("path", "stem", "content")
-    return picked.mapInArrow(run, "stem string, bytes long").checkpoint()
+    return chosen.mapInArrow(run, "stem string, bytes long").checkpoint()
 
 
 def write_documents(documents: DataFrame, folder: str, buckets: int = 8) -> None:

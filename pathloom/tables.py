@@ -43,6 +43,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package once per application, however they were started."""
+    import atexit
     import io
     import os
     import tempfile
@@ -64,3 +65,4 @@ def ship_package(spark: SparkSession) -> None:
         out.write(data.getvalue())
     sc.addPyFile(out.name)
     sc._pathloom_shipped = True
+    atexit.register(lambda: os.path.exists(out.name) and os.remove(out.name))

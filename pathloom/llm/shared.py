@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from ..sources.files import filesystem
 from ..sources.tables import scratch
 
 
@@ -21,20 +22,12 @@ def store(df: DataFrame, name: str, by: str) -> str:
     return folder
 
 
-def _open(folder: str):
-    from pyarrow import fs
-
-    if folder.startswith("file:"):
-        folder = "/" + folder[5:].lstrip("/")
-    return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
-
-
 def read(folder: str, by: str, value: int, columns: list[str], rows: int = 4096) -> Iterator:
     """The record batches of one value of ``by``, in order of file names; none if there is no such folder."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    system, path = _open(folder)
+    system, path = filesystem(folder)
     infos = system.get_file_info(fs.FileSelector(f"{path}/{by}={value}", allow_not_found=True))
     for info in sorted(infos, key=lambda i: i.path):
         if info.path.endswith(".parquet"):

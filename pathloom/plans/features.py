@@ -321,13 +321,39 @@ select (i - 1)::int as place, bool_or(x[i]) as used from b, range(1, {len(X.TAG_
     "w05_chunk_width": f"with {NODES} select sentence_id, node_id, max(position + length) over (partition by sentence_id, chunk) as width from n where chunk >= 0",
     "w08_local_ids": f"with {NODES} select sentence_id, node_id, row_number() over (partition by sentence_id order by node_id) as local_id from n where chunk >= 0",
 }
-SQL["f15_featurizer_scalars64"] = f"""with {_FIT}, {_TEXT},
+
+
+def _crc_sql() -> str:
+    """crc (gram, h): the CRC-32 of the two- and three-letter parts of all forms, from the polynomial, for letters of one byte."""
+    steps = ", ".join(f"t{i + 1} as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end as v from t{i})" for i in range(8))
+    one = lambda c, k: f"xor(t[(xor({c}, ascii(gram[{k}])) & 255) + 1], {c} >> 8)"
+    return f"""t0 as (select i, i::bigint as v from range(256) r(i)), {steps}, tb as (select list(v order by i) as t from t8),
+gm as (select distinct gram from (select unnest(list_transform(range(1, length(token)), lambda i: substr(token, i, 2)) || list_transform(range(1, length(token) - 1), lambda i: substr(token, i, 3))) as gram from vocab where kind = 'form')),
+c1 as (select gram, t, {one("4294967295::bigint", 1)} as c from gm, tb), c2 as (select gram, t, {one("c", 2)} as c from c1), c3 as (select gram, case when length(gram) = 3 then {one("c", 3)} else c end as c from c2),
+crc as (select gram, xor(c, 4294967295) as h from c3)"""
+
+
+def _ngram_sql(buckets: int) -> str:
+    """ng (id, g): the shares of a form's parts in each bucket."""
+    return f"""{_crc_sql()}, fg as (select id, unnest(list_transform(range(1, length(token)), lambda i: substr(token, i, 2)) || list_transform(range(1, length(token) - 1), lambda i: substr(token, i, 3))) as gram from vocab where kind = 'form'),
+hs as (select v.id, coalesce(list(h % {buckets}) filter (where h is not null), []) as hs from (select id from vocab where kind = 'form') v left join fg on fg.id = v.id left join crc on crc.gram = fg.gram group by v.id),
+ng as (select id, list_transform(range({buckets}), lambda b: len(list_filter(hs, lambda h: h = b)) / greatest(len(hs), 1)) as g from hs)"""
+
+
+def _scalar_sql(buckets: int = 0) -> str:
+    grams = (f"{_ngram_sql(buckets)},\n", f" || coalesce(ng.g, list_transform(range({buckets}), lambda i: 0::double))", " left join ng on ng.id = w.form_id") if buckets else ("\n", "", "")
+    return f"""with {_FIT}, {_TEXT}, {grams[0]}
 q as (select id, list_transform({X.TAG_TOKENS!r}, lambda k: list_contains({_TAG_LIST}, k)::int::double) || [(token = 'UNKNOWN')::int::double] as x from vocab where kind = 'tag'),
 c as (select id, [(k - cons) / k, coalesce(pairs, 0) / greatest(k - 1, 1), (k - plain) / k, contains(token, 'H')::int, contains(token, 'M')::int, regexp_matches(token, '[{X.VOWELS}]$')::int, regexp_matches(token, '^[{X.VOWELS}]')::int, regexp_matches(token, '[{X.LONG_VOWELS}]$')::int]::double[] as x
  from (select id, token, length(token) as k, length(regexp_replace(token, '[{X.VOWELS}]', '', 'g')) as cons, length(regexp_replace(token, '[{X.RETROFLEX}]', '', 'g')) as plain,
  list_sum(list_transform(range(1, length(token)), lambda i: case when not regexp_matches(token[i], '[{X.VOWELS}]') and not regexp_matches(token[i + 1], '[{X.VOWELS}]') then 1 else 0 end)) as pairs from vocab where kind = 'form' and token <> '')),
 w as (select n.*, greatest(coalesce(text_length, 0), 1) as tl, greatest(char_start, 0) as st, greatest(max(position + length) over (partition by n.sentence_id, greatest(chunk, 0)), 1) as wd from n left join t on t.sentence_id = n.sentence_id)
-select w.sentence_id, node_id, case when chunk < 0 then list_transform(range(64), lambda i: 0::float) else (coalesce(q.x, list_transform(range(43), lambda i: 0::double)) || [ln(1 + length), greatest(least(length / 20, 1), 0), (length <= 3)::int, (length > 3 and length <= 8)::int, (length > 8)::int]::double[]
+select w.sentence_id, node_id, case when chunk < 0 then list_transform(range({64 + buckets}), lambda i: 0::float) else (coalesce(q.x, list_transform(range(43), lambda i: 0::double)) || [ln(1 + length), greatest(least(length / 20, 1), 0), (length <= 3)::int, (length > 3 and length <= 8)::int, (length > 8)::int]::double[]
  || [greatest(least(st / tl, 1), 0), greatest(least((st + length) / tl, 1), 0), greatest(least((wd - position - length) / wd, 1), 0), least(greatest(chunk, 0) / 20, 1)]::double[]
- || [ln(1 + coalesce(fr.n, 0)) / 10, ln(1 + coalesce(lc.n, 0)) / 10, (coalesce(fr.n, 0) <= 1)::int, coalesce(fr.rank, 1)]::double[] || coalesce(c.x, list_transform(range(8), lambda i: 0::double)))::float[] end as x
-from w left join q on q.id = w.tag_id left join c on c.id = w.form_id left join fr on fr.form_id = w.form_id left join lc on lc.lemma_id = w.lemma_id"""
+ || [ln(1 + coalesce(fr.n, 0)) / 10, ln(1 + coalesce(lc.n, 0)) / 10, (coalesce(fr.n, 0) <= 1)::int, coalesce(fr.rank, 1)]::double[] || coalesce(c.x, list_transform(range(8), lambda i: 0::double)){grams[1]})::float[] end as x
+from w left join q on q.id = w.tag_id left join c on c.id = w.form_id left join fr on fr.form_id = w.form_id left join lc on lc.lemma_id = w.lemma_id{grams[2]}"""
+
+
+SQL["f15_featurizer_scalars64"] = _scalar_sql()
+SQL |= {f"f15_featurizer_ngrams{64 + b}": _scalar_sql(b) for b in (16, 32, 64)}
+SQL["f14_ngram_features"] = f"with {_ngram_sql(16)} select id, array_to_string(list_transform(g, lambda v: round(v, 6)::varchar), ',') as x from ng"

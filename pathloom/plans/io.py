@@ -26,7 +26,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def s01_graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.scratch(spark, "graphml")
     graphml.write_graphml(*_graph(spark, sf_dir), path)
-    n = graphml.graph_nodes(graphml.parse_graphml(spark.read.text(path)))
+    n = graphml.parse_words(spark.read.text(path), graphml.NODE_FIELDS)
     return n.select("stem", "node_id", "word", "lemma", "morph", *[F.col(c).cast("int").alias(c) for c in ("cng", "chunk_no", "position", "length_word")])
 
 
@@ -39,7 +39,7 @@ def s01_graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s03_single_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.scratch(spark, "graphml")
     graphml.write_graphml(*_graph(spark, sf_dir), path)
-    n = graphml.graph_nodes(graphml.parse_graphml(spark.read.text(path)), ["cng"])
+    n = graphml.parse_words(spark.read.text(path), ["cng"])
     return n.groupBy(F.col("cng").cast("int").alias("cng")).agg(F.count("*").alias("nodes"))
 
 

@@ -87,3 +87,24 @@ def test_direct_and_inherited_references_of_one_field_are_told_apart_by_parent_a
     ids = spark.createDataFrame([("a", "a", "1", "1"), ("b", "b", "1", "1")], IDS)
     got = orphan_cascade(spark.createDataFrame(refs, REFS), spans, ids)
     assert rows(got.where("child = 'c'"), "parent", "at", "reason", "kind") == [("a", day(1), "late", "direct"), ("a", day(9), "parent", "inherited")]
+
+
+def test_found_references_of_dirty_diagnoses(spark, rows, tmp_path):
+    from pathloom.plans.references import p4_found
+
+    def save(name, data, schema):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    save("gold_vocab", [("lemma", "rāma", day(0), None), ("lemma", "old", day(0), day(3)), ("lemma", "new", day(9), None), ("cng", "7", day(0), None), ("cng", "x", day(0), None), (None, "rāma", day(0), None), ("lemma", None, day(0), None)], "kind string, token string, added_at timestamp_ntz, removed_at timestamp_ntz")
+    diagnoses = [
+        (1, "s", " rāma ", "07", ["7.0", None, " ", "8"], day(5), 1), (1, "s", " rāma ", "07", ["7.0", None, " ", "8"], day(5), 2),
+        (2, None, "rāma", None, None, day(5), 1), (3, "t", "old", "", [], day(5), 1), (4, "t", "new", "9", ["9", "9"], day(5), 1), (5, "t", None, "abc", ["7"], None, 1),
+        (6, "t", "lost", "8", ["8"], None, 1), (None, "t", "lost", "8", ["8"], day(5), 1),
+    ]
+    save("gold_diagnosis", diagnoses, "diag_id long, sent_id string, lemma string, expected_cng string, available_cngs array<string>, diagnosed_at timestamp_ntz, ref int")
+    save("sentences", [(1, "s", day(0))], "sentence_id long, stem string, loaded_at timestamp_ntz")
+    save("splits", [], "sentence_id long, splits string, assigned_at timestamp_ntz")
+    assert rows(p4_found(spark, str(tmp_path))) == [
+        (1, "available_cngs", "8", "missing"), (3, "lemma", "old", "deleted"), (4, "available_cngs", "9", "missing"), (4, "expected_cng", "9", "missing"),
+        (4, "lemma", "new", "late"), (6, "available_cngs", "8", "missing"), (6, "expected_cng", "8", "missing"), (6, "lemma", "lost", "missing"),
+    ]

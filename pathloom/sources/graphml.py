@@ -44,10 +44,15 @@ def read_graphml(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*_columns(F.coalesce("_stem", file), F.col("_corrupt_record")))
 
 
+def _once(document: Column) -> Column:
+    """A parsed document as a generator's row: a plain column would be parsed again by every filter and projection that is merged with it."""
+    return F.explode(F.array(document))
+
+
 def parse_graphml(lines: DataFrame, value: str = "value") -> DataFrame:
     """The same rows from a column of documents; the stem is their ``stem`` attribute."""
     schema = T.StructType([f for f in SCHEMA if f.name != "_corrupt_record"])
-    parsed = lines.select(F.from_xml(F.col(value), schema, {"rowTag": "graphml", "mode": "PERMISSIVE"}).alias("d"), F.col(value).alias("v"))
+    parsed = lines.select(_once(F.from_xml(F.col(value), schema, {"rowTag": "graphml", "mode": "PERMISSIVE"})).alias("d"), F.col(value).alias("v"))
     broken = F.when(F.col("d.graph").isNull(), F.col("v"))
     return parsed.select(*_columns(F.col("d._stem"), broken, "d."))
 
@@ -56,7 +61,7 @@ def parse_words(lines: DataFrame, fields: list[str], value: str = "value") -> Da
     """(stem, node_id, fields...) straight from a column of documents: edges are never built."""
     graph = T.StructType([T.StructField("node", T.ArrayType(_NODE))])
     schema = T.StructType([T.StructField("graph", graph) if f.name == "graph" else f for f in SCHEMA if f.name != "_corrupt_record"])
-    parsed = lines.select(F.from_xml(F.col(value), schema, {"rowTag": "graphml", "mode": "PERMISSIVE"}).alias("d"))
+    parsed = lines.select(_once(F.from_xml(F.col(value), schema, {"rowTag": "graphml", "mode": "PERMISSIVE"})).alias("d"))
     documents = parsed.select(*_columns(F.col("d._stem"), F.lit(None).cast("string"), "d.", edges=False))
     return graph_nodes(documents, fields)
 
@@ -66,16 +71,21 @@ def node_id(name: Column) -> Column:
     return F.regexp_replace(name, "^n", "").try_cast("long")
 
 
-def _attribute(data: Column, keys: Column, name: str) -> Column:
-    """A node's or edge's value of an attribute; a repeated key has its last value.
+def _attribute(data: Column, key: str) -> Column:
+    """A node's or edge's value of an attribute by the column that holds its key id; a repeated key has its last value.
 
     Each asked attribute is one pass over the few data elements, and no map is built.
     """
-    key = F.coalesce(F.try_element_at(keys, F.lit(name)), F.lit(name))
-    own = F.filter(data, lambda d: d["_key"] == key)
+    own = F.filter(data, lambda d: d["_key"] == F.col(key))
     return F.when(F.size(own) > 0, F.element_at(own, -1)["_VALUE"])
 
 
+def _asked(documents: DataFrame, fields: list[str], each: str) -> DataFrame:
+    """(stem, x, k_<field>...): the exploded elements with the key ids of the asked attributes, looked up once per document."""
+    ids = [F.coalesce(F.try_element_at("keys", F.lit(f)), F.lit(f)).alias(f"k_{f}") for f in fields]
+    return _keys(documents.where(F.col(each).isNotNull())).select("stem", each, *ids).select("stem", F.explode(each).alias("x"), *[f"k_{f}" for f in fields])
+
+
 def _keys(documents: DataFrame) -> DataFrame:
     """The documents with ``keys``: attribute names to key ids."""
     entries = F.transform(F.map_entries("names"), lambda e: F.struct(e["value"], e["key"]))
@@ -84,16 +94,15 @@ def _keys(documents: DataFrame) -> DataFrame:
 
 def graph_nodes(documents: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(stem, node_id, fields...) of all nodes; only the asked attributes are taken out, missing ones are null."""
-    each = _keys(documents.where("nodes is not null")).select("stem", "keys", F.explode("nodes").alias("n"))
-    return each.select("stem", node_id(F.col("n._id")).alias("node_id"), *[_attribute(F.col("n.data"), F.col("keys"), f).alias(f) for f in fields or NODE_FIELDS])
+    asked = fields or NODE_FIELDS
+    each = _asked(documents, asked, "nodes")
+    return each.select("stem", node_id(F.col("x._id")).alias("node_id"), *[_attribute(F.col("x.data"), f"k_{f}").alias(f) for f in asked])
 
 
 def graph_edges(documents: DataFrame) -> DataFrame:
     """(stem, src, dst, key) of all edges; an edge without a readable key has null."""
-    each = _keys(documents.where("edges is not null")).select("stem", "keys", F.explode("edges").alias("e"))
-    return each.select(
-        "stem", node_id(F.col("e._source")).alias("src"), node_id(F.col("e._target")).alias("dst"), _attribute(F.col("e.data"), F.col("keys"), "key").try_cast("int").alias("key")
-    )
+    each = _asked(documents, ["key"], "edges")
+    return each.select("stem", node_id(F.col("x._source")).alias("src"), node_id(F.col("x._target")).alias("dst"), _attribute(F.col("x.data"), "k_key").try_cast("int").alias("key"))
 
 
 def _escaped(col: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.translit import nfc_strip_column
 from ..operators.references import orphan_cascade, orphan_report
-from ..tables import table
+from ..tables import ensure_checkpoint_dir, table
 
 
 def code_text(col: Column) -> Column:
@@ -49,8 +49,10 @@ FIELDS = ("lemma", "expected_cng", "available_cngs")
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sentence_id, stem, loaded_at), stored once: references, spans and, in every round, identities come from it."""
+    ensure_checkpoint_dir(spark)
     rows = table(spark, sf_dir, "sentences").groupBy("sentence_id").agg(F.min("stem").alias("stem"), F.min("loaded_at").alias("loaded_at"))
-    return rows.where("sentence_id is not null")
+    return rows.where("sentence_id is not null").checkpoint()
 
 
 def _graph(spark: SparkSession, sf_dir: str, sentences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from ..functions import translit
 from ..functions.features import global_rank, split_name
 from ..operators import lattice as L
 from ..operators import stats
+from ..operators.sweep import level_sweep
 from ..tables import table
 from .features import _iast, texts
 from .lattice import EDGES, NODES, base
@@ -116,17 +117,20 @@ def j13_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j18_runs_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs' saturated path totals joined by K: all edges against gold edges only."""
-    from ..operators.sweep import path_counts
+    """Two runs' saturated path totals joined by K: over all nodes, and over gold nodes and boundaries only.
 
-    nodes, edges = base(spark, sf_dir)
-    gold = nodes.where("is_gold or chunk < 0").select("sentence_id", "node_id")
-    kept = edges.join(gold.withColumnRenamed("node_id", "src"), ["sentence_id", "src"], "left_semi").join(gold.withColumnRenamed("node_id", "dst"), ["sentence_id", "dst"], "left_semi")
-    total = lambda e, k, name: path_counts(nodes, e, k).agg(F.sum("paths").alias(name)).select(F.lit(k).alias("k"), name)
-    runs = None
-    for k in (1, 4, 16):
-        row = total(edges, k, "old").join(total(kept, k, "new"), "k")
-        runs = row if runs is None else runs.unionByName(row)
+    Counts saturated at the greatest K give those of every smaller one. A node that the second run
+    leaves out stands alone there, with one path.
+    """
+    ks, raw = (1, 4, 16), table(spark, sf_dir, "nodes")
+    kept = raw.where("is_gold or chunk < 0")
+    left_out = _nodes(spark, sf_dir).where("not (coalesce(is_gold, false) or coalesce(chunk < 0, false))").agg(F.count("*").alias("n"))
+
+    def totals(nodes: DataFrame, name: str) -> DataFrame:
+        sums = level_sweep(nodes, F.lit(0), "counts", max(ks)).agg(*[F.sum(F.least("paths", F.lit(k))).alias(f"k{k}") for k in ks])
+        return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias(name)) for k in ks])).alias("x")).select("x.*")
+
+    runs = totals(raw, "old").join(totals(kept, "new"), "k").select("k", "old", (F.col("new") + left_out.scalar()).alias("new"))
     return runs.withColumn("ratio", F.round(F.col("old") / F.col("new"), 6))
 
 

@@ -17,8 +17,8 @@ VOWELS = [[("A", "aa")], [("I", "ii")], [("U", "uu")]]
 GRADES = [[("u", "o"), ("U", "O")], [("i", "e"), ("I", "E")], [("o", "u"), ("O", "U")], [("e", "i"), ("E", "I")]]
 ANUSVARA = [[("M", nasal)] for nasal in "NYRnm"]
 R_GRADES = [[("f", "ar")], [("f", "Ar")], [("F", "Ar")], [("ar", "f")], [("Ar", "f")]]
-# Endings that are stripped: ending, shortest length that keeps a stem, letters cut.
-SUFFIXES = [(r".{2,}ay$", 2), (r".{2,}[pv]ay$", 3), (r".{2,}ant$", 1), (r".{2,}d$", 1), (r".{3,}n$", 1)]
+# Endings that are stripped: ending, least length of the word, letters cut.
+SUFFIXES = [("ay", 4, 2), ("pay", 5, 3), ("vay", 5, 3), ("ant", 5, 1), ("d", 3, 1), ("n", 4, 1)]
 # Lemmas, and lemma and code pairs, with another name in the other scheme.
 ALIASES = {"mahA": "mahant", "tva": "tvad", "Bavant": "Bavat", "uB": "uBa", "nAma": "nAman", "ityAdi": "iti"}
 CODE_ALIASES = {("mahA", "2"): ("mahant", "3")}
@@ -44,7 +44,7 @@ def _spellings(words: Column, families: list[list[list[tuple[str, str]]]], suffi
     def of(word: Column) -> Column:
         out = [word, *[_chain(word, steps) for family in families for steps in family]]
         if suffixes:
-            out += [F.when(word.rlike(f"^{pattern}"), F.left(word, F.length(word) - cut)).otherwise(word) for pattern, cut in SUFFIXES]
+            out += [F.when(word.endswith(ending) & (F.length(word) >= least), F.left(word, F.length(word) - cut)).otherwise(word) for ending, least, cut in SUFFIXES]
         return F.array(*out)
 
     return F.array_distinct(F.flatten(F.transform(words, of)))

@@ -244,7 +244,7 @@ def _chained(word: str, steps: list[tuple[str, str]]) -> str:
 def _grown(words: str, families: list, suffixes: bool) -> str:
     out = ["w", *[_chained("w", steps) for family in families for steps in family]]
     if suffixes:
-        out += [f"case when regexp_matches(w, '^{p}') then left(w, length(w) - {cut}) else w end" for p, cut in lemmas.SUFFIXES]
+        out += [f"case when ends_with(w, '{ending}') and length(w) >= {least} then left(w, length(w) - {cut}) else w end" for ending, least, cut in lemmas.SUFFIXES]
     return f"list_distinct(flatten(list_transform({words}, lambda w: [{', '.join(out)}])))"
 
 

@@ -38,18 +38,38 @@ def log_linear(vectors: DataFrame, edges: DataFrame, weights: list[float], bias:
     return edges.join(per_node, ["sentence_id", "dst"])
 
 
-def biaffine(vectors: DataFrame, edges: DataFrame, source: list[list[float]], destination: list[list[float]], bias: float = 0.0) -> DataFrame:
-    """<S x(src), D x(dst)> + bias. Each node is projected once, before the edges are joined."""
+def _projected(vectors: DataFrame, source: list[list[float]], destination: list[list[float]]) -> DataFrame:
+    """Each node projected once: ``s`` as the source of an edge, ``d`` as its destination."""
     if len(source) != len(destination) or len({len(r) for r in [*source, *destination]}) != 1:
         raise ValueError("the two matrices must have the same shape")
-    v = _checked(vectors, len(source[0]))
-    projected = v.select(
-        "sentence_id", "node_id", F.array(*[_dot(F.col("x"), r) for r in source]).alias("s"), F.array(*[_dot(F.col("x"), r) for r in destination]).alias("d")
-    )
+    both = {"s": F.array(*[_dot(F.col("x"), r) for r in source]), "d": F.array(*[_dot(F.col("x"), r) for r in destination])}
+    return _checked(vectors, len(source[0])).withColumns(both).drop("x")
+
+
+def _inner(s: Column, d: Column, rank: int, bias: float) -> Column:
+    return sum((s[i] * d[i] for i in range(rank)), F.lit(0.0)) + F.lit(float(bias))
+
+
+def biaffine(vectors: DataFrame, edges: DataFrame, source: list[list[float]], destination: list[list[float]], bias: float = 0.0) -> DataFrame:
+    """<S x(src), D x(dst)> + bias. Each node is projected once, before the edges are joined."""
+    projected = _projected(vectors.select("sentence_id", "node_id", "x"), source, destination)
     left = projected.select("sentence_id", F.col("node_id").alias("src"), "s")
     right = projected.select("sentence_id", F.col("node_id").alias("dst"), "d")
-    inner = sum((F.col("s")[i] * F.col("d")[i] for i in range(len(source))), F.lit(0.0))
-    return edges.join(left, ["sentence_id", "src"]).join(right, ["sentence_id", "dst"]).withColumn("w", inner + F.lit(float(bias))).drop("s", "d")
+    w = _inner(F.col("s"), F.col("d"), len(source), bias)
+    return edges.join(left, ["sentence_id", "src"]).join(right, ["sentence_id", "dst"]).withColumn("w", w).drop("s", "d")
+
+
+def biaffine_levels(nodes: DataFrame, source: list[list[float]], destination: list[list[float]], bias: float = 0.0) -> DataFrame:
+    """(sentence_id, src, dst, w): ``biaffine`` over all edges between consecutive levels, and a row without ``dst`` for each node.
+
+    ``nodes`` has (sentence_id, node_id, topo_level, x), each node once. A node finds the next level's in a window over
+    its sentence, so edges become rows where their nodes lie: no table of nodes is joined, and none can be broadcast.
+    """
+    projected = _projected(nodes.select("sentence_id", "node_id", "topo_level", "x"), source, destination)
+    ahead = F.collect_list(F.struct("node_id", "d")).over(W.partitionBy("sentence_id").orderBy("topo_level").rangeBetween(1, 1))
+    met = projected.withColumn("ahead", F.when(F.col("topo_level").isNotNull(), ahead).otherwise(F.array()))
+    pairs = met.select("sentence_id", F.col("node_id").alias("src"), "s", F.explode(F.concat(F.array(F.lit(None)), "ahead")).alias("b"))
+    return pairs.select("sentence_id", "src", F.col("b.node_id").alias("dst"), _inner(F.col("s"), F.col("b.d"), len(source), bias).alias("w"))
 
 
 def gold_pairs(nodes: DataFrame) -> DataFrame:

@@ -242,6 +242,17 @@ def sweep(nodes: DataFrame, edges: DataFrame, program: str, k: int = 1, tie: str
     return lattice.mapInArrow(lambda b: _run(b, program, k, tie), _schema(nodes, program))
 
 
+def row_sweep(rows: DataFrame, program: str, k: int = 1) -> DataFrame:
+    """A program over lattices whose nodes and edges are rows of one table (sentence_id, src, dst, w).
+
+    A row without ``dst`` is the node ``src``. The same rows as ``sweep``, but what lies by sentence
+    already is gathered where it is.
+    """
+    x = F.struct(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("w").cast("double").alias("w"), F.lit(0).cast("long").alias("e"))
+    lattice = rows.where("sentence_id is not null and src is not null").groupBy("sentence_id").agg(F.collect_list(x).alias("x"))
+    return lattice.mapInArrow(lambda b: _run(b, program, k, "parent"), _schema(rows, program))
+
+
 def _schema(nodes: DataFrame, program: str) -> T.StructType:
     fields = [T.StructField("sentence_id", nodes.schema["sentence_id"].dataType)]
     if program == "kbest":

@@ -34,10 +34,13 @@ def packed(nodes: DataFrame, vectors: DataFrame | None = None, texts: DataFrame
 
     nodes (sentence_id, node_id, topo_level, is_gold, chunk, char_start, length, form_id, lemma_id,
     preverb_id, tag_id, split); vectors (sentence_id, node_id, x); texts (sentence_id, text). One
-    exchange on the sentence; nodes without a level are left out. Without vectors x is empty.
+    exchange on the sentence; nodes without a level are left out. Without vectors x is the nodes' own, or empty.
     """
     rows = nodes.where("topo_level is not null")
-    rows = rows.join(vectors, ["sentence_id", "node_id"]) if vectors is not None else rows.withColumn("x", F.array().cast("array<float>"))
+    if vectors is not None:
+        rows = rows.join(vectors, ["sentence_id", "node_id"])
+    elif "x" not in rows.columns:
+        rows = rows.withColumn("x", F.array().cast("array<float>"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
     node = F.struct(
         F.col("node_id").cast("int").alias("node"), F.col("topo_level").cast("int").alias("level"), F.coalesce("is_gold", F.lit(False)).alias("gold"),

@@ -12,11 +12,11 @@ from ..operators import lattice as L
 from ..operators import metrics as M
 from ..operators import scorers as SC
 from ..operators import training
-from ..operators.sweep import kbest
+from ..operators.sweep import row_sweep
 from ..sources import tables as S
 from ..tables import ensure_checkpoint_dir, table
 from .features import texts
-from .lattice import NODES, base
+from .lattice import NODES
 
 ALPHABET = "".join(SLP1_TO_IAST) + " "
 TAG_BITS = 43
@@ -63,14 +63,16 @@ def _report(spark: SparkSession, rows: DataFrame, made: list[tuple[str, training
 def m05_fused_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best scores of the bilinear scorer, fused (edges scored inside the batch that decodes) and in two passes (scored edge rows)."""
     source, destination, bias = [[1.0, 0.0, 0.5], [0.0, 1.0, 0.0]], [[2.0, 0.0, 1.0], [0.0, 1.0, 1.0]], 0.5
-    nodes, edges = base(spark, sf_dir)
-    x = nodes.select("sentence_id", "node_id", F.array(*[F.col(c).cast("double") for c in ("length", "position", "chunk")]).alias("x"))
-    # the boundaries have features here, so no node counts as one
-    rows = training.packed(nodes.withColumn("split", F.lit("")).withColumn("chunk", F.lit(0)), x)
+    x = F.array(*[F.col(c).cast("double") for c in ("length", "position", "chunk")])
+    nodes = L.clean_nodes(table(spark, sf_dir, "nodes")).select("sentence_id", "node_id", "topo_level", x.alias("x"))
+    # the boundaries have features here, so no node counts as one; what this scorer does not read is left blank, and both forms share one exchange
+    blank = {c: F.lit(0) for c in ("chunk", "char_start", "length", "form_id", "lemma_id", "preverb_id", "tag_id")}
+    rows = training.packed(nodes.withColumns(blank | {"split": F.lit(""), "is_gold": F.lit(False)}))
     params = {"source": np.array(source), "destination": np.array(destination), "bias": np.array([bias])}
     fused = training.predict(rows, training.Model(dense=3, rank=2), params).select("sentence_id", F.col("score").alias("fused"))
-    two = kbest(nodes, SC.biaffine(x, edges, source, destination, bias), 1).select("sentence_id", F.col("score").alias("two_pass"))
-    return fused.join(two, "sentence_id")
+    two = row_sweep(SC.biaffine_levels(nodes, source, destination, bias), "kbest").select("sentence_id", F.col("score").alias("two_pass"))
+    # Spark expects sizes from packed columns, many times too small: it shall broadcast neither side
+    return fused.join(two.hint("merge"), "sentence_id")
 
 
 def m06_hybrid_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

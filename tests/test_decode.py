@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import lattice as L
 from pathloom.operators import scorers as S
-from pathloom.operators.sweep import kbest, keep_histogram, level_sweep, path_counts, sweep
+from pathloom.operators.sweep import kbest, keep_histogram, level_sweep, path_counts, row_sweep, sweep
 
 NODES, EDGES = "sentence_id long, node_id int", "sentence_id long, edge_id long, src int, dst int, w double"
 
@@ -195,3 +195,18 @@ def test_level_sweep_equals_the_sweep_over_level_edges(spark):
         a = sweep(clean, edges.join(w, ["sentence_id", "dst"]), program, k)
         b = level_sweep(nodes, F.col("c"), program, k)
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_edges_scored_where_nodes_lie_equal_the_joined_ones(spark):
+    rng = random.Random(5)
+    rows = [(s, i, rng.choice([None, *range(5)]), [float(rng.randint(-3, 3)) for _ in range(3)]) for s in range(30) for i in rng.sample(range(20), rng.randint(1, 12))]
+    nodes = L.clean_nodes(spark.createDataFrame(rows + rows[:9] + [(None, 1, 1, [0.0] * 3)], "sentence_id long, node_id int, topo_level int, x array<double>"))
+    weights = [[1, 0, 0.5], [0, 1, 0]], [[2, 0, 1], [0, 1, 1]], 0.5
+    joined = S.biaffine(nodes, L.level_edges(nodes), *weights)
+    lying = S.biaffine_levels(nodes, *weights)
+    names = ["sentence_id", "src", "dst", "w"]
+    assert sorted(map(str, lying.where("dst is not null").collect())) == sorted(map(str, joined.select(names).collect()))
+    assert sorted(lying.where("dst is null").select("sentence_id", "src").collect()) == sorted(nodes.select("sentence_id", "node_id").collect())
+    assert sorted(map(str, row_sweep(lying, "kbest", 3).collect())) == sorted(map(str, kbest(nodes, joined, 3).collect()))
+    with pytest.raises(ValueError):
+        S.biaffine_levels(nodes, weights[0], weights[1][:1])

@@ -123,3 +123,24 @@ def test_frozen_features_score_the_same_and_no_rows_change_nothing(spark, stored
     assert all(np.array_equal(same[k], p[k]) for k in p) and log[0]["taught"] == 0
     warm = T.Model(dense=3, tables={"form": (6, 2), "tag": (5, 2)}, rank=2).start(9, p)
     assert np.array_equal(warm["table.form"], p["table.form"])
+
+
+def test_fused_scoring_broadcasts_nothing_whatever_size_spark_expects(spark, tmp_path):
+    from pathloom.plans import models
+
+    rows = [(s, i, level, length, i, 0) for s in range(20) for i, (level, length) in enumerate([(0, 0), (1, 2 + s), (1, 3), (2, 4), (4, 9)])]
+    rows += [(30, 0, None, 5, 1, 0), (30, 1, 0, 5, 1, 0), (None, 0, 0, 1, 1, 0), rows[0]]
+    columns = "sentence_id long, node_id int, topo_level int, length int, position int, chunk int"
+    nodes = spark.createDataFrame(rows, columns).selectExpr("*", "false as is_gold", "0 as char_start", "0 as form_id", "0 as lemma_id", "0 as preverb_id", "0 as tag_id")
+    nodes.write.parquet(f"{tmp_path}/nodes.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        df = models.m05_fused_scoring(spark, str(tmp_path))
+        found = {r["sentence_id"]: (r["fused"], r["two_pass"]) for r in df.collect()}
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # no length and place at the source; then the longer node of level 1, to the one of level 2
+    score = lambda n, i: 0.5 + n * 8.0 + i * 3.0 + 0.5
+    assert found == {**{s: (max(score(2 + s, 1), score(3, 2)),) * 2 for s in range(20)}, 30: (0.0, 0.0)}
